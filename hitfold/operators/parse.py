@@ -186,12 +186,11 @@ def parse_messages(messages: DataFrame, options: Options, column: str = "value")
     )
 
 
-def accepted(events: DataFrame, options: Options, since: int = 0) -> DataFrame:
-    """Parsed, not excluded, not older than ``since``. Needs ``path`` when prefixes are set."""
-    return events.where(accept_condition(options, since))
+ACCEPTED, REJECTED, DEFERRED = "accepted", "rejected", "deferred"
 
 
 def accept_condition(options: Options, since: int = 0) -> Column:
+    """Parsed, not excluded, not older than ``since``."""
     keep = F.col("timestamp").isNotNull()
     if options.excluded_paths:
         keep = keep & ~is_excluded(request_path(F.col("uri")), options.excluded_paths)
@@ -200,12 +199,20 @@ def accept_condition(options: Options, since: int = 0) -> Column:
     return F.coalesce(keep, F.lit(False))
 
 
-def accounting(events: DataFrame, keys: list[str], options: Options, since: int = 0) -> DataFrame:
-    """Lines read, events accepted and lines rejected per key."""
+def judge(parsed: DataFrame, options: Options, since: int = 0) -> DataFrame:
+    """Add ``verdict``: accepted or rejected."""
     ok = accept_condition(options, since)
-    return events.groupBy(*keys).agg(
+    return parsed.withColumn("verdict", F.when(ok, F.lit(ACCEPTED)).otherwise(F.lit(REJECTED)))
+
+
+def accepted(judged: DataFrame) -> DataFrame:
+    return judged.where(F.col("verdict") == ACCEPTED).drop("verdict")
+
+
+def accounting(judged: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines read, events accepted and lines rejected per key."""
+    return judged.groupBy(*keys).agg(
         F.count("*").alias("lines"),
-        F.count_if(ok).alias("events"),
-        F.count_if(~ok).alias("rejected"),
+        F.count_if(F.col("verdict") == ACCEPTED).alias("events"),
+        F.count_if(F.col("verdict") == REJECTED).alias("rejected"),
     )
-

@@ -7,7 +7,7 @@ nothing extra, since each task combines its rows before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitfold.functions import clock
@@ -18,7 +18,7 @@ from hitfold.operators.enrich import DETAIL_LIMITS
 from hitfold.options import Options
 from hitfold.schema import DIMENSION_DAY, METRIC_MINUTE, SPIDER_MINUTE, UNIQUE_HOUR, Rollup
 
-ONE = F.lit(1).cast("bigint")
+
 CLIENT_DIMENSIONS = ("browser", "system", "device")
 DIMENSIONS = ("ip", "uri") + CLIENT_DIMENSIONS
 
@@ -47,13 +47,17 @@ def insert_new(existing: DataFrame, candidates: DataFrame, keys: list[str]) -> D
     return existing.unionByName(fresh.select(*existing.columns))
 
 
+def one() -> Column:
+    return F.lit(1).cast("bigint")
+
+
 # -- partial rows, one or more per event ---------------------------------------------
 
 def metric_partials(enriched: DataFrame) -> DataFrame:
     return enriched.select(
         "site_id",
         "minute_ts",
-        ONE.alias("requests"),
+        one().alias("requests"),
         F.col("pv"),
         F.col("body_bytes"),
         flag(R.error_in_range(F.col("status"))).alias("errors"),
@@ -66,7 +70,7 @@ def spider_partials(enriched: DataFrame) -> DataFrame:
         "site_id",
         "minute_ts",
         "spider",
-        ONE.alias("requests"),
+        one().alias("requests"),
         F.col("body_bytes"),
         flag(R.error_in_range(F.col("status"))).alias("errors"),
     )
@@ -97,7 +101,7 @@ def dimension_partials(
     )
     return long.select(
         "site_id", "day", "dimension", "value",
-        ONE.alias("requests"), "body_bytes", "errors", "last_seen",
+        one().alias("requests"), "body_bytes", "errors", "last_seen",
     )
 
 

@@ -21,9 +21,13 @@ def zero_filled(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in columns})
 
 
+def two_digits(value: Column) -> Column:
+    return F.rint(value * 100) / 100
+
+
 def percent(part: str, whole: str) -> Column:
     """Percentage with two digits, half-even."""
-    return F.bround(ratio_pct(F.col(part), F.col(whole)), 2)
+    return two_digits(ratio_pct(F.col(part), F.col(whole)))
 
 
 def hours_of(uniques: DataFrame, period: Period) -> DataFrame:
@@ -68,7 +72,7 @@ def summaries(
     )
     return filled.select(
         "site_id", *TOTALS, "uv", "ip", "realtime_bytes",
-        F.bround(F.col("_last_requests") / F.lit(60.0), 2).alias("qps"),
+        two_digits(F.col("_last_requests") / F.lit(60.0)).alias("qps"),
         "last_seen",
         percent("errors", "requests").alias("error_rate"),
     )
@@ -127,7 +131,7 @@ def compare(
     per_period = totals.join(visitors, ["site_id", "period"], "full").select(
         "site_id", "period", *TOTALS, "uv", "ip",
         F.col("_latest.body_bytes").alias("realtime_bytes"),
-        F.bround(F.col("_latest.requests") / F.lit(60.0), 2).alias("qps"),
+        two_digits(F.col("_latest.requests") / F.lit(60.0)).alias("qps"),
     )
     pair = lambda m: F.struct(
         F.lit(m).alias("metric"),
@@ -149,11 +153,6 @@ def compare(
     )
 
 
-def exact_distinct(values: DataFrame, keys: list[str]) -> DataFrame:
-    """Exact visitors and addresses per key."""
-    return unique_counts(values, keys)
-
-
 def sites_with_statistics(metric: DataFrame) -> DataFrame:
     return metric.select("site_id").distinct()
 

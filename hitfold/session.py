@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs are tuned for. Values that depend on cluster size
 # (spark.sql.shuffle.partitions, executor memory) are left to the submitter.
@@ -58,13 +58,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def reliable(df, label: str = "cut"):
-    """Write ``df`` once to the shared folder and read it back.
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder through the file system it lives on."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stored(df: DataFrame, label: str = "cut") -> tuple[DataFrame, str]:
+    """Write ``df`` once to the shared folder; the rows read back, and where they lie.
 
     Used where one result feeds several jobs, or must not be recomputed
     differently after the loss of an executor.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def reliable(df: DataFrame, label: str = "cut") -> DataFrame:
+    return stored(df, label)[0]

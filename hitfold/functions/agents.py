@@ -1,18 +1,16 @@
 """User-agent classification (crawler, browser, system, device).
 
-A rule is a case-insensitive substring test. ``lower`` once and plain
-``contains`` run inside whole-stage codegen and measured ten times faster than a chain
-of ``rlike``; the crawler chain is entered only when a token that every
-rule implies is present, which most traffic lacks.
+A rule is a case-insensitive substring test. ``lower`` once and plain ``contains`` measured ten times
+faster than a chain of ``rlike``. The crawler list is searched only when a token that every rule
+implies is present, which most traffic lacks, and sits in a lambda, so that the generated code of the common path
+stays small enough to be compiled to machine code.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitfold.functions.columns import contains_any
-
 # Crawler names in order of precedence, each with the substrings that
 # name it; "a*b" means a followed somewhere by b.
 SPIDERS = (
@@ -59,54 +57,51 @@ DEVICES = (
 )
 
 
-def _test(lowered: Column, needle: str) -> Column:
-    if "*" in needle:
-        first, second = needle.split("*")
-        return lowered.contains(first) & lowered.rlike(f"{first}.*{second}")
-    return lowered.contains(needle)
+def _holds(text: str, tokens) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{t}')" for t in tokens) + ")"
 
 
-def _first_match(lowered: Column, rules, otherwise: Column) -> Column:
-    chain = None
-    for name, needles in rules:
-        hit = _test(lowered, needles[0])
-        for needle in needles[1:]:
-            hit = hit | _test(lowered, needle)
-        chain = F.when(hit, F.lit(name)) if chain is None else chain.when(hit, F.lit(name))
-    return chain.otherwise(otherwise)
+def _first(text: str, rules, otherwise: str) -> str:
+    arms = " ".join(f"WHEN {_holds(text, tokens)} THEN '{name}'" for name, tokens in rules)
+    return f"CASE {arms} ELSE '{otherwise}' END"
 
 
 def _gate_tokens() -> tuple[str, ...]:
     """The generic tokens plus every specific needle that holds none of them."""
-    extra = [
-        needle
-        for _, needles in SPIDERS
-        for needle in needles
-        if not any(token in needle for token in GENERIC_SPIDER)
-    ]
-    return GENERIC_SPIDER + tuple(extra)
-
-
-def spider_name(lowered: Column) -> Column:
-    """Crawler name of a lower-cased user agent, null for people."""
-    named = _first_match(
-        lowered,
-        SPIDERS,
-        F.when(contains_any(lowered, *GENERIC_SPIDER), F.lit(OTHER_SPIDER)),
+    needles = [needle for _, tokens in SPIDERS for needle in tokens]
+    return GENERIC_SPIDER + tuple(
+        n for n in needles if not any(token in n for token in GENERIC_SPIDER)
+    )
+
+
+def spider_name(text: str) -> str:
+    """SQL for the crawler name of a lower-cased user agent, null for people."""
+    rules = []
+    for name, tokens in SPIDERS:
+        for token in tokens:
+            first, _, then = token.partition("*")
+            rules.append(f"('{first}' AS a, '{then}' AS b, '{name}' AS name)")
+    listed = ", ".join(f"struct{rule}" for rule in rules)
+    # the second token is looked for on the same line, behind the first
+    rest = f"substring_index(substr({text}, locate(r.a, {text}) + length(r.a)), chr(10), 1)"
+    named = (
+        f"get(filter(array({listed}), r -> contains({text}, r.a) "
+        f"AND (r.b = '' OR contains({rest}, r.b))), 0).name"
     )
-    return F.when(contains_any(lowered, *_gate_tokens()), named)
+    generic = f"CASE WHEN {_holds(text, GENERIC_SPIDER)} THEN '{OTHER_SPIDER}' END"
+    return f"CASE WHEN {_holds(text, _gate_tokens())} THEN coalesce({named}, {generic}) END"
 
 
-def browser(lowered: Column) -> Column:
-    return _first_match(lowered, BROWSERS, F.lit("Other"))
+def browser(text: str) -> str:
+    return _first(text, BROWSERS, "Other")
 
 
-def system(lowered: Column) -> Column:
-    return _first_match(lowered, SYSTEMS, F.lit("Other"))
+def system(text: str) -> str:
+    return _first(text, SYSTEMS, "Other")
 
 
-def device(lowered: Column) -> Column:
-    return _first_match(lowered, DEVICES, F.lit("Desktop"))
+def device(text: str) -> str:
+    return _first(text, DEVICES, "Desktop")
 
 
 def with_agent(df: DataFrame, column: str = "user_agent") -> DataFrame:
@@ -114,16 +109,9 @@ def with_agent(df: DataFrame, column: str = "user_agent") -> DataFrame:
 
     The lower-cased text is its own projection so that it is computed once per row.
     """
-    lowered = F.col("_ua")
+    rules = {"spider": spider_name, "browser": browser, "system": system, "device": device}
     return (
-        df.withColumn("_ua", F.lower(F.coalesce(F.col(column), F.lit(""))))
-        .withColumns(
-            {
-                "spider": spider_name(lowered),
-                "browser": browser(lowered),
-                "system": system(lowered),
-                "device": device(lowered),
-            }
-        )
+        df.withColumn("_ua", F.expr(f"lower(coalesce({column}, ''))"))
+        .withColumns({name: F.expr(rule("_ua")) for name, rule in rules.items()})
         .drop("_ua")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from functools import reduce
 from operator import or_
 
@@ -10,21 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and hand it to ``body`` as a lambda variable."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def any_of(conditions: Iterable[Column]) -> Column:
     """OR of the conditions; false when there are none."""
     conditions = list(conditions)
     return reduce(or_, conditions) if conditions else F.lit(False)
 
 
-def contains_any(text: Column, *needles: str) -> Column:
-    return any_of(text.contains(n) for n in needles)
-
-
 def flag(condition: Column) -> Column:
     """1 where the condition holds, else 0 (also for null)."""
     return F.when(condition, F.lit(1)).otherwise(F.lit(0)).cast("bigint")

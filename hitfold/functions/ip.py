@@ -1,24 +1,23 @@
-"""IP addresses as expressions: canonical text, CIDR membership, address class.
+"""IP addresses as SQL expressions: canonical text, CIDR membership, address class.
 
-An IPv4 address is compared as a BIGINT, an IPv6 address as 32 lower-case hex digits, so
-that a network is always a closed range and no Python worker is needed.
+Functions take SQL text of a string expression (a column name, usually) and return SQL text. Valid IPv4 text is
+compared octet by octet with plain string tests; IPv6 becomes 32 hex digits, so that a network is a
+closed range of text. The rare IPv6 branches sit in lambdas, which keeps the generated code of the
+common path small enough to be compiled to machine code. No Python worker is needed.
 """
 
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from itertools import count
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from hitfold.functions.columns import any_of, bind
-
-_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
-_IPV4_TAIL = rf"^(.*:)({_OCTET}(?:\.{_OCTET}){{3}})$"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+IPV4 = rf"r'^{_OCTET}(?:\.{_OCTET}){{3}}$'"
+_IPV4_TAIL = rf"r'^(.*:)({_OCTET}(?:\.{_OCTET}){{3}})$'"
 _GROUP = "[0-9a-f]{1,4}"
-_IPV6 = rf"^(?:{_GROUP}(?::{_GROUP}){{7}}|(?:{_GROUP}(?::{_GROUP})*)?::(?:{_GROUP}(?::{_GROUP})*)?)$"
+_GROUPS = f"{_GROUP}(?::{_GROUP})*"
+_IPV6 = f"r'^(?:{_GROUP}(?::{_GROUP}){{7}}|(?:{_GROUPS})?::(?:{_GROUPS})?)$'"
 
 # Special-purpose IPv4 blocks that count as private, and the
 # exceptions inside them (IANA registry).
@@ -54,149 +53,173 @@ CLASS_LABELS = {
 }
 UNKNOWN_LOCATION = CLASS_LABELS["public"]
 
+_names = count()
+
+
+def let(value: str, body) -> str:
+    """Evaluate ``value`` once; ``body`` gets the name of the lambda variable that holds it."""
+    name = f"v{next(_names)}"
+    return f"element_at(transform(array({value}), {name} -> {body(name)}), 1)"
+
 
-def is_v4(text: Column) -> Column:
-    return text.rlike(IPV4)
+def _any(tests: Sequence[str]) -> str:
+    return "(" + " OR ".join(tests) + ")" if tests else "false"
 
 
-def v4_number(text: Column) -> Column:
-    """Dotted quad as BIGINT; null when it is none."""
-    parts = F.split(text, r"\.")
-    number = F.lit(0).cast("bigint")
-    for i in range(4):
-        number = number * 256 + F.element_at(parts, i + 1).cast("bigint")
-    return F.when(is_v4(text), number)
+# -- IPv4 ----------------------------------------------------------------------------
 
+def is_v4(a: str) -> str:
+    return f"({a} RLIKE {IPV4})"
 
-def v4_text(number: Column) -> Column:
+
+def v4_text(number: str) -> str:
     """BIGINT as dotted quad."""
-    octets = [F.shiftright(number, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)]
-    return F.concat_ws(".", *octets)
+    octets = ", ".join(f"(shiftrightunsigned({number}, {s}) & 255)" for s in (24, 16, 8, 0))
+    return f"concat_ws('.', {octets})"
 
 
-def _v4_groups(text: Column) -> Column:
-    """Dotted quad as two IPv6 groups."""
-    octet = lambda i: F.lpad(
-        F.lower(F.hex(F.element_at(F.split(text, r"\."), i).cast("bigint"))), 2, "0"
-    )
-    return F.concat(octet(1), octet(2), F.lit(":"), octet(3), octet(4))
+def v4_hex(a: str, separator: str = "") -> str:
+    """Dotted quad as 8 hex digits, null when it is none."""
+    digits = [f"lpad(lower(hex(try_cast(split_part({a}, '.', {i}) AS INT))), 2, '0')" for i in (1, 2, 3, 4)]
+    return f"concat({digits[0]}, {digits[1]}, '{separator}', {digits[2]}, {digits[3]})"
 
 
-def _pad_groups(groups: Column) -> Column:
-    return F.transform(groups, lambda g: F.lpad(g, 4, "0"))
+def _in_v4(net: ipaddress.IPv4Network, a: str) -> str:
+    octets, whole, rest = net.network_address.packed, net.prefixlen // 8, net.prefixlen % 8
+    if whole == 4:
+        return f"{a} = '{net.network_address}'"
+    tests = []
+    if whole:
+        tests.append(f"startswith({a}, '{'.'.join(map(str, octets[:whole]))}.')")
+    if rest:
+        low = octets[whole]
+        high = low + (1 << (8 - rest)) - 1
+        tests.append(f"try_cast(split_part({a}, '.', {whole + 1}) AS INT) BETWEEN {low} AND {high}")
+    return "(" + " AND ".join(tests or ["true"]) + ")"
 
 
-def _groups(text: Column) -> Column:
-    return F.filter(F.split(text, ":"), lambda g: g != "")
+# -- IPv6 ----------------------------------------------------------------------------
 
+def _padded(groups: str) -> str:
+    name = f"v{next(_names)}"
+    kept = f"filter(split({groups}, ':'), {name} -> {name} != '')"
+    return f"transform({kept}, {name} -> lpad({name}, 4, '0'))"
 
-def v6_hex(text: Column) -> Column:
+
+def v6_hex(a: str) -> str:
     """IPv6 text (any case, optional zone) as 32 hex digits; null when invalid."""
 
-    def widen(plain: Column) -> Column:
-        halves = F.split(plain, "::", -1)
-        head = _groups(F.element_at(halves, 1))
-        tail = F.when(F.size(halves) > 1, _groups(F.element_at(halves, 2))).otherwise(
-            F.array().cast("array<string>")
+    def widen(plain: str) -> str:
+        def join(halves: str) -> str:
+            tail = f"CASE WHEN size({halves}.b) > 1 THEN {_padded(f'{halves}.b[1]')} ELSE array() END"
+            return let(
+                f"named_struct('n', size({halves}.b), 'h', {_padded(f'{halves}.b[0]')}, 't', {tail})",
+                lambda g: f"CASE WHEN {g}.n = 1 OR size({g}.h) + size({g}.t) <= 7 THEN "
+                f"array_join(concat({g}.h, array_repeat('0000', 8 - size({g}.h) - size({g}.t)), {g}.t), '')"
+                " END",
+            )
+
+        parted = let(f"named_struct('b', split({plain}, '::', -1))", join)
+        return f"CASE WHEN {plain} RLIKE {_IPV6} THEN {parted} END"
+
+    def expand(bare: str) -> str:
+        quad = let(f"regexp_extract({bare}, {_IPV4_TAIL}, 2)", lambda q: v4_hex(q, ":"))
+        plain = (
+            f"CASE WHEN {bare} RLIKE {_IPV4_TAIL} THEN "
+            f"concat(regexp_extract({bare}, {_IPV4_TAIL}, 1), {quad}) ELSE {bare} END"
         )
-        filled = F.size(head) + F.size(tail)
-        zeros = F.array_repeat(F.lit("0000"), 8 - filled)
-        joined = F.array_join(F.concat(_pad_groups(head), zeros, _pad_groups(tail)), "")
-        fits = (F.size(halves) == 1) | (filled <= 7)
-        return F.when(plain.rlike(_IPV6) & fits, joined)
-
-    bare = F.lower(F.regexp_replace(text, r"%[^%]+$", ""))
-    plain = F.when(
-        bare.rlike(_IPV4_TAIL),
-        F.concat(
-            F.regexp_extract(bare, _IPV4_TAIL, 1),
-            _v4_groups(F.regexp_extract(bare, _IPV4_TAIL, 2)),
-        ),
-    ).otherwise(bare)
-    return F.when(text.contains(":"), bind(plain, widen))
-
-
-def _shorten(groups: Column) -> Column:
+        return let(plain, widen)
+
+    bare = f"lower(regexp_replace({a}, '%[^%]+$', ''))"
+    return f"CASE WHEN contains({a}, ':') THEN {let(bare, expand)} END"
+
+
+def _shorten(groups: str) -> str:
     """Replace the longest run of two or more zero groups, leftmost first, by ``::``."""
-    run = lambda n: rf"^(?:(.*?):)??0(?::0){{{n - 1}}}(?::(.*))?$"
-    chain = F.when(groups.rlike(run(8)), F.lit("::"))
-    for n in range(7, 1, -1):
-        chain = chain.when(groups.rlike(run(n)), F.regexp_replace(groups, run(n), "$1::$2"))
-    return chain.otherwise(groups)
+    run = lambda n: f"r'^(?:(.*?):)??0(?::0){{{n - 1}}}(?::(.*))?$'"
+    arms = " ".join(
+        f"WHEN {groups} RLIKE {run(n)} THEN regexp_replace({groups}, {run(n)}, '$1::$2')"
+        for n in range(8, 1, -1)
+    )
+    return f"CASE {arms} ELSE {groups} END"
 
 
-def v6_text(digits: Column) -> Column:
+def v6_text(digits: str) -> str:
     """32 hex digits as canonical IPv6 text."""
-    groups = F.concat_ws(
-        ":",
-        *[
-            F.regexp_replace(F.substring(digits, 4 * i + 1, 4), "^0{1,3}", "")
-            for i in range(8)
-        ],
+    groups = ", ".join(
+        f"regexp_replace(substring({digits}, {4 * i + 1}, 4), '^0{{1,3}}', '')" for i in range(8)
     )
-    quad = v4_text(F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint"))
-    return F.when(
-        digits.startswith("0" * 20 + "ffff"), F.concat(F.lit("::ffff:"), quad)
-    ).otherwise(bind(groups, _shorten))
+    quad = let(f"CAST(conv(substring({digits}, 25, 8), 16, 10) AS BIGINT)", v4_text)
+    return (
+        f"CASE WHEN startswith({digits}, '{'0' * 20}ffff') THEN concat('::ffff:', {quad}) "
+        f"ELSE {let(f'concat_ws(chr(58), {groups})', _shorten)} END"
+    )
+
 
+def _canonical_v6(a: str) -> str:
+    text = lambda d: f"CASE WHEN {d} IS NOT NULL THEN {v6_text(d)} END"
+    return f"concat({let(v6_hex(a), text)}, regexp_extract({a}, '(%[^%]+)$', 1))"
 
-def canonical(text: Column) -> Column:
+
+def canonical(a: str) -> str:
     """Canonical text of an IPv4 or IPv6 address, null when it is neither."""
-    zone = F.regexp_extract(text, r"(%[^%]+)$", 1)
-    v6 = bind(v6_hex(text), lambda d: F.when(d.isNotNull(), v6_text(d)))
-    return F.when(is_v4(text), text).when(text.contains(":"), F.concat(v6, zone))
+    return (
+        f"CASE WHEN {is_v4(a)} THEN {a} "
+        f"WHEN contains({a}, ':') THEN {let(a, _canonical_v6)} END"
+    )
 
 
-def header_address(value: Column) -> Column:
+def header_address(value: str) -> str:
     """Address in a header field: trimmed, brackets and a port removed, canonical."""
 
-    def clean(text: Column) -> Column:
-        one_colon = text.contains(":") & ~text.rlike(":.*:")
-        bare = F.when(one_colon & text.contains("."), F.substring_index(text, ":", 1)).otherwise(text)
-        return F.when((text != "") & (text != "-"), canonical(bare))
+    def clean(text: str) -> str:
+        bare = (
+            f"CASE WHEN contains({text}, '.') AND {text} RLIKE '^[^:]*:[^:]*$' "
+            f"THEN substring_index({text}, ':', 1) ELSE {text} END"
+        )
+        return let(bare, canonical)
+
+    def trim(raw: str) -> str:
+        stripped = (
+            rf"regexp_replace(regexp_replace({raw}, r'^\s+|\s+$', ''), r'^[\[\]]+|[\[\]]+$', '')"
+        )
+        return let(stripped, clean)
+
+    return (
+        f"CASE WHEN {value} IS NULL OR {value} IN ('', '-') THEN NULL "
+        f"WHEN {is_v4(value)} THEN {value} ELSE {let(value, trim)} END"
+    )
 
-    trimmed = F.regexp_replace(F.coalesce(value, F.lit("")), r"^\s+|\s+$", "")
-    return bind(F.regexp_replace(trimmed, r"^[\[\]]+|[\[\]]+$", ""), clean)
 
+# -- networks ------------------------------------------------------------------------
 
-def _parse_network(cidr: str):
+def _network(cidr: str):
     try:
         return ipaddress.ip_network(str(cidr), strict=False)
     except ValueError:
         return None
 
 
-def _hex(number: int) -> str:
-    return f"{number:032x}"
-
-
-def _within(networks, v4: Column, v6: Column) -> Column:
-    tests = []
-    for net in networks:
-        low, high = int(net.network_address), int(net.broadcast_address)
-        if net.version == 4:
-            tests.append(v4.between(low, high))
-        else:
-            tests.append(v6.between(_hex(low), _hex(high)))
-    return F.coalesce(any_of(tests), F.lit(False))
+def _in_v6(net: ipaddress.IPv6Network, digits: str) -> str:
+    low, high = int(net.network_address), int(net.broadcast_address)
+    return f"{digits} BETWEEN '{low:032x}' AND '{high:032x}'"
 
 
-def in_networks(text: Column, cidrs: Sequence[str]) -> Column:
+def in_networks(a: str, cidrs: Sequence[str]) -> str:
     """Whether a canonical address lies in any network of the list.
 
     Networks after the first malformed one are not considered.
     """
     networks = []
     for cidr in cidrs:
-        net = _parse_network(cidr)
+        net = _network(cidr)
         if net is None:
             break
         networks.append(net)
-    v4_nets = [n for n in networks if n.version == 4]
-    v6_nets = [n for n in networks if n.version == 6]
-    in_v4 = bind(v4_number(text), lambda n: _within(v4_nets, n, F.lit(None)))
-    in_v6 = bind(v6_hex(text), lambda d: _within(v6_nets, F.lit(None), d))
-    return F.when(text.contains(":"), in_v6).otherwise(in_v4)
+    in_v4 = _any([_in_v4(n, a) for n in networks if n.version == 4])
+    v6 = [n for n in networks if n.version == 6]
+    in_v6 = let(v6_hex(a), lambda d: _any([_in_v6(n, d) for n in v6])) if v6 else "false"
+    return f"coalesce(CASE WHEN contains({a}, ':') THEN {in_v6} ELSE {in_v4} END, false)"
 
 
 # Request fields a trusted proxy may name the client in, in order of trust.
@@ -210,78 +233,84 @@ CLIENT_FIELDS = (
 )
 
 
-def client_ip(fields: dict[str, Column], trusted: Sequence[str]) -> Column:
-    """Real client address behind trusted proxies.
+def peer_address(fields: Mapping[str, str]) -> str:
+    """Address of the connection itself; ``fields`` maps header fields to SQL text."""
+    peer = _either(fields, "remote_addr", "ip")
+    return "CAST(NULL AS STRING)" if peer is None else let(peer, header_address)
+
+
+def _either(fields: Mapping[str, str], *names: str) -> str | None:
+    given = [f"nullif({fields[n]}, '')" for n in names if n in fields]
+    return f"coalesce({', '.join(given)})" if given else None
+
+
+def client_behind(peer: str, fields: Mapping[str, str], trusted: Sequence[str]) -> str:
+    """Real client address behind a peer that may be a trusted proxy.
 
-    ``fields`` maps header field names to columns; absent names count as empty.
+    The first valid client field counts; then the forwarding chain from its right end, up
+    to the first address that is no trusted proxy; then its leftmost address; then the peer.
     """
-    empty = F.lit(None).cast("string")
-    get = lambda name: fields.get(name, empty)
-    either = lambda a, b: F.coalesce(F.nullif(get(a), F.lit("")), get(b))
-
-    def resolve(peer: Column) -> Column:
-        named = F.coalesce(*[header_address(get(name)) for name in CLIENT_FIELDS])
-        forwarded = F.coalesce(either("x_forwarded_for", "forwarded_for"), F.lit(""))
-        chain = F.filter(
-            F.transform(F.split(forwarded, ","), header_address), lambda a: a.isNotNull()
+    named = [header_address(fields[n]) for n in CLIENT_FIELDS if n in fields]
+    forwarded = _either(fields, "x_forwarded_for", "forwarded_for")
+    if forwarded is not None:
+        hop = f"v{next(_names)}"
+        bare = f"transform(split({forwarded}, ','), {hop} -> trim({hop}))"
+        hops = (
+            f"filter(transform({bare}, {hop} -> {header_address(hop)}), {hop} -> {hop} IS NOT NULL)"
         )
+        foreign = f"v{next(_names)}"
 
-        def from_chain(hops: Column) -> Column:
-            foreign = F.filter(F.reverse(hops), lambda a: ~in_networks(a, trusted))
-            return F.coalesce(F.get(foreign, F.lit(0)), F.get(hops, F.lit(0)))
+        def outermost(chain: str) -> str:
+            outside = f"filter(reverse({chain}), {foreign} -> NOT {in_networks(foreign, trusted)})"
+            return f"coalesce(get({outside}, 0), get({chain}, 0))"
 
-        return F.when(peer.isNull(), F.lit("")).when(
-            ~in_networks(peer, trusted), peer
-        ).otherwise(F.coalesce(named, bind(chain, from_chain), peer))
+        named.append(let(hops, outermost))
+    return (
+        f"CASE WHEN {peer} IS NULL THEN '' WHEN NOT {in_networks(peer, trusted)} THEN {peer} "
+        f"ELSE coalesce({', '.join([*named, peer])}) END"
+    )
 
-    return bind(header_address(either("remote_addr", "ip")), resolve)
 
+# -- classes and labels --------------------------------------------------------------
 
-def address_class(text: Column) -> Column:
-    """invalid, loopback, private, reserved or public."""
-    nets = lambda cidrs: [_parse_network(c) for c in cidrs]
-    none = F.lit(None)
-
-    def v4_class(n: Column) -> Column:
-        inside = lambda cidrs: _within(nets(cidrs), n, none)
-        return (
-            F.when(n.isNull(), F.lit("invalid"))
-            .when(inside(["127.0.0.0/8"]), F.lit("loopback"))
-            .when(inside(PRIVATE_V4) & ~inside(PUBLIC_IN_PRIVATE_V4), F.lit("private"))
-            .when(inside(["224.0.0.0/4"]), F.lit("reserved"))
-            .otherwise(F.lit("public"))
-        )
+def _class_v4(a: str) -> str:
+    inside = lambda cidrs: _any([_in_v4(_network(c), a) for c in cidrs])
+    return (
+        f"CASE WHEN startswith({a}, '127.') THEN 'loopback' "
+        f"WHEN {inside(PRIVATE_V4)} AND NOT {inside(PUBLIC_IN_PRIVATE_V4)} THEN 'private' "
+        f"WHEN {inside(['224.0.0.0/4'])} THEN 'reserved' ELSE 'public' END"
+    )
 
-    def v6_class(d: Column) -> Column:
-        inside = lambda cidrs: _within(nets(cidrs), none, d)
-        mapped = d.startswith("0" * 20 + "ffff")
-        quad = bind(F.conv(F.substring(d, 25, 8), 16, 10).cast("bigint"), v4_class)
-        private = inside(PRIVATE_V6) & ~inside(PUBLIC_IN_PRIVATE_V6)
-        return (
-            F.when(d.isNull(), F.lit("invalid"))
-            .when(mapped, F.when(quad.isin("loopback", "private"), quad).otherwise(F.lit("reserved")))
-            .when(d == _hex(1), F.lit("loopback"))
-            .when(private, F.lit("private"))
-            .when(inside(["ff00::/8"]) | inside(RESERVED_V6), F.lit("reserved"))
-            .otherwise(F.lit("public"))
-        )
 
-    trimmed = F.trim(text)
-    return F.when(trimmed.contains(":"), bind(v6_hex(trimmed), v6_class)).otherwise(
-        bind(v4_number(trimmed), v4_class)
+def _class_v6(digits: str) -> str:
+    inside = lambda cidrs: _any([_in_v6(_network(c), digits) for c in cidrs])
+    quad = let(v4_text(f"CAST(conv(substring({digits}, 25, 8), 16, 10) AS BIGINT)"), _class_v4)
+    mapped = let(quad, lambda c: f"CASE WHEN {c} IN ('loopback', 'private') THEN {c} ELSE 'reserved' END")
+    return (
+        f"CASE WHEN {digits} IS NULL THEN 'invalid' "
+        f"WHEN startswith({digits}, '{'0' * 20}ffff') THEN {mapped} "
+        f"WHEN {digits} = '{1:032x}' THEN 'loopback' "
+        f"WHEN {inside(PRIVATE_V6)} AND NOT {inside(PUBLIC_IN_PRIVATE_V6)} THEN 'private' "
+        f"WHEN {inside(['ff00::/8'])} OR {inside(RESERVED_V6)} THEN 'reserved' ELSE 'public' END"
+    )
+
+
+def address_class(a: str) -> str:
+    """invalid, loopback, private, reserved or public."""
+    any_form = lambda t: (
+        f"CASE WHEN {is_v4(t)} THEN {_class_v4(t)} "
+        f"WHEN contains({t}, ':') THEN {let(v6_hex(t), _class_v6)} ELSE 'invalid' END"
     )
+    return let(f"trim({a})", any_form)
 
 
-def class_label(address_class: Column) -> Column:
-    chain = None
-    for key, label in CLASS_LABELS.items():
-        hit = address_class == key
-        chain = F.when(hit, F.lit(label)) if chain is None else chain.when(hit, F.lit(label))
-    return chain
+def class_label(address_class: str) -> str:
+    arms = " ".join(f"WHEN '{key}' THEN '{label}'" for key, label in CLASS_LABELS.items())
+    return f"CASE {address_class} {arms} END"
 
 
-def place_name(country: Column, region: Column, city: Column) -> Column:
+def place_name(country: str, region: str, city: str) -> str:
     """Distinct non-empty parts joined by a middle dot, or the unknown label."""
-    parts = F.array(*[F.coalesce(c, F.lit("")) for c in (country, region, city)])
-    joined = F.array_join(F.array_distinct(F.filter(parts, lambda p: p != "")), " · ")
-    return F.when(joined == "", F.lit(UNKNOWN_LOCATION)).otherwise(joined)
+    part = f"v{next(_names)}"
+    parts = f"filter(array({country}, {region}, {city}), {part} -> {part} != '')"
+    return f"coalesce(nullif(array_join(array_distinct({parts}), ' · '), ''), '{UNKNOWN_LOCATION}')"

@@ -7,51 +7,62 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hitfold.functions.columns import any_of, contains_any
+from hitfold.functions.columns import any_of
+from hitfold.functions.ip import let
 
 # scheme, then authority, then the path up to a query or fragment
-_PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
-_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
-_SUFFIX = r"(?:^|/)[^/]+\.([^./]+)(?:/\.?)*\z"
+_PATH = r"r'^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)'"
+_AUTHORITY = r"r'^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)'"
+_SUFFIX = r"r'(?:^|/)[^/]+\.([^./]+)(?:/\.?)*\z'"
 
 
-def request_path(uri: Column) -> Column:
+def _general_path(uri: str) -> str:
+    cleaned = rf"regexp_replace(regexp_replace({uri}, r'^[\x00-\x20]+', ''), r'[\t\r\n]', '')"
+
+    def split(text: str) -> str:
+        authority = f"regexp_extract({text}, {_AUTHORITY}, 1)"
+        return (
+            f"CASE WHEN contains({authority}, '[') != contains({authority}, ']') "
+            f"THEN substring_index({uri}, '?', 1) ELSE regexp_extract({text}, {_PATH}, 1) END"
+        )
+
+    return let(cleaned, split)
+
+
+def request_path(uri: str = "uri") -> Column:
     """Path of a request target, ``/`` when empty.
 
-    Nearly every target is origin-form (``/x?y``); those skip the general rule.
+    Nearly every target is origin-form (``/x?y``) and needs no pattern at all; the rest takes
+    the general rule, kept out of the hot code by a lambda.
     """
-    cleaned = F.regexp_replace(F.regexp_replace(uri, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
-    authority = F.regexp_extract(cleaned, _AUTHORITY, 1)
-    broken = authority.contains("[") != authority.contains("]")
-    plain = F.substring_index(F.substring_index(uri, "?", 1), "#", 1)
-    general = F.when(broken, F.substring_index(uri, "?", 1)).otherwise(
-        F.regexp_extract(cleaned, _PATH, 1)
-    )
     origin_form = (
-        uri.startswith("/") & ~uri.startswith("//") & ~contains_any(uri, "\t", "\r", "\n")
+        f"startswith({uri}, '/') AND NOT startswith({uri}, '//') AND NOT (contains({uri}, chr(9)) "
+        f"OR contains({uri}, chr(10)) OR contains({uri}, chr(13)))"
     )
-    path = F.when(origin_form, plain).otherwise(general)
-    return F.when(path == "", F.lit("/")).otherwise(path)
+    plain = f"substring_index(substring_index({uri}, '?', 1), '#', 1)"
+    general = let(uri, _general_path)
+    path = f"CASE WHEN {origin_form} THEN {plain} ELSE {general} END"
+    return F.expr(f"coalesce(nullif({path}, ''), CASE WHEN {uri} IS NOT NULL THEN '/' END)")
 
 
-def path_suffix(path: Column) -> Column:
+def path_suffix(path: str = "path") -> Column:
     """Lower-case suffix of the last path segment, without the dot; '' for none."""
-    return F.when(path.contains("."), F.regexp_extract(F.lower(path), _SUFFIX, 1)).otherwise(
-        F.lit("")
-    )
+    return F.expr(_suffix(path))
+
+
+def _suffix(path: str) -> str:
+    return f"CASE WHEN contains({path}, '.') THEN regexp_extract(lower({path}), {_SUFFIX}, 1) ELSE '' END"
 
 
-def is_page_view(
-    method: Column, status: Column, spider: Column, path: Column, static: Sequence[str]
-) -> Column:
-    """A successful GET or HEAD by a person for something that is not a static file."""
-    suffix = path_suffix(path)
-    return (
-        F.upper(method).isin("GET", "HEAD")
-        & (status >= 200)
-        & (status < 400)
-        & spider.isNull()
-        & ((suffix == "") | ~suffix.isin(*static))
+def is_page_view(static: Sequence[str], path: str = "path") -> Column:
+    """A successful GET or HEAD by a person for something that is not a static file.
+
+    Needs ``method``, ``status`` and ``spider``.
+    """
+    page = f"NOT ({_suffix(path)}) IN ({', '.join(map(repr, static))})" if static else "true"
+    return F.expr(
+        "upper(method) IN ('GET', 'HEAD') AND status >= 200 AND status < 400 "
+        f"AND spider IS NULL AND {page}"
     )
 
 

@@ -21,7 +21,7 @@ def enrich(events: DataFrame, options: Options) -> DataFrame:
     classified = with_agent(
         events.withColumns(
             {
-                "full_path": R.request_path(column("uri")),
+                "full_path": R.request_path("uri"),
                 "body_bytes": F.greatest(
                     F.lit(0).cast("bigint"), F.coalesce(column("body_bytes"), F.lit(0))
                 ),
@@ -31,12 +31,7 @@ def enrich(events: DataFrame, options: Options) -> DataFrame:
     return classified.withColumns(
         {
             "path": F.left(column("full_path"), F.lit(DETAIL_LIMITS["uri"])),
-            "pv": flag(
-                R.is_page_view(
-                    column("method"), column("status"), column("spider"),
-                    column("full_path"), options.static_extensions,
-                )
-            ),
+            "pv": flag(R.is_page_view(options.static_extensions, "full_path")),
             "minute_ts": clock.minute("timestamp"),
             "hour_ts": clock.hour("timestamp"),
             "day": clock.local_day("timestamp", options.timezone),

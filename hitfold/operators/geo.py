@@ -16,10 +16,11 @@ from hitfold.functions import ip
 PLACE = ("country", "region", "city")
 
 
-def _digits(address: Column) -> Column:
-    """Address as 8 (IPv4) or 32 (IPv6) hex digits."""
-    v4 = F.lpad(F.lower(F.hex(ip.v4_number(address))), 8, "0")
-    return F.when(address.contains(":"), ip.v6_hex(address)).otherwise(v4)
+def _digits(address: str) -> Column:
+    """Address as 8 (IPv4) or 32 (IPv6) hex digits, null when it is none."""
+    return F.expr(
+        f"CASE WHEN {ip.is_v4(address)} THEN {ip.v4_hex(address)} ELSE {ip.v6_hex(address)} END"
+    )
 
 
 def _prefix(digits: Column, length: Column) -> Column:
@@ -38,11 +39,10 @@ def network_keys(networks: DataFrame) -> DataFrame:
     Networks come as CIDR text in ``network``, or as IPv4 blocks in ``start`` and ``end``.
     """
     if "network" in networks.columns:
-        address = F.substring_index("network", "/", 1)
-        bits = F.when(address.contains(":"), F.lit(128)).otherwise(F.lit(32))
+        bits = F.when(F.contains("network", F.lit(":")), F.lit(128)).otherwise(F.lit(32))
         given = F.regexp_extract("network", "/([0-9]+)$", 1).try_cast("int")
-        keyed = networks.select(
-            _digits(address).alias("digits"), F.coalesce(given, bits).alias("length"), *PLACE
+        keyed = networks.withColumn("_a", F.substring_index("network", "/", 1)).select(
+            _digits("_a").alias("digits"), F.coalesce(given, bits).alias("length"), *PLACE
         )
     else:
         size = (F.col("end") - F.col("start") + 1).cast("bigint")
@@ -74,12 +74,8 @@ def locate(
     classed = (
         addresses.select(F.col(column).alias("address"))
         .distinct()
-        .withColumns(
-            {
-                "class": ip.address_class(F.col("address")),
-                "digits": _digits(F.trim("address")),
-            }
-        )
+        .withColumn("_a", F.trim("address"))
+        .select("address", F.expr(ip.address_class("_a")).alias("class"), _digits("_a").alias("digits"))
     )
 
     def probes_of(family: int) -> Column:
@@ -115,8 +111,9 @@ def locate(
     located = classed.join(best, "address", "left")
     text = lambda name: F.coalesce(F.col(name), F.lit(""))
     location = F.when(
-        F.col("class") == "public", ip.place_name(*[text(name) for name in PLACE])
-    ).otherwise(ip.class_label(F.col("class")))
+        F.col("class") == "public",
+        F.expr(ip.place_name(*[f"coalesce({name}, '')" for name in PLACE])),
+    ).otherwise(F.expr(ip.class_label("class")))
     return located.select(
         "address", location.alias("location"), *[text(name).alias(name) for name in PLACE]
     )
@@ -129,5 +126,5 @@ def with_location(
     if networks is not None:
         located = locate(rows, networks, column)
         return rows.join(located.withColumnRenamed("address", column), column, "left")
-    label = ip.class_label(ip.address_class(F.col(column)))
+    label = F.expr(ip.class_label(ip.address_class(column)))
     return rows.withColumns({"location": label, **{name: F.lit("") for name in PLACE}})

@@ -149,8 +149,11 @@ def parse_messages(messages: DataFrame, options: Options, column: str = "value")
     field = lambda name: F.col(f"_j.{name}")
     text_of = lambda name: F.coalesce(field(name), F.lit(""))
     size = _whole_number(F.coalesce(F.nullif(field("bytes"), F.lit("")), F.lit("0")))
+    address_fields = ("remote_addr", "ip", "x_forwarded_for", "forwarded_for", *ip.CLIENT_FIELDS)
+    headers = {name: f"_j.{name}" for name in address_fields}
     typed = once(
         split.select(*keep, "panel_site_id", "_j"),
+        _peer=F.expr(ip.peer_address(headers)),
         _time=iso_time(field("time"), options.timezone),
         _status=_whole_number(F.coalesce(field("status"), F.lit("0"))).try_cast("int"),
         _size=F.when(size < 0, F.lit(0).cast("bigint")).otherwise(size),
@@ -161,13 +164,10 @@ def parse_messages(messages: DataFrame, options: Options, column: str = "value")
         & F.col("_status").isNotNull()
         & F.col("_size").isNotNull()
     )
-    address_fields = ("remote_addr", "ip", "x_forwarded_for", "forwarded_for", *ip.CLIENT_FIELDS)
     columns = _limited(
         {
             "timestamp": F.col("_time"),
-            "remote_addr": ip.client_ip(
-                {name: field(name) for name in address_fields}, options.trusted_proxies
-            ),
+            "remote_addr": F.expr(ip.client_behind("_peer", headers, options.trusted_proxies)),
             "method": text_of("method"),
             "uri": text_of("uri"),
             "protocol": text_of("protocol"),
@@ -193,7 +193,7 @@ def accept_condition(options: Options, since: int = 0) -> Column:
     """Parsed, not excluded, not older than ``since``."""
     keep = F.col("timestamp").isNotNull()
     if options.excluded_paths:
-        keep = keep & ~is_excluded(request_path(F.col("uri")), options.excluded_paths)
+        keep = keep & ~is_excluded(request_path("uri"), options.excluded_paths)
     if since:
         keep = keep & (F.col("timestamp") >= since)
     return F.coalesce(keep, F.lit(False))

@@ -8,10 +8,12 @@ counts once. Measures merge in any order, so no row is ever updated in place.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
 from zoneinfo import ZoneInfo
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,13 +57,15 @@ _CLUSTERING = {
 }
 
 
-def fold(enriched: DataFrame, options: Options, detail_since: int = 0, error_since: int = 0):
+def fold(
+    enriched: DataFrame, cube: DataFrame, options: Options, detail_since: int = 0,
+    error_since: int = 0,
+) -> dict[str, DataFrame]:
     """All stored tables of one set of events.
 
-    ``enriched`` is read three times, so pass a stored or cached DataFrame. The small
-    traffic cube serves three rollups.
+    Pass a stored or cached ``enriched`` and its cached traffic cube: the cube is small and
+    serves three rollups, the events are read three times more, each time few columns.
     """
-    cube = R.traffic_cube(enriched)
     by_minute = clock.local_day("minute_ts").alias("day")
     days = R.clients_from_cube(cube).unionByName(R.dimension_day(enriched, ("ip", "uri")))
     kept = E.keep_details(enriched, detail_since, error_since)
@@ -89,10 +93,9 @@ class Store:
 
     def create(self) -> "Store":
         """Make empty tables where there are none."""
-        for table, schema in {**SCHEMAS, COMMITS: COMMIT_SCHEMA}.items():
-            empty = self.spark.createDataFrame([], schema)
-            parts = ["batch", "day"] if table in SCHEMAS else []
-            empty.write.mode("append").partitionBy(*parts).parquet(self.path(table))
+        for table in (*SCHEMAS, COMMITS):
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(target)
         return self
 
     # -- batches -------------------------------------------------------------------
@@ -127,10 +130,17 @@ class Store:
 
     def append(self, batch: str, tables: dict[str, DataFrame]) -> None:
         """Write one batch; it becomes visible, whole, with its commit row."""
-        for table, rows in tables.items():
-            self._write(table, batch, rows)
+        self._write_all(batch, tables)
         self._commit(batch)
 
+    def _write_all(self, batch: str, tables: dict[str, DataFrame]) -> None:
+        """The tables are independent jobs, so they share the cluster side by side."""
+        write = inheritable_thread_target(self.spark)(self._write)
+        with ThreadPoolExecutor(len(tables)) as pool:
+            jobs = [pool.submit(write, table, batch, rows) for table, rows in tables.items()]
+            for job in jobs:
+                job.result()
+
     def ingest(
         self, batch: str, judged: DataFrame, detail_since: int = 0, error_since: int = 0,
         stage: bool = True,
@@ -147,8 +157,11 @@ class Store:
                 F.coalesce("site_id", F.lit(0)).alias("site_id"), "file_path", "lines",
                 "events", "rejected", F.current_date().alias("day"),
             )
-            tables = fold(P.accepted(held), self.options, detail_since, error_since)
+            events = P.accepted(held)
+            cube = R.traffic_cube(events).persist()
+            tables = fold(events, cube, self.options, detail_since, error_since)
             self.append(batch, {**tables, STATS: stats})
+            cube.unpersist()
         finally:
             if path is None:
                 held.unpersist()
@@ -183,9 +196,8 @@ class Store:
         if not batches:
             return None
         base = f"base-{uuid.uuid4().hex}"
-        for table in SCHEMAS:
-            rows = self.partials(table).where(F.col("batch").isin(batches))
-            self._write(table, base, change(table, rows))
+        rows = lambda table: self.partials(table).where(F.col("batch").isin(batches))
+        self._write_all(base, {table: change(table, rows(table)) for table in SCHEMAS})
         self._commit(base, batches)
         return base
 

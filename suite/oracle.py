@@ -337,7 +337,7 @@ UNION ALL SELECT 'wildcard', count(*) FROM req WHERE path ILIKE '%art_cles/\\%7%
   OR path ILIKE '%art_cles/%7%'"""),
     "q11_site_summary": q(" SELECT * FROM summary", METRIC, UNIQ, SITES, SUMMARY),
     "q11_site_list": q(" SELECT id AS site_id, name, requests, pv, uv, ip, errors FROM summary"
-                       " JOIN site ON site_id = id WHERE lower(name) LIKE '%an%'",
+                       " JOIN site ON site_id = id WHERE contains(lower(name), 'nation_1')",
                        METRIC, UNIQ, SITES, SUMMARY),
     "q11_sites_with_statistics": q(
         " SELECT id, name, CAST(id IN (SELECT site_id FROM req) AS BIGINT) AS has_statistics FROM site", SITES),
@@ -430,9 +430,9 @@ SELECT CAST(doc_id AS VARCHAR) AS doc_id,
   THEN '198.51.100.' || (id % 200) ELSE remote_addr END AS remote_addr,
   method, uri, protocol, status, body_bytes, referer, user_agent FROM req"""),
     "q25_route_messages": q("""
-, v AS (SELECT CASE WHEN name = 'EGYPT' THEN NULL ELSE site_id END AS site_id,
-    CASE WHEN name = 'EGYPT' OR starts_with(path, '/api/signup') THEN 'rejected'
-      WHEN name = 'BRAZIL' THEN 'deferred' ELSE 'accepted' END AS verdict
+, v AS (SELECT CASE WHEN name = 'NATION_4' THEN 0 ELSE site_id END AS site_id,
+    CASE WHEN name = 'NATION_4' OR starts_with(path, '/api/signup') THEN 'rejected'
+      WHEN name = 'NATION_2' THEN 'deferred' ELSE 'accepted' END AS verdict
   FROM req LEFT JOIN site ON site.id = site_id)
 SELECT site_id, verdict, count(*) AS messages FROM v GROUP BY 1, 2""", SITES),
     "q26_store_history": q(" SELECT * FROM dims", DIMS),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hitfold.functions import clock, ip
 from hitfold.functions import requests as R
 from hitfold.functions.agents import with_agent
+from hitfold.functions.columns import once
 from hitfold.functions.sketch import exact_counts, register_counts, sketch_counts
 from hitfold.operators import enrich as E
 from hitfold.operators import geo, parse, retention
@@ -22,6 +23,7 @@ from hitfold.plans.periods import DAY, Period
 from hitfold.schema import DIMENSION_DAY, METRIC_MINUTE, SPIDER_MINUTE, UNIQUE_HOUR
 from hitfold.session import scratch_path
 from hitfold.sources import exports
+from hitfold.sources.logs import stream_messages
 from hitfold.store import Store
 from hitfold.streaming import live
 from suite.access import (
@@ -56,7 +58,7 @@ def close_to(estimate: str, exact: str):
 @query
 def q00_classified_requests(spark, folder):
     return requests(spark, folder).select(
-        "id", "path", R.path_suffix(F.col("path")).alias("suffix"), "spider", "browser",
+        "id", "path", R.path_suffix("path").alias("suffix"), "spider", "browser",
         "system", "device", "pv", "minute_ts", "hour_ts", F.col("day").cast("string").alias("day"),
         R.error_in_range(F.col("status")).alias("failed"),
         R.is_excluded(F.col("path"), ("/api/signup",)).alias("excluded"),
@@ -287,7 +289,7 @@ def q11_site_summary(spark, folder):
 def q11_site_list(spark, folder):
     rows = O.site_list(
         registry(spark, folder), U.metric_partials(requests(spark, folder)),
-        values_of(spark, folder), whole_period(spark, folder), "an", "requests", True,
+        values_of(spark, folder), whole_period(spark, folder), "nation_1", "requests", True,
     )
     return rows.select("site_id", "name", "requests", "pv", "uv", "ip", "errors")
 
@@ -564,16 +566,17 @@ def q20_client_ip(spark, folder):
     rows = access(spark, folder)
     n = F.col("id") % 200
     last = lambda prefix: F.concat(F.lit(prefix), n.cast("string"))
-    fields = {
-        "remote_addr": F.col("remote_addr"),
+    rows = rows.withColumns({
         "cf_connecting_ip": F.when(F.col("id") % 7 == 0, last("9.8.7.")).otherwise(F.lit("-")),
         "x_forwarded_for": F.when(F.col("id") % 5 == 0, F.lit("10.1.1.1, 10.0.0.7"))
         .when(F.col("id") % 5 == 1, F.lit(""))
         .otherwise(F.concat(F.lit("bad, "), last("198.51.100."), F.lit(":8080, 10.0.0.7"))),
-    }
-    return rows.select(
-        "id", ip.client_ip(fields, OPTIONS.trusted_proxies).alias("client"),
-        ip.in_networks(F.col("remote_addr"), OPTIONS.trusted_proxies).alias("trusted"),
+    })
+    fields = {c: c for c in ("remote_addr", "cf_connecting_ip", "x_forwarded_for")}
+    trusted = OPTIONS.trusted_proxies
+    return once(rows, peer=F.expr(ip.peer_address(fields))).select(
+        "id", F.expr(ip.client_behind("peer", fields, trusted)).alias("client"),
+        F.expr(ip.in_networks("peer", trusted)).alias("trusted"),
     )
 
 
@@ -582,17 +585,16 @@ def q20_address_class(spark, folder):
     """Class of addresses spread over the whole IPv4 space, one per order."""
     key = F.col("o_orderkey")
     number = F.pmod(key * F.lit(2654435761), F.lit(2**32))
-    return table(spark, folder, "orders").select(
-        "o_orderkey", ip.v4_text(number).alias("address")
-    ).select("o_orderkey", "address", ip.address_class(F.col("address")).alias("class"))
+    rows = table(spark, folder, "orders").select("o_orderkey", number.cast("bigint").alias("n"))
+    return rows.select("o_orderkey", F.expr(ip.v4_text("n")).alias("address")).select(
+        "o_orderkey", "address", F.expr(ip.address_class("address")).alias("class")
+    )
 
 
 @query
 def q21_url_path(spark, folder):
-    path = R.request_path(F.col("url"))
-    return table(spark, folder, "pages").select(
-        "page_id", path.alias("path"), R.path_suffix(path).alias("suffix")
-    )
+    rows = table(spark, folder, "pages").withColumn("path", R.request_path("url"))
+    return rows.select("page_id", "path", R.path_suffix("path").alias("suffix"))
 
 
 # -- export --------------------------------------------------------------------------
@@ -638,8 +640,6 @@ def q23_stream_equals_batch(spark, folder):
     sites = access(spark, folder).select("site_id").distinct().select(
         F.col("site_id").alias("id"), F.col("site_id").alias("panel_site_id")
     )
-    from hitfold.sources.logs import stream_messages
-
     running = live.start_live(
         stream_messages(spark, feed, per_trigger=2), store, lambda: sites, checkpoint,
         available_now=True,
@@ -653,10 +653,11 @@ def q25_route_messages(spark, folder):
     """Messages of unknown sites are rejected, those of a site being loaded wait."""
     rows = access(spark, folder).withColumn("panel_site_id", F.col("site_id")).drop("site_id")
     sites = registry(spark, folder)
-    busy = sites.where(F.col("name") == "BRAZIL").select(F.col("id").alias("site_id"))
+    busy = sites.where(F.col("name") == "NATION_2").select(F.col("id").alias("site_id"))
     options = OPTIONS.with_changes(excluded_paths=("/api/signup",))
-    known = sites.withColumn("panel_site_id", F.col("id")).where(F.col("name") != "EGYPT")
-    return live.verdict_counts(live.route(rows, known, options, busy))
+    known = sites.withColumn("panel_site_id", F.col("id")).where(F.col("name") != "NATION_4")
+    counts = live.verdict_counts(live.route(rows, known, options, busy))
+    return counts.withColumn("site_id", F.coalesce("site_id", F.lit(0)))
 
 
 @query

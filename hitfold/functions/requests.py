@@ -57,12 +57,12 @@ def _suffix(path: str) -> str:
 def is_page_view(static: Sequence[str], path: str = "path") -> Column:
     """A successful GET or HEAD by a person for something that is not a static file.
 
-    Needs ``method``, ``status`` and ``spider``.
+    Needs ``method``, ``status`` and ``is_bot``.
     """
     page = f"NOT ({_suffix(path)}) IN ({', '.join(map(repr, static))})" if static else "true"
     return F.expr(
         "upper(method) IN ('GET', 'HEAD') AND status >= 200 AND status < 400 "
-        f"AND spider IS NULL AND {page}"
+        f"AND NOT is_bot AND {page}"
     )
 
 

@@ -61,12 +61,13 @@ def metric_partials(enriched: DataFrame) -> DataFrame:
         F.col("pv"),
         F.col("body_bytes"),
         flag(R.error_in_range(F.col("status"))).alias("errors"),
-        flag(F.col("spider").isNotNull()).alias("bot_requests"),
+        flag(F.col("is_bot")).alias("bot_requests"),
     )
 
 
 def spider_partials(enriched: DataFrame) -> DataFrame:
-    return enriched.where(F.col("spider").isNotNull()).select(
+    # the filter repeats the cheap test only, not the whole list of names
+    return enriched.where("is_bot").select(
         "site_id",
         "minute_ts",
         "spider",

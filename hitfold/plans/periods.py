@@ -62,16 +62,16 @@ def within(df: DataFrame, column: str, start: int, end: int) -> DataFrame:
 
 
 def of_sites(df: DataFrame, sites: int | DataFrame) -> DataFrame:
-    """Rows of one site, or of all sites of a DataFrame with ``site_id``."""
+    """Rows of one site, or of all sites of a DataFrame with one row per ``site_id``."""
     if isinstance(sites, int):
         return df.where(F.col("site_id") == sites)
-    return df.join(sites.select("site_id").distinct(), "site_id", "left_semi")
+    return df.join(sites.select("site_id"), "site_id", "left_semi")
 
 
 def site_rows(spark: SparkSession, sites: int | DataFrame) -> DataFrame:
     if isinstance(sites, int):
         return spark.range(sites, sites + 1).select(F.col("id").alias("site_id"))
-    return sites.select(F.col("site_id").cast("bigint").alias("site_id")).distinct()
+    return sites.select(F.col("site_id").cast("bigint").alias("site_id"))
 
 
 def spine(spark: SparkSession, sites: int | DataFrame, period: Period) -> DataFrame:

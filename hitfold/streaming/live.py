@@ -156,7 +156,7 @@ def windowed_metrics(
             F.sum("pv").alias("pv"),
             F.sum("body_bytes").alias("body_bytes"),
             F.sum(flag(R.error_in_range(F.col("status")))).alias("errors"),
-            F.sum(flag(F.col("spider").isNotNull())).alias("bot_requests"),
+            F.sum(flag(F.col("is_bot"))).alias("bot_requests"),
         )
         .select(
             "site_id", F.unix_seconds("w.start").alias("minute_ts"),

@@ -448,4 +448,12 @@ UNION ALL SELECT (SELECT max(id) FROM site) + row_number() OVER (ORDER BY r_regi
 , c AS (SELECT site_id, count(*) AS n FROM req GROUP BY 1)
 SELECT id, name, coalesce(n,0) AS lines, coalesce(n,0) AS events, CAST(0 AS BIGINT) AS rejected
 FROM site LEFT JOIN c ON site_id = id""", SITES),
+    "q29_byte_sizes": """
+WITH b AS (SELECT o_orderkey, CAST(floor(o_totalprice * o_custkey) AS DOUBLE) AS n FROM orders),
+u AS (SELECT o_orderkey, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 1073741824 THEN 2
+    WHEN n < 1099511627776 THEN 3 ELSE 4 END AS p, n FROM b),
+v AS (SELECT *, n / pow(CAST(1024 AS DOUBLE), p) AS x FROM u)
+SELECT o_orderkey, CASE WHEN p = 0 OR x >= 100 THEN format('{:.0f}', floor(x + 0.5::DOUBLE))
+  ELSE format('{:.2f}', floor(x * 100 + 0.5::DOUBLE) / 100) END || ' '
+  || ['B', 'KB', 'MB', 'GB', 'TB'][p + 1] AS size FROM v""",
 }

@@ -719,5 +719,5 @@ def q28_list_sites(spark, folder):
 @query
 def q29_byte_sizes(spark, folder):
     return table(spark, folder, "orders").select(
-        "o_orderkey", R.byte_size(F.pow(F.lit(1.0 / 7) * F.col("o_totalprice"), 2)).alias("size")
+        "o_orderkey", R.byte_size(F.floor(F.col("o_totalprice") * F.col("o_custkey"))).alias("size")
     )

@@ -47,7 +47,10 @@ def read_lines(
 def list_files(
     spark: SparkSession, folder: str, pattern: str = "*", modified_after: float | None = None
 ) -> DataFrame:
-    """Files of a folder: path, length, modificationTime; contents are not read."""
+    """Files of a folder: path, length, modificationTime; contents are not read.
+
+    Spark leaves out empty files.
+    """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
     if modified_after:
         reader = reader.option("modifiedAfter", iso(modified_after)).option("timeZone", "UTC")

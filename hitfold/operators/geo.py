@@ -3,7 +3,11 @@
 A ``between`` join would test every pair. A network is a CIDR block, so an address
 lies in it exactly when the two agree on the network's leading bits. Each distinct address is cut
 to every prefix length in use (at most 33 for IPv4, 129 for IPv6) and joined by
-equality, which hashes and spreads evenly whatever the networks look like.
+equality, which needs no range test.
+
+Many addresses share a short prefix. Prefixes of up to 16 bits number 131,071 per family at
+most, so those networks are broadcast. A longer IPv4 prefix covers 32,768 addresses at most; IPv6 prefixes
+have no such bound and are salted.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from pyspark.sql import functions as F
 from hitfold.functions import ip
 
 PLACE = ("country", "region", "city")
+SHORT_PREFIX = 16
+V6_SALTS = 16
 
 
 def _digits(address: str) -> Column:
@@ -69,13 +75,25 @@ def locate(
     addresses: DataFrame, networks: DataFrame, column: str = "remote_addr"
 ) -> DataFrame:
     """Location text, country, region and city of each distinct address."""
+    distinct = addresses.select(F.col(column).alias("address")).distinct()
+    return with_location(distinct, "address", networks)
+
+
+def with_location(
+    rows: DataFrame, column: str, networks: DataFrame | None = None
+) -> DataFrame:
+    """Add location, country, region and city to distinct rows that name an address.
+
+    Without networks only the class of the address is told.
+    """
+    if networks is None:
+        label = F.expr(ip.class_label(ip.address_class(column)))
+        return rows.withColumns({"location": label, **{name: F.lit("") for name in PLACE}})
     keys = network_keys(networks)
     in_use = lengths_in_use(keys)
-    classed = (
-        addresses.select(F.col(column).alias("address"))
-        .distinct()
-        .withColumn("_a", F.trim("address"))
-        .select("address", F.expr(ip.address_class("_a")).alias("class"), _digits("_a").alias("digits"))
+    own = rows.columns
+    classed = rows.withColumn("_a", F.trim(column)).select(
+        *own, F.expr(ip.address_class("_a")).alias("class"), _digits("_a").alias("digits")
     )
 
     def probes_of(family: int) -> Column:
@@ -92,39 +110,40 @@ def locate(
         return F.array(*cuts) if cuts else none
 
     # only public addresses are looked up, the others have a fixed label
-    probes = (
-        classed.where(F.col("class") == "public")
-        .select(
-            "address",
-            F.explode(
-                F.when(F.length("digits") == 8, probes_of(4)).otherwise(probes_of(6))
-            ).alias("p"),
-        )
-        .select("address", "p.*")
+    cuts = F.when(
+        F.col("class") == "public",
+        F.when(F.length("digits") == 8, probes_of(4)).otherwise(probes_of(6)),
+    )
+    spread = F.xxhash64(column)
+    v6_salt = F.when(F.col("p.family") == 6, F.pmod(spread, F.lit(V6_SALTS))).otherwise(F.lit(0))
+    probes = classed.select(*own, "class", F.explode_outer(cuts).alias("p")).select(
+        *own,
+        "class",
+        "p.*",
+        # short cuts have no partner among the long ones: their salt only spreads them
+        F.when(F.col("p.length") > SHORT_PREFIX, v6_salt).otherwise(spread).alias("salt"),
     )
-    best = (
-        probes.join(keys, ["family", "length", "prefix"])
-        .groupBy("address")
-        .agg(F.max_by(F.struct(*PLACE), "length").alias("place"))
-        .select("address", "place.*")
+    cut = ["family", "length", "prefix"]
+    place = F.struct("length", *PLACE)
+    short = keys.where(F.col("length") <= SHORT_PREFIX).groupBy(*cut).agg(F.max(place).alias("wide"))
+    zero = F.lit(0).cast("bigint")
+    salts = F.when(
+        F.col("family") == 6, F.sequence(zero, F.lit(V6_SALTS - 1).cast("bigint"))
+    ).otherwise(F.array(zero))
+    long = keys.where(F.col("length") > SHORT_PREFIX).select(
+        *cut, place.alias("narrow"), F.explode(salts).alias("salt")
     )
-    located = classed.join(best, "address", "left")
-    text = lambda name: F.coalesce(F.col(name), F.lit(""))
+    located = (
+        probes.join(F.broadcast(short), cut, "left")
+        .join(long, [*cut, "salt"], "left")
+        .groupBy(*own, "class")
+        .agg(F.max(F.coalesce("narrow", "wide")).alias("p"))
+    )
+    text = {name: F.coalesce(F.col(f"p.{name}"), F.lit("")) for name in PLACE}
     location = F.when(
         F.col("class") == "public",
-        F.expr(ip.place_name(*[f"coalesce({name}, '')" for name in PLACE])),
+        F.expr(ip.place_name(*[f"coalesce(p.{name}, '')" for name in PLACE])),
     ).otherwise(F.expr(ip.class_label("class")))
     return located.select(
-        "address", location.alias("location"), *[text(name).alias(name) for name in PLACE]
+        *own, location.alias("location"), *[text[name].alias(name) for name in PLACE]
     )
-
-
-def with_location(
-    rows: DataFrame, column: str, networks: DataFrame | None = None
-) -> DataFrame:
-    """Add location, country, region and city to rows that name an address."""
-    if networks is not None:
-        located = locate(rows, networks, column)
-        return rows.join(located.withColumnRenamed("address", column), column, "left")
-    label = F.expr(ip.class_label(ip.address_class(column)))
-    return rows.withColumns({"location": label, **{name: F.lit("") for name in PLACE}})

@@ -54,13 +54,14 @@ def orphans(files: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def with_site(lines: DataFrame, sites: DataFrame) -> DataFrame:
-    """Add ``site_id`` to lines by their file: the site whose log path starts the file's path.
+def with_site(rows: DataFrame, sites: DataFrame) -> DataFrame:
+    """Add ``site_id`` by ``file_path``: the site whose log path starts the file's path.
 
     Distinct files are matched by equality on every prefix of their path, which stands for
-    ``startswith`` without pairing each file with each site.
+    ``startswith`` without pairing each file with each site. Pass staged rows, whose
+    paths are one small column, rather than raw text.
     """
-    files = lines.select("file_path").distinct().withColumn(
+    files = rows.select("file_path").distinct().withColumn(
         "_path", F.regexp_replace("file_path", "^file:/+", "/")
     )
     prefixes = F.transform(
@@ -72,4 +73,4 @@ def with_site(lines: DataFrame, sites: DataFrame) -> DataFrame:
         .groupBy("file_path")
         .agg(F.max_by("site_id", F.length("log_path")).alias("site_id"))
     )
-    return lines.join(owners, "file_path")
+    return rows.join(owners, "file_path")

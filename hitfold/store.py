@@ -26,6 +26,7 @@ from hitfold.operators.sites import merge_details, merge_rollup
 from hitfold.options import Options
 from hitfold.schema import DIMENSION_DAY, METRIC_MINUTE, ROLLUPS, SPIDER_MINUTE, UNIQUE_HOUR
 from hitfold.session import remove_path, stored
+from hitfold.sources import registry
 
 DETAIL = "request_detail"
 STATS = "ingest_stats"
@@ -69,8 +70,6 @@ def fold(
     by_minute = clock.local_day("minute_ts").alias("day")
     days = R.clients_from_cube(cube).unionByName(R.dimension_day(enriched, ("ip", "uri")))
     kept = E.keep_details(enriched, detail_since, error_since)
-    if "id" not in kept.columns:
-        kept = kept.withColumn("id", F.lit(None).cast("string"))
     return {
         METRIC_MINUTE.name: R.metric_from_cube(cube).select("*", by_minute),
         SPIDER_MINUTE.name: R.spider_from_cube(cube).select("*", by_minute),
@@ -78,7 +77,7 @@ def fold(
         UNIQUE_HOUR.name: R.unique_hll_hour(enriched, options).select(
             "*", clock.local_day("hour_ts").alias("day")
         ),
-        DETAIL: E.details(kept.withColumn("id", F.col("id").cast("string"))),
+        DETAIL: E.details(kept),
     }
 
 
@@ -143,21 +142,26 @@ class Store:
 
     def ingest(
         self, batch: str, judged: DataFrame, detail_since: int = 0, error_since: int = 0,
-        stage: bool = True,
+        stage: bool = True, sites: DataFrame | None = None,
     ) -> None:
         """Fold judged events (with ``site_id``, ``file_path`` and ``verdict``) into one batch.
 
         Parsing and classifying happen once: a history load stages its rows in the shared
         folder, which also survives lost executors; a micro-batch is small and is cached.
+        Without ``site_id``, rows get their site from ``sites`` by their file.
         """
-        enriched = E.enrich(judged, self.options)
+        given = F.col("id") if "id" in judged.columns else F.monotonically_increasing_id()
+        enriched = E.enrich(judged, self.options).withColumn(
+            "id", F.concat(F.lit(f"{batch}:"), F.lpad(given.cast("string"), 20, "0"))
+        )
         held, path = stored(enriched, "events") if stage else (enriched.persist(), None)
         try:
-            stats = P.accounting(held, ["site_id", "file_path"]).select(
+            rows = held if sites is None else registry.with_site(held, sites)
+            stats = P.accounting(rows, ["site_id", "file_path"]).select(
                 F.coalesce("site_id", F.lit(0)).alias("site_id"), "file_path", "lines",
                 "events", "rejected", F.current_date().alias("day"),
             )
-            events = P.accepted(held)
+            events = P.accepted(rows)
             cube = R.traffic_cube(events).persist()
             tables = fold(events, cube, self.options, detail_since, error_since)
             self.append(batch, {**tables, STATS: stats})

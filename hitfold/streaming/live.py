@@ -18,7 +18,6 @@ from hitfold.functions.columns import flag
 from hitfold.operators import parse as P
 from hitfold.operators.enrich import enrich
 from hitfold.options import HISTORY_DAYS, HISTORY_DETAIL_DAYS, Options
-from hitfold.sources import registry
 from hitfold.store import STATS, Store
 
 OBSERVED = "ingest"
@@ -134,9 +133,8 @@ def load_lines(
     detail_since: int = 0, error_since: int = 0,
 ) -> None:
     """Parse log lines once and fold them into one batch of the store."""
-    parsed = P.parse_lines(registry.with_site(lines, sites))
-    judged = P.judge(parsed, store.options, since)
-    store.ingest(batch, judged, detail_since, error_since)
+    judged = P.judge(P.parse_lines(lines), store.options, since)
+    store.ingest(batch, judged, detail_since, error_since, sites=sites)
 
 
 def windowed_metrics(

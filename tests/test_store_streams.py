@@ -170,3 +170,20 @@ def test_windowed_stream(spark, tmp_path):
     query.awaitTermination()
     rows = spark.table("minutes").groupBy("minute_ts").agg(F.max("requests").alias("n")).collect()
     assert sorted(r.n for r in rows) == [6, 6]
+
+
+def test_reads_prune_folders_and_push_filters(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), OPTIONS).create()
+    store.ingest("b-0", judged(spark, (NOW, 1), (NOW - 40 * DAY, 2)))
+    answers = reports.dashboard(store.tables(), 1, Period(NOW - DAY, NOW + 1))
+    plan = answers["overview"]._jdf.queryExecution().executedPlan().toString()
+    pruned = [part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:]]
+    assert pruned and all("batch#" in p and "day#" in p for p in pruned)
+    assert "EqualTo(site_id,1)" in plan and "GreaterThanOrEqual(minute_ts" in plan
+    pages = reports.request_page(store.tables(), 1, Period(NOW - DAY, NOW + 1), query="1.1.1")
+    assert [r.remote_addr for r in pages["items"].collect()] == ["1.1.1.1"]
+    assert pages["total"].first().total == 1
+    report = reports.report(store.tables(), 1, Period(NOW - DAY, NOW + 1))
+    assert report["top_uri"].first().name == "/p" and report["top_ip"].count() == 1
+    assert reports.resolve_site(sites(spark), 2) == 2 and reports.resolve_site(sites(spark), 9) == 1
+    assert reports.clients(store.tables(), 1, Period(NOW - DAY, NOW + 1)).count() == 3

@@ -218,7 +218,9 @@ def in_networks(a: str, cidrs: Sequence[str]) -> str:
         networks.append(net)
     in_v4 = _any([_in_v4(n, a) for n in networks if n.version == 4])
     v6 = [n for n in networks if n.version == 6]
-    in_v6 = let(v6_hex(a), lambda d: _any([_in_v6(n, d) for n in v6])) if v6 else "false"
+    if not v6:
+        return f"coalesce({in_v4} AND NOT contains({a}, ':'), false)"
+    in_v6 = let(v6_hex(a), lambda d: _any([_in_v6(n, d) for n in v6]))
     return f"coalesce(CASE WHEN contains({a}, ':') THEN {in_v6} ELSE {in_v4} END, false)"
 
 
@@ -264,7 +266,15 @@ def client_behind(peer: str, fields: Mapping[str, str], trusted: Sequence[str])
             outside = f"filter(reverse({chain}), {foreign} -> NOT {in_networks(foreign, trusted)})"
             return f"coalesce(get({outside}, 0), get({chain}, 0))"
 
-        named.append(let(hops, outermost))
+        # most chains end in one or two plain IPv4 hops: those need no arrays
+        last = f"trim(substring_index({forwarded}, ',', -1))"
+        before = f"trim(substring_index(substring_index({forwarded}, ',', -2), ',', 1))"
+        plain_foreign = lambda hop: f"{is_v4(hop)} AND NOT {in_networks(hop, trusted)}"
+        named.append(
+            f"CASE WHEN {plain_foreign(last)} THEN {last} "
+            f"WHEN {is_v4(last)} AND {plain_foreign(before)} THEN {before} "
+            f"ELSE {let(hops, outermost)} END"
+        )
     return (
         f"CASE WHEN {peer} IS NULL THEN '' WHEN NOT {in_networks(peer, trusted)} THEN {peer} "
         f"ELSE coalesce({', '.join([*named, peer])}) END"

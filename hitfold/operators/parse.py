@@ -115,7 +115,7 @@ MESSAGE_FIELDS = (
     "method", "uri", "protocol", "status", "bytes", "referer", "ua", "user_agent", "cookie",
 )
 # Tag of a live message, with the site id, before the JSON body.
-MESSAGE = r"(?s)(?:^|[\t-\r ])wa_([0-9]+)_access:[\t-\r ]*(\{.*\})[\t-\r ]*$"
+MESSAGE = r"(?s)^(?:.*?[\t-\r ])?wa_([0-9]+)_access:[\t-\r ]*(\{.*\})[\t-\r ]*$"
 _JSON_OPTIONS = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
 _ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"
 
@@ -141,10 +141,14 @@ def parse_messages(messages: DataFrame, options: Options, column: str = "value")
     keep = [c for c in messages.columns if c != column]
     text = F.col(column).cast("string")
     schema = ", ".join(f"`{name}` STRING" for name in MESSAGE_FIELDS)
+    # site number and body on two lines; text that does not match stays as it is
+    found = once(messages.withColumn("_text", text), _found=F.regexp_replace("_text", MESSAGE, "$1\n$2"))
+    matched = F.col("_found") != F.col("_text")
+    line = lambda i: F.element_at(F.split("_found", "\n", 2), i)
     split = once(
-        messages,
-        panel_site_id=F.regexp_extract(text, MESSAGE, 1).try_cast("bigint"),
-        _j=F.from_json(F.regexp_extract(text, MESSAGE, 2), schema, _JSON_OPTIONS),
+        found.select(*keep, "_text", "_found"),
+        panel_site_id=F.when(matched, line(1).try_cast("bigint")),
+        _j=F.when(matched, F.from_json(line(2), schema, _JSON_OPTIONS)),
     )
     field = lambda name: F.col(f"_j.{name}")
     text_of = lambda name: F.coalesce(field(name), F.lit(""))
@@ -156,7 +160,7 @@ def parse_messages(messages: DataFrame, options: Options, column: str = "value")
         _peer=F.expr(ip.peer_address(headers)),
         _time=iso_time(field("time"), options.timezone),
         _status=_whole_number(F.coalesce(field("status"), F.lit("0"))).try_cast("int"),
-        _size=F.when(size < 0, F.lit(0).cast("bigint")).otherwise(size),
+        _size=size,
     )
     valid = (
         F.col("panel_site_id").isNotNull()
@@ -172,7 +176,7 @@ def parse_messages(messages: DataFrame, options: Options, column: str = "value")
             "uri": text_of("uri"),
             "protocol": text_of("protocol"),
             "status": F.col("_status"),
-            "body_bytes": F.col("_size"),
+            "body_bytes": F.greatest(F.lit(0).cast("bigint"), F.col("_size")),
             "referer": text_of("referer"),
             "user_agent": F.coalesce(F.nullif(field("ua"), F.lit("")), text_of("user_agent")),
             "host": text_of("host"),

@@ -58,8 +58,8 @@ def metric_partials(enriched: DataFrame) -> DataFrame:
         "site_id",
         "minute_ts",
         one().alias("requests"),
-        F.col("pv"),
-        F.col("body_bytes"),
+        "pv",
+        "body_bytes",
         flag(R.error_in_range(F.col("status"))).alias("errors"),
         flag(F.col("is_bot")).alias("bot_requests"),
     )
@@ -72,7 +72,7 @@ def spider_partials(enriched: DataFrame) -> DataFrame:
         "minute_ts",
         "spider",
         one().alias("requests"),
-        F.col("body_bytes"),
+        "body_bytes",
         flag(R.error_in_range(F.col("status"))).alias("errors"),
     )
 

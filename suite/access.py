@@ -7,7 +7,6 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitfold.functions import clock
 from hitfold.operators.enrich import enrich
 from hitfold.options import Options
 from hitfold.plans.periods import DAY, Period
@@ -32,41 +31,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def access(spark: SparkSession, folder: str) -> DataFrame:
     """One request per row of ``events``."""
-    c = F.col
-    k = F.get_json_object("props", "$.k")
-    net = F.element_at(
-        F.array(*map(F.lit, ("203.0.113.", "10.0.0.", "9.9.9.", "192.168.1."))),
-        (c("user_id") % 4 + 1).cast("int"),
-    )
-    kind, event = c("event_type"), c("event_id")
-    return table(spark, folder, "events").select(
-        event.alias("id"),
-        (c("user_id") % 5 + 1).alias("site_id"),
-        clock.ntz_epoch("ts").alias("timestamp"),
-        F.concat(net, (c("user_id") % 250).cast("string")).alias("remote_addr"),
-        F.when(event % 17 == 0, F.lit("HEAD"))
-        .when(kind.isin("signup", "purchase"), F.lit("POST"))
-        .otherwise(F.lit("GET"))
-        .alias("method"),
-        F.when((kind == "click") & (event % 3 == 0), F.concat(F.lit("/assets/app.js?v="), k))
-        .when(
-            kind == "view",
-            F.concat(F.lit("/articles/"), k, F.lit("?id="), c("user_id").cast("string")),
-        )
-        .when(kind == "error", F.concat(F.lit("/missing/"), k, F.lit(".php")))
-        .when(kind == "click", F.lit("/"))
-        .otherwise(F.concat(F.lit("/api/"), kind))
-        .alias("uri"),
-        F.lit("HTTP/1.1").alias("protocol"),
-        F.when(kind == "error", F.when(event % 2 == 0, F.lit(404)).otherwise(F.lit(500)))
-        .when((kind == "click") & (event % 11 == 0), F.lit(304))
-        .otherwise(F.lit(200))
-        .alias("status"),
-        F.floor(c("value") * 100).cast("bigint").alias("body_bytes"),
-        F.lit("-").alias("referer"),
-        F.element_at(F.array(*map(F.lit, AGENTS)), (c("user_id") % 8 + 1).cast("int")).alias(
-            "user_agent"
-        ),
+    agents = ", ".join(f"'{agent}'" for agent in AGENTS)
+    k = "get_json_object(props, '$.k')"
+    return table(spark, folder, "events").selectExpr(
+        "event_id AS id",
+        "user_id % 5 + 1 AS site_id",
+        "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) AS timestamp",
+        "concat(element_at(array('203.0.113.', '10.0.0.', '9.9.9.', '192.168.1.'), "
+        "int(user_id % 4 + 1)), user_id % 250) AS remote_addr",
+        "CASE WHEN event_id % 17 = 0 THEN 'HEAD' "
+        "WHEN event_type IN ('signup', 'purchase') THEN 'POST' ELSE 'GET' END AS method",
+        f"CASE WHEN event_type = 'click' AND event_id % 3 = 0 THEN concat('/assets/app.js?v=', {k}) "
+        f"WHEN event_type = 'view' THEN concat('/articles/', {k}, '?id=', user_id) "
+        f"WHEN event_type = 'error' THEN concat('/missing/', {k}, '.php') "
+        "WHEN event_type = 'click' THEN '/' ELSE concat('/api/', event_type) END AS uri",
+        "'HTTP/1.1' AS protocol",
+        "CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 2 = 0 THEN 404 ELSE 500 END "
+        "WHEN event_type = 'click' AND event_id % 11 = 0 THEN 304 ELSE 200 END AS status",
+        "CAST(floor(value * 100) AS BIGINT) AS body_bytes",
+        "'-' AS referer",
+        f"element_at(array({agents}), int(user_id % 8 + 1)) AS user_agent",
     )
 
 

@@ -137,6 +137,36 @@ def test_client_address_behind_proxies(spark):
     assert client(spark, ten, remote_addr="nonsense") == ""
 
 
+def walk(peer, chain, nets):
+    """Rightmost hop outside the trusted networks, by a plain loop."""
+    trusted = lambda a: any(ipaddress.ip_address(a) in n for n in nets)
+    if not trusted(peer):
+        return peer
+    hops = []
+    for hop in chain.split(","):
+        hop = hop.strip().strip("[]")
+        if hop.count(":") == 1 and "." in hop:
+            hop = hop.split(":")[0]
+        try:
+            hops.append(str(ipaddress.ip_address(hop)))
+        except ValueError:
+            pass
+    return next((h for h in reversed(hops) if not trusted(h)), hops[0] if hops else peer)
+
+
+def test_forwarding_chains_match_a_plain_walk(spark):
+    cidrs = ["10.0.0.0/8", "172.16.0.0/12", "fc00::/7"]
+    nets = [ipaddress.ip_network(c) for c in cidrs]
+    hops = ["10.0.0.1", " 10.2.3.4 ", "8.8.8.8", "172.20.0.1:99", " 9.9.9.9:80", "junk", "", "-", "[2001:db8::1]", "fd00::2",
+            "2001:DB8:0:0::5", "\t1.1.1.1"]
+    chains = {",".join(rng.choice(hops) for _ in range(rng.randint(1, 4))) for _ in range(1500)}
+    rows = [(rng.choice(["10.9.9.9", "172.31.0.1", "4.4.4.4"]), c) for c in sorted(chains)]
+    fields = {"remote_addr": "p", "x_forwarded_for": "x"}
+    df = once(spark.createDataFrame(rows, "p string, x string"), peer=F.expr(ip.peer_address(fields)))
+    for r in df.select("p", "x", F.expr(ip.client_behind("peer", fields, cidrs)).alias("c")).collect():
+        assert r.c == walk(r.p, r.x, nets), (r.p, r.x)
+
+
 def test_hashes(spark):
     row = spark.createDataFrame([("1.2.3.4", "ua é")], "ip string, ua string").select(
         R.visitor_hash(F.col("ip"), F.col("ua"), "s").alias("v"), R.ip_hash(F.col("ip"), "s").alias("i")

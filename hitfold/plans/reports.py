@@ -9,6 +9,7 @@ from hitfold.plans import lookup, rankings
 from hitfold.plans import overview as O
 from hitfold.plans import trend as T
 from hitfold.plans.periods import Period, period_range
+from hitfold.sources import exports
 
 Tables = dict[str, DataFrame]
 
@@ -74,5 +75,13 @@ def request_page(
     return {"items": lookup.page(found, page, page_size, networks), "total": lookup.count(found)}
 
 
+def export_requests(
+    tables: Tables, site_id: int, period: Period, path: str, **search
+) -> None:
+    """A page of requests as a CSV file set."""
+    items = request_page(tables, site_id, period, **search)["items"]
+    exports.write_csv(exports.request_rows(items, period.timezone), path)
+
+
 def named_period(name: str, now: float, tz: str = "UTC") -> Period:
     return period_range(name, now, tz)

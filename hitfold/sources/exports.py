@@ -33,6 +33,15 @@ def guarded(rows: DataFrame) -> DataFrame:
     )
 
 
+# Columns of the report export.
+REPORT_COLUMNS = ("name", "requests", "body_bytes", "errors")
+
+
+def report_rows(ranked: DataFrame) -> DataFrame:
+    """The ranking of a report as exported."""
+    return guarded(ranked.select(*REPORT_COLUMNS))
+
+
 def write_csv(rows: DataFrame, path: str, quote_all: bool = False) -> None:
     """Write with a header. Cells are quoted where needed, or all of them."""
     (

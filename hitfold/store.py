@@ -103,14 +103,14 @@ class Store:
         return self.spark.read.schema(COMMIT_SCHEMA + ", id STRING").parquet(self.path(COMMITS))
 
     def active_batches(self) -> list[str]:
-        """Committed batches that no compaction has replaced: one name per live batch."""
-        commits = self.commits()
-        replaced = commits.select(F.explode("replaces").alias("batch"))
-        rows = commits.select("batch").join(replaced, "batch", "left_anti").collect()
-        return sorted({r.batch for r in rows})
+        """Committed batches that no compaction has replaced: one short row per batch."""
+        rows = self.commits().select("batch", "replaces").collect()
+        replaced = {name for row in rows for name in row.replaces}
+        return sorted({row.batch for row in rows} - replaced)
 
     def _write(self, table: str, batch: str, rows: DataFrame) -> None:
-        columns = [c for c in self.spark.createDataFrame([], SCHEMAS[table]).columns if c != "batch"]
+        columns = [part.split()[0] for part in SCHEMAS[table].split(", ")]
+        columns.remove("batch")
         (
             rows.select(*columns)
             .hint("rebalance", "day")
@@ -174,14 +174,16 @@ class Store:
 
     # -- reading -------------------------------------------------------------------
 
-    def partials(self, table: str) -> DataFrame:
+    def partials(self, table: str, batches: list[str] | None = None) -> DataFrame:
         """Rows of the committed batches; the batch filter prunes folders."""
+        names = self.active_batches() if batches is None else batches
         rows = self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
-        return rows.where(F.col("batch").isin(self.active_batches()))
+        return rows.where(F.col("batch").isin(names))
 
     def tables(self) -> dict[str, DataFrame]:
-        """Every table for the read API, which merges partials by itself."""
-        return {name: self.partials(name) for name in SCHEMAS}
+        """Every table, as of now, for the read API, which merges partials by itself."""
+        batches = self.active_batches()
+        return {name: self.partials(name, batches) for name in SCHEMAS}
 
     def merged(self, table: str) -> DataFrame:
         return R.merge(self.partials(table), ROLLUPS[table])
@@ -200,8 +202,7 @@ class Store:
         if not batches:
             return None
         base = f"base-{uuid.uuid4().hex}"
-        rows = lambda table: self.partials(table).where(F.col("batch").isin(batches))
-        self._write_all(base, {table: change(table, rows(table)) for table in SCHEMAS})
+        self._write_all(base, {t: change(t, self.partials(t, batches)) for t in SCHEMAS})
         self._commit(base, batches)
         return base
 
@@ -286,6 +287,9 @@ class Store:
                     for day in self._folders(folder, "day="):
                         if day < first_day[table]:
                             removed += remove_path(self.spark, f"{folder}/day={day}")
+        for batch in self._folders(self.path(COMMITS), "id="):
+            if batch not in active and not batch.startswith("base-"):
+                remove_path(self.spark, f"{self.path(COMMITS)}/id={batch}")
         return removed
 
     def _folders(self, path: str, prefix: str) -> list[str]:

@@ -12,7 +12,7 @@ from hitfold.options import Options
 from hitfold.plans import reports
 from hitfold.plans.periods import Period
 from hitfold.schema import SITE
-from hitfold.sources import logs
+from hitfold.sources import exports, logs
 from hitfold.store import Store
 from hitfold.streaming import live
 
@@ -187,3 +187,7 @@ def test_reads_prune_folders_and_push_filters(spark, tmp_path):
     assert report["top_uri"].first().name == "/p" and report["top_ip"].count() == 1
     assert reports.resolve_site(sites(spark), 2) == 2 and reports.resolve_site(sites(spark), 9) == 1
     assert reports.clients(store.tables(), 1, Period(NOW - DAY, NOW + 1)).count() == 3
+    reports.export_requests(store.tables(), 1, Period(NOW - DAY, NOW + 1), str(tmp_path / "csv"))
+    text = "".join(p.read_text() for p in (tmp_path / "csv").glob("*.csv"))
+    assert ",1.1.1.1,GET,/p,200,10,Other,Other,Bot,Googlebot" in text
+    assert exports.report_rows(report["top_uri"]).columns == list(exports.REPORT_COLUMNS)

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitfold.operators.sites import number_rows
+from hitfold.session import reliable
+
+
+OWNERS_BYTES = 32 << 20
 
 
 def registered(rows: DataFrame, log_folder: str) -> DataFrame:
@@ -73,4 +77,7 @@ def with_site(rows: DataFrame, sites: DataFrame) -> DataFrame:
         .groupBy("file_path")
         .agg(F.max_by("site_id", F.length("log_path")).alias("site_id"))
     )
-    return rows.join(owners, "file_path")
+    owners = reliable(owners, "owners")
+    size = owners.agg(F.sum(F.length("file_path") + 16)).first()[0] or 0
+    # every task needs the whole list or, past the limit, AQE splits the files that are large
+    return rows.join(F.broadcast(owners) if size <= OWNERS_BYTES else owners, "file_path")

@@ -106,9 +106,9 @@ def q03_dimensions_from_cube(spark, folder):
 
 @query
 def q03_additive_upsert(spark, folder):
-    """Odd and even rows as two batches; the second is added to the first."""
-    rows = requests(spark, folder)
-    first, second = (U.metric_minute(rows.where(F.col("id") % 2 == n)) for n in (0, 1))
+    """Posted and other requests as two batches; the second is added to the first."""
+    rows, posted = requests(spark, folder), F.col("method") == "POST"
+    first, second = (U.metric_minute(rows.where(part)) for part in (posted, ~posted))
     return U.add(first, second, METRIC_MINUTE)
 
 
@@ -667,8 +667,9 @@ def q26_store_history(spark, folder):
     rows = access(spark, folder).withColumns(
         {"verdict": F.lit("accepted"), "file_path": F.lit("log")}
     )
-    for part in (0, 1, 1):
-        store.ingest(f"part-{part}", rows.where(F.col("id") % 2 == part))
+    posted = F.col("method") == "POST"
+    for name, part in (("posted", posted), ("other", ~posted), ("other", ~posted)):
+        store.ingest(name, rows.where(part))
     store.compact()
     return text_day(store.merged("dimension_day"))
 

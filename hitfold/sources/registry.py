@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from hitfold.operators.sites import number_rows
 from hitfold.session import reliable
 
-
 OWNERS_BYTES = 32 << 20
 
 

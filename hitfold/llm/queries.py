@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from hitfold.llm import lines
+from hitfold.llm.lines import op3_line_dedup
 from hitfold.llm.mixing import op10_mix_sources
 
 QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {**lines.ORACLE}

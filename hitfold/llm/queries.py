@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from hitfold.llm import lines
 from hitfold.llm.lines import op3_line_dedup
+from hitfold.llm.minhash import op2_near_duplicates
 from hitfold.llm.mixing import op10_mix_sources
 
 QUERIES = {
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_line_dedup": op3_line_dedup,
     "op10_mix_sources": op10_mix_sources,
 }

@@ -6,8 +6,10 @@ from hitfold.llm import lines
 from hitfold.llm.lines import op3_line_dedup
 from hitfold.llm.minhash import op2_near_duplicates
 from hitfold.llm.mixing import op10_mix_sources
+from hitfold.llm.packing import op1_best_fit_packing
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_line_dedup": op3_line_dedup,
     "op10_mix_sources": op10_mix_sources,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from hitfold.llm import lines
+from hitfold.llm.idfile import op4_token_ids
 from hitfold.llm.lines import op3_line_dedup
 from hitfold.llm.minhash import op2_near_duplicates
 from hitfold.llm.mixing import op10_mix_sources
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_line_dedup": op3_line_dedup,
+    "op4_token_ids": op4_token_ids,
     "op10_mix_sources": op10_mix_sources,
 }
 

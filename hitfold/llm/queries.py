@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from hitfold.llm import lines
 from hitfold.llm.idfile import op4_token_ids
+from hitfold.llm.language import op6_language_id
 from hitfold.llm.lines import op3_line_dedup
 from hitfold.llm.minhash import op2_near_duplicates
 from hitfold.llm.mixing import op10_mix_sources
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_ids": op4_token_ids,
+    "op6_language_id": op6_language_id,
     "op10_mix_sources": op10_mix_sources,
 }
 

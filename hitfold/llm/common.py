@@ -164,22 +164,27 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 # --- packed integers -----------------------------------------------------------------------------
 
 
-def planes(values: np.ndarray) -> bytes:
-    """64-bit integers, byte plane by byte plane: planes of zeros compress to nothing in the shuffle."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def squeeze(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed: planes of small or sorted values take almost no room."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize)
+    return len(values).to_bytes(8, "little") + (pa.compress(np.ascontiguousarray(raw.T).tobytes(), "zstd", asbytes=True) if len(values) else b"")
 
 
-def unplanes(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).reshape(-1).view("<u8")
+def expand(blob: bytes, kind: str) -> np.ndarray:
+    n, size = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.empty(0, kind)
+    raw = pa.decompress(blob[8:], n * size, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).reshape(-1).view(kind)
 
 
-def pack_sorted(values: np.ndarray) -> bytes:
-    """Ascending 64-bit integers as the planes of their differences."""
-    return planes(np.diff(values, prepend=np.uint64(0)))
+def squeeze_sorted(values: np.ndarray) -> bytes:
+    """Ascending 64-bit integers by their differences."""
+    return squeeze(np.diff(values, prepend=np.uint64(0)))
 
 
-def unpack_sorted(blob: bytes) -> np.ndarray:
-    return np.cumsum(unplanes(blob), dtype=np.uint64)
+def expand_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(expand(blob, "<u8"), dtype=np.uint64)
 
 
 # --- membership with a bounded broadcast ---------------------------------------------------------

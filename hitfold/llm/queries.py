@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from hitfold.llm import lines
 from hitfold.llm.idfile import op4_token_ids
+from hitfold.llm.katz import op9_lm_scoring
 from hitfold.llm.language import op6_language_id
 from hitfold.llm.lines import op3_line_dedup
 from hitfold.llm.minhash import op2_near_duplicates
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_token_ids": op4_token_ids,
     "op6_language_id": op6_language_id,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_mix_sources": op10_mix_sources,
 }
 

@@ -4,10 +4,13 @@
    Documents with equal sets are one class from here on, represented by the smallest doc_id.
 2. Each band of a signature is a bucket key. Buckets with more than one class are candidates: a pair at the threshold
    of 0.8 shares none of the 32 bands of 4 rows with a probability below 5e-8.
-3. Links are looked for in stars, not in all pairs. A bucket is dealt into parts of about ``STAR`` classes; all of a part are compared
-   with its best connected member. Linked classes are united. Buckets whose classes have all met are done. After ``ROUNDS``
-   rounds, classes of one bucket that are still apart are compared pair by pair, so no link between components is missed.
-4. A comparison reads both full sets. Only classes that are in some comparison have theirs made, in a second pass over the texts
+3. Links are first looked for in stars. A bucket is dealt into parts of about ``STAR`` classes; all of a part are compared
+   with its best connected member. Linked classes are united, and buckets whose classes have all met are done.
+4. Classes of the other buckets may still have links between components. They are gathered into neighbourhoods (classes joined by such
+   buckets) and dealt into blocks of about ``BLOCK``; two blocks meet in one task, which counts all their intersections as
+   products of sparse rows. Blocks of one component don't meet themselves, nor blocks whose set sizes differ too much. Pairs
+   never become rows; a task returns at most one link for each union it makes.
+5. A comparison reads full sets. Only classes that are in some comparison have theirs made, in another pass over the texts
    that a bounded filter keeps narrow.
 
 Links, components and signatures never reach the driver, only counts and the filter's bits.
@@ -28,7 +31,9 @@ from hitfold.llm.common import Membership, column_of, components, documents, mix
 
 SHINGLE, PERCENT = 4, 80
 BANDS, ROWS = 32, 4
-STAR, ROUNDS = 512, 2
+STAR, BLOCK = 512, 256
+#: Shared shingles handled at once when two blocks meet.
+COLUMNS = 4096
 _WEIGHTS = [int(x) | 1 for x in seeded(23, 64)]
 
 
@@ -145,6 +150,87 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> Data
     )
 
 
+def between(docs: DataFrame, rest: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between components of one area: enough to unite all that any link unites.
+
+    ``rest`` has one row a class: (rep, component, area).
+    """
+    sets = full_sets(docs, rest.select(F.col("rep").alias("doc_id"))).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
+    sized = written(sets.join(rest, "rep").withColumn("size", F.length("shingles") / 8), "sets")
+    # a component with half a block of classes has blocks of its own; the others share blocks; sizes of one block differ by little
+    own = sized.groupBy("area", "component").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= BLOCK // 2).select("area", "component", F.lit(True).alias("large"))
+    kind = (
+        sized.drop("shingles").join(own, ["area", "component"], "left")
+        .withColumn("pool", F.when(F.col("large"), F.col("component").cast("string")).otherwise(F.lit("")))
+        .withColumn("band", F.floor(F.log(F.col("size")) / F.log(F.lit(1.25))))
+    )
+    many = kind.groupBy("area", "pool", "band").agg(F.count(F.lit(1)).alias("m"))
+    dealt = written(
+        kind.join(many, ["area", "pool", "band"])
+        .select("rep", "area", "pool", "size", F.struct("pool", "band", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / BLOCK)).alias("part")).alias("block")),
+        "blocks",
+    )
+    block = dealt.groupBy("area", "pool", "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.count(F.lit(1)).alias("m"))
+    left, right = block.alias("l"), block.alias("r")
+    meet = left.join(right, "area").filter(
+        (F.col("l.block") < F.col("r.block")) & ((F.col("l.pool") == "") | (F.col("l.pool") != F.col("r.pool"))) | (F.col("l.block") == F.col("r.block")) & (F.col("l.pool") == "") & (F.col("l.m") > 1)
+    ).filter(f"100 * l.hi >= {percent} * r.lo AND 100 * r.hi >= {percent} * l.lo")
+    meet = meet.select("area", F.xxhash64("area", "l.block", "r.block").alias("meeting"), F.explode(F.array(
+        F.struct(F.col("l.block").alias("block"), F.lit(0).alias("side")), F.struct(F.col("r.block").alias("block"), F.lit(1).alias("side"))
+    )).alias("x")).select("area", "meeting", "x.block", "x.side")
+    rows = dealt.select("rep", "area", "block").join(meet, ["area", "block"]).select("rep", "meeting", "side").join(sized.select("rep", "component", "shingles"), "rep")
+
+    def compare(table):
+        rows = table.sort_by([("side", "ascending"), ("rep", "ascending")]).to_pydict()
+        sides = [[i for i, s in enumerate(rows["side"]) if s == k] for k in (0, 1)]
+        found = linked([rows["shingles"][i] for i in sides[0]], [rows["shingles"][i] for i in sides[1]], percent)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        for i, j in found:
+            i, j = sides[0][i], sides[1][j]
+            x, y = find(rows["component"][i]), find(rows["component"][j])
+            if x != y:
+                root[x] = y
+                out.append((rows["rep"][i], rows["rep"][j]))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return rows.select("meeting", "side", "rep", "component", "shingles").groupBy("meeting").applyInArrow(compare, "a long, b long")
+
+
+def linked(left: list[bytes], right: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Index pairs of two lists of packed sets that are linked, by products of 0/1 rows over the shared shingles."""
+    sets = [[np.frombuffer(x, np.uint64) for x in side] for side in (left, right)]
+    flat = [np.concatenate(side) for side in sets]
+    owner = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in sets]
+    shared = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    both = np.zeros((len(left), len(right)), np.float32)
+    places = []
+    for values, own in zip(flat, owner, strict=True):
+        at = np.searchsorted(shared, values) if len(shared) else np.zeros(len(values), np.int64)
+        hit = shared[np.minimum(at, len(shared) - 1)] == values if len(shared) else np.zeros(len(values), bool)
+        order = np.argsort(at[hit], kind="stable")
+        places.append((at[hit][order], own[hit][order]))
+    for a in range(0, len(shared), COLUMNS):
+        tables = []
+        for (at, own), n in zip(places, both.shape, strict=True):
+            lo, hi = np.searchsorted(at, [a, a + COLUMNS])
+            table = np.zeros((n, min(COLUMNS, len(shared) - a)), np.float32)
+            table[own[lo:hi], at[lo:hi] - a] = 1
+            tables.append(table)
+        both += tables[0] @ tables[1].T
+    sizes = [np.array([len(x) for x in side], np.int64) for side in sets]
+    both = np.rint(both).astype(np.int64)
+    union = sizes[0][:, None] + sizes[1][None, :] - both
+    return [(int(i), int(j)) for i, j in np.argwhere(100 * both >= percent * union)]
+
+
 def grouped(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
 
@@ -159,36 +245,23 @@ def grouped(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: i
     spread = classes.select("rep", F.explode("bands").alias("bucket"))
     busy = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = spread.join(busy, "bucket").select("bucket", "rep", "n")
-    degree = buckets.groupBy("rep").agg(F.sum("n").alias("degree"))
-    active = written(buckets.join(degree, "rep").select("bucket", "rep", "n", "degree", F.col("rep").alias("component")), "buckets")
-    links = tried = None
-    for turn in range(ROUNDS + 1):
-        if not active.limit(1).count():
-            break
-        if turn < ROUNDS:
-            deal = F.pmod(F.xxhash64(F.lit(turn), "rep"), F.ceil(F.col("n") / STAR))
-            rank = F.col("degree") if turn == 0 else F.xxhash64(F.lit(turn), "rep")
-            dealt = active.withColumn("part", deal)
-            pivot = dealt.groupBy("bucket", "part").agg(F.max_by("rep", F.struct(rank, -F.col("rep"))).alias("p"), F.max_by("component", F.struct(rank, -F.col("rep"))).alias("pc"))
-            pairs = dealt.join(pivot, ["bucket", "part"]).filter("component <> pc").select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b"))
-            # parts of one bucket meet through their pivots
-            hubs = pivot.join(pivot.groupBy("bucket").agg(F.min(F.struct("p", "pc")).alias("h")), "bucket").filter("pc <> h.pc")
-            pairs = pairs.union(hubs.select(F.least("p", "h.p").alias("a"), F.greatest("p", "h.p").alias("b")))
-        else:
-            left, right = active.alias("l"), active.alias("r")
-            pairs = left.join(right, F.expr("l.bucket = r.bucket AND l.rep < r.rep AND l.component <> r.component")).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
-        pairs = written((pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")).distinct(), "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = written(confirmed(docs, pairs, percent), "links")
-        links = found if links is None else links.union(found)
-        if turn == ROUNDS or not found.limit(1).count() and turn:
-            if turn == ROUNDS:
-                break
-            continue
+    links = None
+    if busy.limit(1).count():
+        degree = buckets.groupBy("rep").agg(F.sum("n").alias("degree"))
+        active = written(buckets.join(degree, "rep").select("bucket", "rep", "n", "degree"), "buckets")
+        dealt = active.withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / STAR)))
+        pivot = dealt.groupBy("bucket", "part").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("p"))
+        pairs = dealt.join(pivot, ["bucket", "part"]).filter("rep <> p").select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b"))
+        links = written(confirmed(docs, written(pairs.distinct(), "pairs"), percent), "links")
         met = written(components(links), "components")
-        active = active.drop("component").join(met.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        apart = active.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-        active = written(active.join(apart, "bucket").select("bucket", "rep", "n", "degree", "component"), "buckets")
+        active = active.select("bucket", "rep").join(met.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        apart = active.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("hub")).filter("lo < hi")
+        active = written(active.join(apart.select("bucket", "hub"), "bucket"), "buckets")
+        if active.limit(1).count():
+            near = components(active.select(F.col("hub").alias("a"), F.col("rep").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("area"))
+            rest = active.select("rep", "component").distinct().join(near, "rep")
+            links = links.union(between(docs, written(rest, "areas"), percent))
+    links = None if links is None else written(links, "links")
     members = classes.select("digest", "rep")
     if links is not None:
         members = members.join(components(links).withColumnRenamed("node", "rep"), "rep", "left")

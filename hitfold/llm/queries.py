@@ -7,6 +7,7 @@ from hitfold.llm.idfile import op4_token_ids
 from hitfold.llm.katz import op9_lm_scoring
 from hitfold.llm.language import op6_language_id
 from hitfold.llm.lines import op3_line_dedup
+from hitfold.llm.media import op7_media_chunks
 from hitfold.llm.minhash import op2_near_duplicates
 from hitfold.llm.mixing import op10_mix_sources
 from hitfold.llm.packing import op1_best_fit_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_token_ids": op4_token_ids,
     "op6_language_id": op6_language_id,
+    "op7_media_chunks": op7_media_chunks,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_mix_sources": op10_mix_sources,
 }

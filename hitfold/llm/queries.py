@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from hitfold.llm import lines
+from hitfold.llm.digests import op5_document_fingerprints
 from hitfold.llm.idfile import op4_token_ids
 from hitfold.llm.katz import op9_lm_scoring
 from hitfold.llm.language import op6_language_id
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_ids": op4_token_ids,
+    "op5_document_fingerprints": op5_document_fingerprints,
     "op6_language_id": op6_language_id,
     "op7_media_chunks": op7_media_chunks,
     "op9_lm_scoring": op9_lm_scoring,

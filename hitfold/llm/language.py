@@ -290,7 +290,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     names = docs.columns
     schema = T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     held = docs.sparkSession.sparkContext.broadcast(model)
-    lettered = docs.withColumn("_lettered", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    lettered = docs.withColumn("__llm_lettered", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
@@ -299,7 +299,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             total = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)])
             share = (total[cuts[1:]] - total[cuts[:-1]]) / np.maximum(np.diff(cuts), 1)[:, None]
             known = np.diff(cuts) > 0
-            known &= column_of(batch, "_lettered").to_numpy(zero_copy_only=False) & bool(model.languages)
+            known &= column_of(batch, "__llm_lettered").to_numpy(zero_copy_only=False) & bool(model.languages)
             best = share.argmax(axis=1) if model.languages else np.zeros(batch.num_rows, np.int64)
             labels = [model.languages[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), known.tolist(), strict=True)]
             score = np.where(known, np.clip(share.max(axis=1, initial=0), 0, 1), 0.0)
@@ -308,6 +308,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return lettered.mapInArrow(tag, schema)
 
 
+def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """``docs`` whose text is mostly in one language: not ``und``, and with a score of at least ``least``. Columns are unchanged.
+
+    The model is learned from the rows that carry a ``lang`` and are not in the held-out fold.
+    """
+    model = fit(sample(docs.filter(~bucket_of(F.col("doc_id"), 2, 4))))
+    text = docs.select(F.col("text").alias("__llm_text"), F.struct(*docs.columns).alias("__llm_row")).withColumnRenamed("__llm_text", "text")
+    kept = predict(text, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.select("__llm_row.*")
+
+
 def spans(docs: DataFrame, model: Model) -> DataFrame:
     """Runs of words of one language: (doc_id, start, end, lang, words), start and end in UTF-8 bytes of the text."""
     held = docs.sparkSession.sparkContext.broadcast(model)

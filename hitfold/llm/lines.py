@@ -202,7 +202,7 @@ def drop_lines(docs: DataFrame, least: int = MIN_CHARS, documents: int = MIN_DOC
     )
     shards = entries.count() // SHARD_KEYS + 1
     index = written(build_shards(entries, shards), "line-index")
-    lost = probe(keys.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 62)))), index, shards).groupBy("doc_id").agg(F.collect_list("h1").alias("_lost"))
+    lost = probe(keys.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 62)))), index, shards).groupBy("doc_id").agg(F.collect_list("h1").alias("__llm_lost"))
     docs = docs.drop("n_lines", "n_dropped")
     schema = T.StructType([*docs.schema, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     names = docs.columns
@@ -210,7 +210,7 @@ def drop_lines(docs: DataFrame, least: int = MIN_CHARS, documents: int = MIN_DOC
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, before, dropped = [], [], []
-            for text, lost in zip(column_of(batch, "text").cast(pa.binary()).to_pylist(), column_of(batch, "_lost").to_pylist(), strict=True):
+            for text, lost in zip(column_of(batch, "text").cast(pa.binary()).to_pylist(), column_of(batch, "__llm_lost").to_pylist(), strict=True):
                 lines = (text or b"").split(b"\n")
                 before.append(len(lines))
                 if lost:
@@ -224,10 +224,10 @@ def drop_lines(docs: DataFrame, least: int = MIN_CHARS, documents: int = MIN_DOC
             columns = [pa.array(kept, pa.binary()).cast(pa.string()) if n == "text" else column_of(batch, n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
-    joined = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)))).join(
-        lost.withColumnRenamed("doc_id", "_key"), "_key", "left"
+    joined = docs.withColumn("__llm_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)))).join(
+        lost.withColumnRenamed("doc_id", "__llm_key"), "__llm_key", "left"
     )
-    return joined.select(*names, "_lost").mapInArrow(cut, schema)
+    return joined.select(*names, "__llm_lost").mapInArrow(cut, schema)
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from hitfold.llm.common import Membership, column_of, components, documents, mix, seeded, sliced, text_bytes, words, written
 
-SHINGLE, PERCENT = 4, 80
+SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 32, 4
 STAR, BLOCK = 512, 256
 #: Shared shingles handled at once when two blocks meet.
@@ -84,13 +84,13 @@ def superminhash(elements: np.ndarray, m: int) -> np.ndarray:
     return slots
 
 
-def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, digest, bands): digest names the set, bands are the bucket keys; both null for an empty set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             sizes, digests, keys = [], [], []
-            for found in shingle_sets(*text_bytes(column_of(batch, "text"))):
+            for found in shingle_sets(*text_bytes(column_of(batch, "text")), shingle):
                 sizes.append(len(found))
                 if not len(found):
                     digests.append(None)
@@ -110,7 +110,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, shingles): the packed full set of each document in ``wanted`` (doc_id), and perhaps of a few more."""
     held = Membership(wanted.select(F.xxhash64("doc_id").alias("h")), "h")
 
@@ -118,7 +118,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in sliced(batches):
             batch = batch.filter(pa.array(held.holds(column_of(batch, "h").to_numpy().view(np.uint64))))
             if batch.num_rows:
-                packed = [x.tobytes() for x in shingle_sets(*text_bytes(column_of(batch, "text")))]
+                packed = [x.tobytes() for x in shingle_sets(*text_bytes(column_of(batch, "text")), shingle)]
                 yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array(packed, pa.binary())], ["doc_id", "shingles"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long")).alias("h")).filter("doc_id IS NOT NULL").mapInArrow(
@@ -126,9 +126,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """Of ``pairs`` (a, b), those with 100 * intersection >= percent * union of the full sets."""
-    sets = written(full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))).dropDuplicates(["doc_id"]), "sets")
+    sets = written(full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), shingle).dropDuplicates(["doc_id"]), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,12 +150,12 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> Data
     )
 
 
-def between(docs: DataFrame, rest: DataFrame, percent: int = PERCENT) -> DataFrame:
+def between(docs: DataFrame, rest: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """Links (a, b) between components of one area: enough to unite all that any link unites.
 
     ``rest`` has one row a class: (rep, component, area).
     """
-    sets = full_sets(docs, rest.select(F.col("rep").alias("doc_id"))).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
+    sets = full_sets(docs, rest.select(F.col("rep").alias("doc_id")), shingle).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
     sized = written(sets.join(rest, "rep").withColumn("size", F.length("shingles") / 8), "sets")
     # a component with half a block of classes has blocks of its own; the others share blocks; sizes of one block differ by little
     own = sized.groupBy("area", "component").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= BLOCK // 2).select("area", "component", F.lit(True).alias("large"))
@@ -231,16 +231,16 @@ def linked(left: list[bytes], right: list[bytes], percent: int) -> list[tuple[in
     return [(int(i), int(j)) for i, j in np.argwhere(100 * both >= percent * union)]
 
 
-def grouped(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def grouped(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z to a-z; a set has the distinct 4-word shingles, or the whole shorter sequence as one.
+    Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z to a-z; a set has the distinct shingles of ``shingle`` words, or the whole shorter sequence as one.
     Texts without words and null texts have an empty set and are alone. Rows that repeat a doc_id are equal as far as
     their texts are; each keeps a row of its own and all get one component. A row without doc_id is never linked: its component is null and it
     is kept. Other columns aren't read. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    own = written(signatures(docs, bands, rows), "signatures")
+    own = written(signatures(docs, shingle, bands, rows), "signatures")
     classes = written(own.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     spread = classes.select("rep", F.explode("bands").alias("bucket"))
     busy = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -252,7 +252,7 @@ def grouped(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: i
         dealt = active.withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / STAR)))
         pivot = dealt.groupBy("bucket", "part").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("p"))
         pairs = dealt.join(pivot, ["bucket", "part"]).filter("rep <> p").select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b"))
-        links = written(confirmed(docs, written(pairs.distinct(), "pairs"), percent), "links")
+        links = written(confirmed(docs, written(pairs.distinct(), "pairs"), percent, shingle), "links")
         met = written(components(links), "components")
         active = active.select("bucket", "rep").join(met.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         apart = active.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("hub")).filter("lo < hi")
@@ -260,7 +260,7 @@ def grouped(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: i
         if active.limit(1).count():
             near = components(active.select(F.col("hub").alias("a"), F.col("rep").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("area"))
             rest = active.select("rep", "component").distinct().join(near, "rep")
-            links = links.union(between(docs, written(rest, "areas"), percent))
+            links = links.union(between(docs, written(rest, "areas"), percent, shingle))
     links = None if links is None else written(links, "links")
     members = classes.select("digest", "rep")
     if links is not None:
@@ -275,12 +275,12 @@ def grouped(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: i
     )
 
 
-def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` without the rows whose component has a smaller doc_id. Columns are unchanged."""
-    gone = grouped(docs, percent).filter("NOT kept").select("doc_id").distinct()
+    gone = grouped(docs, percent, shingle).filter("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """The component of every document under links of 0.8 or more between shingle sets."""
-    return grouped(documents(spark, sf_dir, "doc_id", "text"))
+    return grouped(documents(spark, sf_dir, "doc_id", "text"), shingle=4)

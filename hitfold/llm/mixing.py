@@ -169,6 +169,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     )
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it, perhaps not at all; columns are unchanged.
+
+    Rows that repeat a doc_id are told apart by size and source, so that each gets the copies of a row like it.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    turn = Window.partitionBy("__llm_key").orderBy("__llm_size", F.col("source").asc_nulls_last())
+    left = docs.withColumn("__llm_key", key).withColumn("__llm_size", word_count(F.col("text"))).withColumn("__llm_turn", F.row_number().over(turn))
+    right = mix(docs, weights, share, most).select(key.alias("__llm_key"), F.col("size").alias("__llm_size"), "source", "copies").withColumn("__llm_turn", F.row_number().over(turn))
+    return (
+        left.join(right.filter("copies > 0").select("__llm_key", "__llm_turn", F.col("copies").alias("__llm_copies")), ["__llm_key", "__llm_turn"])
+        .withColumn("__llm_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__llm_copies"))))
+        .select(*docs.columns)
+    )
+
+
 def settle(cells: DataFrame, most: int = MOST) -> DataFrame:
     """Copies to add or take back, (source, size, more), so that each source meets its target to about half its smallest document.
 

@@ -105,18 +105,18 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Lengths must be from 1 to ``capacity``. Equal lengths are ranked by a hash of doc_id and piece, then by these. The input is
     read three times, so it should be a written table.
     """
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    parts = written(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_m")), "lengths")
+    salted = pieces.withColumn("__llm_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    parts = written(salted.groupBy("length", "__llm_salt").agg(F.count(F.lit(1)).alias("__llm_m")), "lengths")
     counts = np.zeros(capacity + 1, np.int64)
-    for row in parts.groupBy("length").agg(F.sum("_m").alias("n")).collect():  # at most ``capacity`` rows
+    for row in parts.groupBy("length").agg(F.sum("__llm_m").alias("n")).collect():  # at most ``capacity`` rows
         counts[row["length"]] = row["n"]
     runs = pieces.sparkSession.sparkContext.broadcast(places(plan(counts, capacity)))
-    upto = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy("length", "_salt").orderBy(F.xxhash64(F.lit(1), "doc_id", "piece"), "doc_id", "piece")
+    upto = Window.partitionBy("length").orderBy("__llm_salt").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("length", "__llm_salt").orderBy(F.xxhash64(F.lit(1), "doc_id", "piece"), "doc_id", "piece")
     ranked = (
-        salted.join(parts.withColumn("_before", F.coalesce(F.sum("_m").over(upto), F.lit(0))).drop("_m"), ["length", "_salt"])
-        .withColumn("_rank", F.col("_before") + F.row_number().over(inside) - 1)
-        .select(*pieces.columns, "_rank")
+        salted.join(parts.withColumn("__llm_before", F.coalesce(F.sum("__llm_m").over(upto), F.lit(0))).drop("__llm_m"), ["length", "__llm_salt"])
+        .withColumn("__llm_rank", F.col("__llm_before") + F.row_number().over(inside) - 1)
+        .select(*pieces.columns, "__llm_rank")
     )
     schema = T.StructType([*pieces.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     names = pieces.columns
@@ -125,7 +125,7 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         table = runs.value
         keys = (table["length"] << 48) | table["rank"]
         for batch in batches:
-            rank = column_of(batch, "_rank").to_numpy()
+            rank = column_of(batch, "__llm_rank").to_numpy()
             at = np.searchsorted(keys, (column_of(batch, "length").to_numpy().astype(np.int64) << 48) | rank, "right") - 1
             columns = [column_of(batch, n) for n in names]
             yield pa.RecordBatch.from_arrays(

@@ -12,6 +12,7 @@ from hitfold.llm.media import op7_media_chunks
 from hitfold.llm.minhash import op2_near_duplicates
 from hitfold.llm.mixing import op10_mix_sources
 from hitfold.llm.packing import op1_best_fit_packing
+from hitfold.llm.secrets import op8_secret_scan
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -21,6 +22,7 @@ QUERIES = {
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_language_id": op6_language_id,
     "op7_media_chunks": op7_media_chunks,
+    "op8_secret_scan": op8_secret_scan,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_mix_sources": op10_mix_sources,
 }

@@ -182,7 +182,10 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = keyed.select(F.col("id").cast("double").alias("x")).approxQuantile("x", [i / n for i in range(1, n)], 0.2 / n)
     splits = sorted({-float("inf"), *cuts, float("inf")})
-    ranged = Bucketizer(splits=splits, inputCol="x", outputCol="range").transform(keyed.withColumn("x", F.col("id").cast("double"))).select("id", "text", F.col("range").cast("int"))
+    ranged = keyed.withColumn("range", F.lit(0))
+    if len(splits) > 2:
+        placed = Bucketizer(splits=splits, inputCol="x", outputCol="place").transform(keyed.withColumn("x", F.col("id").cast("double")))
+        ranged = placed.select("id", "text", F.col("place").cast("int").alias("range"))
     last = {r["range"]: r["top"] for r in ranged.groupBy("range").agg(F.max("id").alias("top")).collect()}
     filled = sorted(last)
     follows = [(last[below], above) for below, above in zip([filled[-1], *filled[:-1]], filled, strict=True)] if filled else []

@@ -267,7 +267,7 @@ def score(docs: DataFrame, train) -> DataFrame:
             mine = (parts[1] & 1).astype(bool)
             left, taken = block.left[mine], discounted(pairs, d2)
             size = len(block.vocab)
-            after = [np.bincount(left, x[mine], size) for x in (taken, p[block.right])]
+            after = [np.bincount(left, x[mine], size).astype(float) for x in (taken, p[block.right])]
             # a history that no other block has is settled here
             here = parts[0] & 2 == 0
             alpha = np.ones(size)
@@ -281,7 +281,7 @@ def score(docs: DataFrame, train) -> DataFrame:
                 logs = np.where(seen, np.log10(taken[token] / np.maximum(count[history], 1)), np.log10(p[word]) + np.log10(alpha[history]))
             base = np.log10((count[word] + 1) / (n + v + 1))
             docs_ = len(block.docs)
-            sums = [np.bincount(owner, x, docs_) for x in (np.ones(len(owner)), (count[word] > 0).astype(float), base, logs)]
+            sums = [np.bincount(owner, x, docs_).astype(float) for x in (np.ones(len(owner)), (count[word] > 0).astype(float), base, logs)]
             later = ~seen & ~here[history]
             uses = np.searchsorted(asked, history[later]).astype("<i4")
             upto = np.searchsorted(owner[later], np.arange(docs_ + 1))

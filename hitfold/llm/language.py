@@ -274,8 +274,8 @@ def _labelled(batch: pa.RecordBatch, model: Model):
     low = _LOWER[data]
     starts, ends = letter_runs(low, offsets)
     cuts = np.searchsorted(starts, offsets)
-    if not len(starts):
-        return offsets, starts, ends, cuts, np.empty((0, len(model.languages)))
+    if not len(starts) or not model.languages:
+        return offsets, starts, ends, cuts, np.zeros((len(starts), len(model.languages)))
     scores, row = model.emissions(low, starts, ends)
     return offsets, starts, ends, cuts, marginals(scores[row], model.moves, model.start, np.diff(cuts))
 

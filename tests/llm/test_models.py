@@ -1,0 +1,190 @@
+"""Operators that learn: held against brute force, direct formulas or held-out rows."""
+
+import math
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from hitfold.llm import digests, katz, language, secrets
+from hitfold.llm.common import bucket_of
+
+SF = "/root/testdata/sf0.01"
+
+# --- Katz ---
+
+
+def brute_scores(texts, trained):
+    words = {i: [*(t or "").encode().lower().split(), b"\0end"] for i, t in texts.items()}
+    c, pairs, hist = Counter(), Counter(), Counter()
+    for i, w in words.items():
+        if trained(i):
+            c.update(w)
+            pairs.update(zip([b"\0start", *w], w, strict=False))
+            hist.update([b"\0start", *w[:-1]])
+    n, v = sum(c.values()), len(c)
+    kinds = lambda x: np.array([sum(y == r for y in x.values()) for r in range(1, 7)])
+    d1, d2 = katz.discounts(kinds(c)), katz.discounts(kinds(pairs))
+    low = lambda r, d: d[r - 1] * r if r <= 5 else r - 5 * (1 - d[4])
+    new = 1 - sum(low(r, d1) for r in c.values()) / n
+    one = lambda w: low(c[w], d1) / n if w in c else new
+    mass, lower = Counter(), Counter()
+    for (h, w), r in pairs.items():
+        mass[h] += low(r, d2)
+        lower[h] += one(w)
+    alpha = {h: (1 - mass[h] / hist[h]) / (1 - lower[h]) for h in hist}
+
+    def p(h, w):
+        return low(pairs[h, w], d2) / hist[h] if (h, w) in pairs else alpha.get(h, 1.0) * one(w)
+
+    # every history sums to one over the words seen and the one event of new words
+    for h in list(hist)[:20]:
+        assert sum(p(h, w) for w in c) + alpha[h] * new == pytest.approx(1)
+    return {
+        i: (len(w), sum(x in c for x in w), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(p(h, x)) for h, x in zip([b"\0start", *w], w, strict=False)))
+        for i, w in words.items()
+    }
+
+
+@pytest.mark.parametrize("block", [1 << 22, 40_000])
+def test_katz_scores(docs, texts, monkeypatch, block):
+    monkeypatch.setattr(katz, "BLOCK_BYTES", block)
+    monkeypatch.setattr(katz, "SHARD_KEYS", block // 20)
+    got = {r.doc_id: r for r in katz.score(docs, ~bucket_of(F.col("doc_id"), 2, 7)).collect()}
+    expected = brute_scores(texts, lambda i: zlib.crc32(str(i).encode()) % 7 != 2)
+    assert got.keys() == expected.keys()
+    for i, (tokens, known, n, base, score) in expected.items():
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (tokens, known, n)
+        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
+
+
+def test_katz_beats_the_base_on_held_out_texts(spark):
+    got = katz.op9_lm_scoring(spark, SF).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1] + 0.2 * abs(got[1])
+
+
+def test_katz_odd(odd, empty):
+    got = katz.score(odd, F.col("doc_id") < 9).toPandas()
+    assert len(got) == odd.count() and np.isfinite(got.score).all() and (got.score <= 1e-9).all()
+    assert got.set_index("doc_id").n_tokens.loc[4.0] == 1
+    assert katz.score(empty, F.lit(True)).count() == 0
+    nothing = katz.score(odd, F.lit(False)).toPandas()
+    assert (nothing.base_score == 0).all() and (nothing.score == 0).all()
+
+
+# --- language ---
+
+
+def test_marginals_equal_the_plain_pass():
+    rng = np.random.default_rng(0)
+    lengths = np.array([1, 0, 5, 32, 33, 64, 100, 3, 70])
+    scores, moves, start = rng.normal(size=(lengths.sum(), 3)) * 2, rng.normal(size=(3, 3)), rng.normal(size=3)
+    got, at = language.marginals(scores, moves, start, lengths), 0
+    for n in lengths[lengths > 0]:
+        own = np.exp(scores[at : at + n])
+        ahead, back = np.zeros((n, 3)), np.ones((n, 3))
+        ahead[0] = np.exp(start) * own[0]
+        for t in range(1, n):
+            ahead[t] = ahead[t - 1] @ np.exp(moves) * own[t]
+            ahead[t] /= ahead[t].sum()
+        for t in range(n - 2, -1, -1):
+            back[t] = np.exp(moves) @ (own[t + 1] * back[t + 1])
+            back[t] /= back[t].sum()
+        both = ahead * back
+        assert np.allclose(got[at : at + n], both / both.sum(axis=1, keepdims=True))
+        at += n
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    return language.fit(language.sample(table.filter(~bucket_of(F.col("doc_id"), 2, 4))))
+
+
+def test_held_out_languages(spark, model):
+    table = spark.read.parquet(f"{SF}/documents.parquet").filter(bucket_of(F.col("doc_id"), 2, 4) & F.col("lang").isNotNull())
+    got = language.predict(table, model).toPandas()
+    assert (got.lang == got.lang_pred).mean() > 0.98 and got.score.between(0, 1).all()
+
+
+def test_code_switching(spark, model):
+    texts = dict(duckdb.sql(f"SELECT lang, min(text) FROM '{SF}/documents.parquet' WHERE n_chars > 1000 GROUP BY lang").fetchall())
+    df = spark.createDataFrame([(1, texts["de"][:300] + " " + texts["en"][:300])], "doc_id long, text string")
+    runs = language.spans(df, model).toPandas()
+    words = runs.groupby("lang").words.sum()
+    assert words["de"] > 25 and words["en"] > 25 and runs[runs.start < 280].groupby("lang").words.sum().idxmax() == "de"
+
+
+def test_language_odd(spark, odd, empty, model):
+    got = language.predict(odd, model)
+    assert got.columns == [c for c in odd.columns if c != "score"] + ["lang_pred", "score"]
+    found = got.toPandas().set_index("doc_id")
+    assert all(found.lang_pred.loc[float(i)] == "und" and found.score.loc[float(i)] == 0 for i in (4, 5, 6, 12))
+    assert language.predict(empty, model).count() == 0
+    none = language.predict(odd, language.fit([])).toPandas()
+    assert (none.lang_pred == "und").all()
+    kept = language.keep_known(odd)
+    assert kept.columns == odd.columns and not {4, 5, 6, 12} & {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+# --- fingerprints ---
+
+
+def test_fingerprints_of_edits(spark, docs, texts):
+    got = {r.doc_id: r for r in digests.edited_likeness(docs).collect()}
+    order = sorted(texts, reverse=True)
+    same = {}
+    for i, j in zip(order, order[1:] + order[:1], strict=True):
+        own, third, r = texts[i], len(texts[i]) // 3, got[i]
+        edited = own[: len(own) - third] + texts[j][:third]
+        import hashlib
+
+        assert (r.n_chars, r.edited_sha256) == (len(own), hashlib.sha256(edited.encode()).hexdigest())
+        assert r.near_next == pytest.approx(digests.likeness(digests.from_text(r.fingerprint), digests.from_text(got[j].fingerprint)))
+        same.setdefault(own, set()).add(r.fingerprint)
+    assert all(len(x) == 1 for x in same.values())
+    long = [r for r in got.values() if r.n_chars > 300]
+    assert np.mean([r.near_edited for r in long]) > 0.6 and np.mean([r.near_next for r in long]) < 0.1
+
+
+def test_fingerprints_odd(spark, odd, empty):
+    got = digests.edited_likeness(odd).toPandas()
+    assert len(got) == odd.count() and got.near_edited.between(0, 1).all() and got.near_next.between(0, 1).all()
+    assert got.doc_id.isna().sum() == 1 and (got[got.doc_id == 4].fingerprint == "").all()
+    one = digests.edited_likeness(spark.createDataFrame([(5, "a single text here")], "doc_id long, text string")).first()
+    assert one.near_next == 1.0
+    assert digests.edited_likeness(empty).count() == 0
+    marked = digests.fingerprints(odd)
+    assert marked.columns == [*odd.columns, "fingerprint"]
+    assert sorted(r.fingerprint for r in marked.collect()) == sorted(got.fingerprint)
+
+
+def test_entropy_levels():
+    data = np.frombuffer(b"aaaaaaaaaaaaaaaa" + bytes(range(97, 113)), np.uint8)
+    got = digests.levels(data, np.array([0, 16]), np.array([16, 32]))
+    assert got[0] == 0 and got[1] == int(4 / 5 * 255)
+
+
+# --- secrets ---
+
+
+def test_held_out_secrets(spark):
+    got = secrets.op8_secret_scan(spark, SF).toPandas()
+    texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall())
+    truth = [bool(re.fullmatch(secrets.CONFIRMED, texts[r.doc_id][r.start : r.start + r.length])) for r in got.itertuples()]
+    assert (np.array(truth) == got.is_secret).mean() > 0.9
+
+
+def test_secrets_odd(spark, odd, empty):
+    df = odd.select("doc_id", "text", "source").union(spark.createDataFrame([(20, "key = 'AB12cd34EF56gh78' and 9999999999999 é", "z")], "doc_id long, text string, source string"))
+    found = secrets.scan(df, F.lit(None).cast("int"))
+    rows = [r for r in found.collect() if r.doc_id == 20]
+    assert [(r.found, r.start, r.is_secret) for r in rows] == [("AB12cd34EF56gh78", 7, True), ("9999999999999", 29, True)]
+    text = secrets.redact(df, found).filter("doc_id = 20").first().text
+    assert text == "key = '[SECRET]' and [SECRET] é"
+    assert secrets.scan(empty, F.lit(None).cast("int")).count() == 0

@@ -11,9 +11,6 @@ from hitfold.functions.agents import with_agent
 from hitfold.functions.columns import flag
 from hitfold.options import Options
 
-# Length limits of the stored request detail.
-DETAIL_LIMITS = {"remote_addr": 64, "method": 16, "uri": 2048, "referer": 2048, "user_agent": 1024}
-
 
 def enrich(events: DataFrame, options: Options) -> DataFrame:
     """Add path, client classes, page-view flag and time keys to accepted events."""
@@ -21,7 +18,7 @@ def enrich(events: DataFrame, options: Options) -> DataFrame:
     classified = with_agent(
         events.withColumns(
             {
-                "full_path": R.request_path("uri"),
+                "path": R.request_path("uri"),
                 "body_bytes": F.greatest(
                     F.lit(0).cast("bigint"), F.coalesce(column("body_bytes"), F.lit(0))
                 ),
@@ -30,32 +27,29 @@ def enrich(events: DataFrame, options: Options) -> DataFrame:
     )
     return classified.withColumns(
         {
-            "path": F.left(column("full_path"), F.lit(DETAIL_LIMITS["uri"])),
-            "pv": flag(R.is_page_view(options.static_extensions, "full_path")),
+            "pv": flag(R.is_page_view(options.static_extensions, "path")),
             "minute_ts": clock.minute("timestamp"),
             "hour_ts": clock.hour("timestamp"),
             "day": clock.local_day("timestamp", options.timezone),
         }
-    ).drop("full_path")
+    )
 
 
 def details(enriched: DataFrame) -> DataFrame:
-    """Stored request details: the target is its path, long texts are cut, no crawler is ''."""
-    cut = lambda source, name: F.left(
-        F.coalesce(F.col(source), F.lit("")), F.lit(DETAIL_LIMITS[name])
-    ).alias(name)
+    """Stored request details: the target is its path, texts are whole, no crawler is ''."""
+    text = lambda source, name: F.coalesce(F.col(source), F.lit("")).alias(name)
     ident = ["id"] if "id" in enriched.columns else []
     return enriched.select(
         *ident,
         "site_id",
         "timestamp",
-        cut("remote_addr", "remote_addr"),
-        cut("method", "method"),
-        cut("path", "uri"),
+        text("remote_addr", "remote_addr"),
+        text("method", "method"),
+        text("path", "uri"),
         "status",
         "body_bytes",
-        cut("referer", "referer"),
-        cut("user_agent", "user_agent"),
+        text("referer", "referer"),
+        text("user_agent", "user_agent"),
         "browser",
         "system",
         "device",

@@ -14,7 +14,6 @@ from hitfold.functions import clock
 from hitfold.functions import requests as R
 from hitfold.functions.columns import flag
 from hitfold.functions.sketch import sketch_of
-from hitfold.operators.enrich import DETAIL_LIMITS
 from hitfold.options import Options
 from hitfold.schema import DIMENSION_DAY, METRIC_MINUTE, SPIDER_MINUTE, UNIQUE_HOUR, Rollup
 
@@ -41,10 +40,20 @@ def add(existing: DataFrame, batch: DataFrame, rollup: Rollup) -> DataFrame:
     return merge(both, rollup)
 
 
-def insert_new(existing: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """Existing rows plus the candidates whose key is not there yet."""
-    fresh = candidates.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
-    return existing.unionByName(fresh.select(*existing.columns))
+def insert_new(
+    existing: DataFrame, candidates: DataFrame, keys: list[str], order: tuple[str, ...] = ()
+) -> DataFrame:
+    """Existing rows plus the candidates whose key is not there yet.
+
+    Of several candidates for a key the least by ``order``, then by the other columns, is taken.
+    """
+    others = [c for c in (*order, *existing.columns) if c not in keys]
+    fresh = (
+        candidates.join(existing.select(*keys), keys, "left_anti")
+        .groupBy(*keys).agg(F.min(F.struct(*dict.fromkeys(others))).alias("_row"))
+    )
+    columns = [F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in existing.columns]
+    return existing.unionByName(fresh.select(*columns))
 
 
 def one() -> Column:
@@ -82,7 +91,7 @@ def dimension_partials(
 ) -> DataFrame:
     """One row per event and dimension; ``day`` stays a DATE."""
     sources = {
-        "ip": F.left("remote_addr", F.lit(DETAIL_LIMITS["remote_addr"])),
+        "ip": F.col("remote_addr"),
         "uri": F.col("path"),
         **{name: F.col(name) for name in CLIENT_DIMENSIONS},
     }

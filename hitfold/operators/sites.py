@@ -86,11 +86,11 @@ def merge_details(details: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def merge_exact(rows: DataFrame, mapping: DataFrame, keys: list[str]) -> DataFrame:
-    """Legacy first-seen rows: the canonical site's own row wins, others fill gaps."""
+    """Legacy first-seen rows: the canonical site's own row wins, then the lowest duplicate's."""
     own = rows.join(mapping.select("site_id"), "site_id", "left_anti")
     moved = rows.join(mapping, "site_id")
-    moved = moved.withColumn("site_id", F.col("canonical_id")).select(*rows.columns)
-    return insert_new(own, moved, keys)
+    moved = moved.withColumn("_source", F.col("site_id")).withColumn("site_id", F.col("canonical_id"))
+    return insert_new(own, moved.select(*rows.columns, "_source"), keys, ("_source",))
 
 
 # -- registration --------------------------------------------------------------------
@@ -102,9 +102,15 @@ def register(sites: DataFrame, discovered: DataFrame) -> dict[str, DataFrame]:
     A site is found by its panel id, else by its log path; the lowest id stays. Returns
     the new ``sites``, the ``merges`` (site_id, canonical_id) whose rollups must be folded,
     and ``rebuilds`` (site_id) whose rollups must be deleted and read again because an old
-    path ended in a stray semicolon.
+    path ended in a stray semicolon. Rows that share a panel id, then rows that share a log path, are
+    one site: the last by name and path, then the one with the highest panel id.
     """
-    incoming = discovered.select(
+    last = lambda rows, key, *order: rows.groupBy(key).agg(
+        F.max_by(F.struct(*discovered.columns), F.struct(*order)).alias("_row")
+    ).select("_row.*")
+    known = last(discovered.where(F.col("panel_site_id").isNotNull()), "panel_site_id", "name", "log_path")
+    known = known.unionByName(discovered.where(F.col("panel_site_id").isNull()))
+    incoming = last(known, "log_path", "panel_site_id", "name").select(
         F.col("panel_site_id").alias("n_panel"),
         F.col("name").alias("n_name"),
         F.col("document_root").alias("n_root"),

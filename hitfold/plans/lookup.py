@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from hitfold.functions import clock
 from hitfold.functions import requests as R
 from hitfold.operators.geo import with_location
-from hitfold.options import bounded
+from hitfold.options import whole_number
 from hitfold.plans.periods import Period, of_sites, within
 
-QUERY_LIMIT = 100
 # rows a sorted limit may hold per task before the page is cut out by time first
 SHALLOW_ROWS = 10_000
 
@@ -19,8 +18,8 @@ SHALLOW_ROWS = 10_000
 def _needle(text: str) -> tuple[str, str]:
     """LIKE pattern and an escape character that the text does not hold: every
     ``%`` and ``_`` stays a wildcard."""
-    pattern = f"%{text[:QUERY_LIMIT]}%"
-    escape = next(c for c in "\\^~!|#\x01\x02\x03\x04\x05" if c not in pattern)
+    pattern = f"%{text}%"
+    escape = next(c for c in map(chr, range(33, 0xD800)) if c not in pattern and c not in "%_'")
     return pattern, escape
 
 
@@ -64,9 +63,10 @@ def page(
     """One page, newest first, ties by id.
 
     A deep page is first narrowed to the minutes that hold it, so that no task sorts
-    or keeps the rows of the pages before it.
+    or keeps the rows of the pages before it; this counts rows while it plans.
     """
-    number, size = bounded(number, 1, 1, 100000), bounded(size, 50, 10, 200)
+    whole_number("page number", number, 1)
+    whole_number("page size", size, 1)
     offset = (number - 1) * size
     if offset + size > SHALLOW_ROWS:
         found, offset = _narrow(found, offset, size)

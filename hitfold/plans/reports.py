@@ -24,16 +24,19 @@ def resolve_site(registry: DataFrame, requested: int) -> int | None:
 
 
 def dashboard(tables: Tables, site_id: int, period: Period) -> Tables:
-    """Overview, its comparison with the period before, and both trends."""
+    """Overview and trend, each with the period before and a comparison, and a summary of the trend."""
     metric, uniques = tables["metric_minute"], tables["unique_hll_hour"]
     before = period.previous()
     current, previous = (T.trend(metric, uniques, site_id, p) for p in (period, before))
+    compared = T.compare_trend(current, previous, period)
     return {
         "overview": O.overview(metric, uniques, site_id, period),
         "previous": O.overview(metric, uniques, site_id, before),
         "comparison": O.compare(metric, uniques, site_id, period),
         "trend": T.with_series(current, period),
         "previous_trend": T.with_series(previous, before),
+        "trend_comparison": compared,
+        "trend_summary": T.summarize(compared),
     }
 
 

@@ -29,6 +29,7 @@ def local_session(app: str, cores: str = "8", **conf: str) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
     )
     for key, value in {**RECOMMENDED, **conf}.items():

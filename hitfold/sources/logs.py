@@ -113,6 +113,27 @@ def read_history(
     return lines.unionByName(read_archives(files))
 
 
+# A rotated file's name goes on after the log's: ``x.log.1``, ``x.log-20260901.gz``.
+CLOSED = r"\.log[.-][^/]+$"
+
+
+def read_closed(
+    spark: SparkSession, folder: str, pattern: str = "*.log[.-]*", since: float | None = None
+) -> DataFrame:
+    """Lines of the rotated files of a folder, plain, gzip or in archives; files still written to are left out."""
+    files = list_files(spark, folder, pattern, since)
+    names = files.where(~is_archive(F.col("path")) & F.col("path").rlike(CLOSED)).select("path")
+    found = [row.path for row in names.toLocalIterator()]  # names only
+    lines = read_archives(files)
+    return read_lines(spark, found).unionByName(lines) if found else lines
+
+
+def contents(lines: DataFrame) -> DataFrame:
+    """What each file holds, whatever its name and compression: (file_path, lines, digest)."""
+    digest = F.sum(F.xxhash64("value").cast("decimal(38,0)")).cast("string")
+    return lines.groupBy("file_path").agg(F.count("*").alias("lines"), digest.alias("digest"))
+
+
 def tail(events: DataFrame, since: int) -> DataFrame:
     """Recent events only. A distributed scan has no last N bytes, so the tail is a time limit."""
     return events.where(F.col("timestamp") >= since)
@@ -138,16 +159,20 @@ def stream_lines(
 
 def stream_messages(
     spark: SparkSession, folder: str | None = None, kafka: dict[str, str] | None = None,
-    per_trigger: int = 1000, from_end: bool = True,
+    files_per_trigger: int = 1000, offsets_per_trigger: int | None = None, from_end: bool = True,
 ) -> DataFrame:
-    """Live messages (one per request) from Kafka, or from files that a syslog relay lands."""
+    """Live messages (one per request) from Kafka, or from files that a syslog relay lands.
+
+    A micro-batch takes all waiting Kafka messages unless ``offsets_per_trigger`` bounds it.
+    """
     if kafka is not None:
         reader = (
             spark.readStream.format("kafka")
             .option("startingOffsets", "latest" if from_end else "earliest")
-            .option("maxOffsetsPerTrigger", per_trigger)
             .options(**kafka)
         )
+        if offsets_per_trigger is not None:
+            reader = reader.option("maxOffsetsPerTrigger", offsets_per_trigger)
         return reader.load().select(F.col("value").cast("string").alias("value"))
-    reader = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", per_trigger)
+    reader = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", files_per_trigger)
     return reader.text(folder)

@@ -6,9 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitfold.operators.sites import number_rows
-from hitfold.session import reliable
-
-OWNERS_BYTES = 32 << 20
 
 
 def registered(rows: DataFrame, log_folder: str) -> DataFrame:
@@ -61,22 +58,22 @@ def with_site(rows: DataFrame, sites: DataFrame) -> DataFrame:
     """Add ``site_id`` by ``file_path``: the site whose log path starts the file's path.
 
     Distinct files are matched by equality on every prefix of their path, which stands for
-    ``startswith`` without pairing each file with each site. Pass staged rows, whose
-    paths are one small column, rather than raw text.
+    ``startswith`` without pairing each file with each site. A log path with a scheme is compared with
+    the whole location, one without with the path alone; names are compared decoded. Files of no site keep
+    their rows, with a null ``site_id``. Pass staged rows, whose paths are one small column, rather than raw text.
     """
-    files = rows.select("file_path").distinct().withColumn(
-        "_path", F.regexp_replace("file_path", "^file:/+", "/")
-    )
+    # the reader writes a file's location as a URI, in which + is a plain sign
+    decoded = F.coalesce(F.try_url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B"))), "file_path")
+    files = rows.select("file_path").where("file_path IS NOT NULL").distinct().withColumn("_whole", decoded)
+    files = files.withColumn("_path", F.regexp_replace("_whole", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/"))
+    forms = files.select("file_path", F.explode(F.array_distinct(F.array("_whole", "_path"))).alias("_form"))
     prefixes = F.transform(
-        F.sequence(F.lit(1), F.length("_path")), lambda n: F.col("_path").substr(F.lit(1), n)
+        F.sequence(F.lit(1), F.length("_form")), lambda n: F.col("_form").substr(F.lit(1), n)
     )
     owners = (
-        files.select("file_path", F.explode(prefixes).alias("log_path"))
+        forms.select("file_path", F.explode(prefixes).alias("log_path"))
         .join(sites.select("log_path", F.col("id").alias("site_id")), "log_path")
         .groupBy("file_path")
-        .agg(F.max_by("site_id", F.length("log_path")).alias("site_id"))
+        .agg(F.max_by("site_id", F.struct(F.length("log_path"), -F.col("site_id"))).alias("site_id"))
     )
-    owners = reliable(owners, "owners")
-    size = owners.agg(F.sum(F.length("file_path") + 16)).first()[0] or 0
-    # every task needs the whole list or, past the limit, AQE splits the files that are large
-    return rows.join(F.broadcast(owners) if size <= OWNERS_BYTES else owners, "file_path")
+    return rows.join(owners, "file_path", "left")

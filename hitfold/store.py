@@ -7,8 +7,11 @@ counts once. Measures merge in any order, so no row is ever updated in place.
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
 from zoneinfo import ZoneInfo
@@ -30,6 +33,7 @@ from hitfold.sources import registry
 
 DETAIL = "request_detail"
 STATS = "ingest_stats"
+FILES = "ingested_files"
 COMMITS = "commits"
 # Columns in storage order; ``batch`` and ``day`` are folders.
 SCHEMAS = {
@@ -46,6 +50,7 @@ SCHEMAS = {
     "browser STRING, system STRING, device STRING, spider STRING, batch STRING, day DATE",
     STATS: "site_id BIGINT, file_path STRING, lines BIGINT, events BIGINT, rejected BIGINT, "
     "batch STRING, day DATE",
+    FILES: "site_id BIGINT, lines BIGINT, digest STRING, file_path STRING, batch STRING, day DATE",
 }
 COMMIT_SCHEMA = "batch STRING, replaces ARRAY<STRING>"
 _CLUSTERING = {
@@ -55,7 +60,9 @@ _CLUSTERING = {
     UNIQUE_HOUR.name: ("site_id", "hour_ts"),
     DETAIL: ("site_id", "timestamp"),
     STATS: ("site_id",),
+    FILES: ("digest",),
 }
+LOCK = "_rewriting"
 
 
 def fold(
@@ -127,10 +134,43 @@ class Store:
             "partitionOverwriteMode", "static"
         ).parquet(f"{self.path(COMMITS)}/id={batch}")
 
-    def append(self, batch: str, tables: dict[str, DataFrame]) -> None:
-        """Write one batch; it becomes visible, whole, with its commit row."""
+    def append(self, batch: str, tables: dict[str, DataFrame], replay: bool = False) -> bool:
+        """Write one batch; it becomes visible, whole, with its commit row.
+
+        A batch that is visible is never written again; False is returned. A name that a
+        compaction has folded is refused, unless ``replay`` says that the caller repeats its batches by name.
+        """
+        if self._known(batch, replay):
+            return False
         self._write_all(batch, tables)
         self._commit(batch)
+        return True
+
+    def _known(self, batch: str, replay: bool) -> bool:
+        if self.commits().where(F.col("batch") == batch).isEmpty():
+            return False
+        if not replay and batch not in self.active_batches():
+            raise ValueError(f"batch {batch!r} was stored before and has been compacted")
+        return True
+
+    @contextmanager
+    def _alone(self) -> Iterator[None]:
+        """Only one rewrite of the store at a time: a file that is created if absent, which file systems do atomically.
+
+        A rewrite that died leaves the file behind; remove it to go on.
+        """
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(LOCK))
+        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        try:
+            made = system.createNewFile(path)
+        except Exception as error:  # some file systems raise where others return false
+            raise RuntimeError(f"{self.path(LOCK)}: another rewrite runs") from error
+        if not made:
+            raise RuntimeError(f"{self.path(LOCK)}: another rewrite runs")
+        try:
+            yield
+        finally:
+            system.delete(path, False)
 
     def _write_all(self, batch: str, tables: dict[str, DataFrame]) -> None:
         """The tables are independent jobs, so they share the cluster side by side."""
@@ -142,21 +182,28 @@ class Store:
 
     def ingest(
         self, batch: str, judged: DataFrame, detail_since: int = 0, error_since: int = 0,
-        stage: bool = True, sites: DataFrame | None = None,
-    ) -> None:
+        stage: bool = True, sites: DataFrame | None = None, replay: bool = False,
+        files: DataFrame | None = None,
+    ) -> bool:
         """Fold judged events (with ``site_id``, ``file_path`` and ``verdict``) into one batch.
 
         Parsing and classifying happen once: a history load stages its rows in the shared
         folder, which also survives lost executors; a micro-batch is small and is cached.
-        Without ``site_id``, rows get their site from ``sites`` by their file.
+        Without ``site_id``, rows get their site from ``sites`` by their file; rows of no site are rejected.
+        ``files`` (site_id, lines, digest, file_path) are remembered with the batch. See ``append`` for names used again.
         """
+        if self._known(batch, replay):
+            return False
         given = F.col("id") if "id" in judged.columns else F.monotonically_increasing_id()
         enriched = E.enrich(judged, self.options).withColumn(
             "id", F.concat(F.lit(f"{batch}:"), F.lpad(given.cast("string"), 20, "0"))
         )
         held, path = stored(enriched, "events") if stage else (enriched.persist(), None)
         try:
-            rows = held if sites is None else registry.with_site(held, sites)
+            rows = held
+            if sites is not None:
+                verdict = F.when(F.col("site_id").isNull(), F.lit(P.REJECTED)).otherwise(F.col("verdict"))
+                rows = registry.with_site(held, sites).withColumn("verdict", verdict)
             stats = P.accounting(rows, ["site_id", "file_path"]).select(
                 F.coalesce("site_id", F.lit(0)).alias("site_id"), "file_path", "lines",
                 "events", "rejected", F.current_date().alias("day"),
@@ -164,8 +211,11 @@ class Store:
             events = P.accepted(rows)
             cube = R.traffic_cube(events).persist()
             tables = fold(events, cube, self.options, detail_since, error_since)
-            self.append(batch, {**tables, STATS: stats})
+            if files is not None:
+                tables[FILES] = files.select("site_id", "lines", "digest", "file_path", F.current_date().alias("day"))
+            stored_now = self.append(batch, {**tables, STATS: stats}, replay)
             cube.unpersist()
+            return stored_now
         finally:
             if path is None:
                 held.unpersist()
@@ -180,10 +230,12 @@ class Store:
         rows = self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
         return rows.where(F.col("batch").isin(names))
 
-    def tables(self) -> dict[str, DataFrame]:
-        """Every table, as of now, for the read API, which merges partials by itself."""
+    def tables(self, now: int | None = None) -> dict[str, DataFrame]:
+        """Every table for the read API, which merges partials by itself; with ``now``, details
+        within their retention only."""
         batches = self.active_batches()
-        return {name: self.partials(name, batches) for name in SCHEMAS}
+        found = {name: self.partials(name, batches) for name in SCHEMAS}
+        return found if now is None else found | {DETAIL: self.details(now)}
 
     def merged(self, table: str) -> DataFrame:
         return R.merge(self.partials(table), ROLLUPS[table])
@@ -202,8 +254,11 @@ class Store:
         if not batches:
             return None
         base = f"base-{uuid.uuid4().hex}"
-        self._write_all(base, {t: change(t, self.partials(t, batches)) for t in SCHEMAS})
-        self._commit(base, batches)
+        with self._alone():
+            if set(batches) - set(self.active_batches()):
+                raise RuntimeError("another rewrite has replaced some of these batches")
+            self._write_all(base, {t: change(t, self.partials(t, batches)) for t in SCHEMAS})
+            self._commit(base, batches)
         return base
 
     def _fold_partials(self, table: str, rows: DataFrame, now: int | None) -> DataFrame:
@@ -211,6 +266,8 @@ class Store:
             return rows.groupBy("site_id", "file_path", "day").agg(
                 *[F.sum(c).alias(c) for c in ("lines", "events", "rejected")]
             )
+        if table == FILES:
+            return rows.groupBy("site_id", "lines", "digest").agg(*[F.min(c).alias(c) for c in ("file_path", "day")])
         if table == DETAIL:
             limits = self.options.cutoffs(now or 0)
             return rows if now is None else retention.retained_details(rows, **limits)
@@ -259,8 +316,11 @@ class Store:
             self.active_batches(), lambda table, rows: rows.join(site_ids, "site_id", "left_anti")
         )
 
-    def reclaim(self, now: int, rollup_days: int | None = None) -> int:
-        """Delete folders that are unreachable: replaced batches, and days past retention.
+    def reclaim(self, now: int, rollup_days: int | None = None, grace: int = 3600) -> int:
+        """Delete folders that are unreachable: replaced batches, rewrites that failed, and days past retention.
+
+        A replaced or failed folder stays while it is younger than ``grace`` seconds, or was replaced less long ago, as
+        readers that began before may still use it.
 
         Rows of a day that is only partly expired are hidden by ``details`` and leave with a
         later call or compaction. Minute, crawler and sketch rollups stay unless ``rollup_days``
@@ -276,24 +336,31 @@ class Store:
             for spec in (METRIC_MINUTE, SPIDER_MINUTE, UNIQUE_HOUR):
                 first_day[spec.name] = oldest
         active = set(self.active_batches())
-        committed = {r.batch for r in self.commits().select("batch").collect()}
+        commits = self.commits().select("batch", "replaces").collect()
+        committed = {r.batch for r in commits}
+        settled = time.time() - grace
+        made = dict(self._folders(self.path(COMMITS), "id=", times=True))
+        replaced_at = {name: made.get(r.batch, 0) for r in commits for name in r.replaces}
         removed = 0
         for table in SCHEMAS:
-            for batch in self._folders(self.path(table), "batch="):
+            for batch, written in self._folders(self.path(table), "batch=", times=True):
                 folder = f"{self.path(table)}/batch={batch}"
-                if batch in committed and batch not in active:
+                failed = batch.startswith("base-") and batch not in committed and written < settled
+                if failed or batch in committed and batch not in active and replaced_at.get(batch, 0) < settled:
                     removed += remove_path(self.spark, folder)
                 elif table in first_day:
                     for day in self._folders(folder, "day="):
                         if day < first_day[table]:
                             removed += remove_path(self.spark, f"{folder}/day={day}")
         for batch in self._folders(self.path(COMMITS), "id="):
-            if batch not in active and not batch.startswith("base-"):
+            if batch not in active and not batch.startswith("base-") and replaced_at.get(batch, 0) < settled:
                 remove_path(self.spark, f"{self.path(COMMITS)}/id={batch}")
         return removed
 
-    def _folders(self, path: str, prefix: str) -> list[str]:
+    def _folders(self, path: str, prefix: str, times: bool = False) -> list:
+        """Names of sub-folders after ``prefix``, with the seconds of their last change on demand."""
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         system = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in system.listStatus(target)]
-        return [n[len(prefix):] for n in names if n.startswith(prefix)]
+        found = [(s.getPath().getName(), s.getModificationTime() / 1000) for s in system.listStatus(target)]
+        found = [(n[len(prefix):], t) for n, t in found if n.startswith(prefix)]
+        return found if times else [n for n, _ in found]

@@ -17,8 +17,10 @@ from hitfold.functions import requests as R
 from hitfold.functions.columns import flag
 from hitfold.operators import parse as P
 from hitfold.operators.enrich import enrich
-from hitfold.options import HISTORY_DAYS, HISTORY_DETAIL_DAYS, Options
-from hitfold.store import STATS, Store
+from hitfold.options import DAY, Options
+from hitfold.session import remove_path, stored
+from hitfold.sources import logs, registry
+from hitfold.store import FILES, STATS, Store
 
 OBSERVED = "ingest"
 LIVE_TRIGGER = "1 second"
@@ -86,7 +88,7 @@ class Counters(StreamingQueryListener):
 def start_live(
     messages: DataFrame, store: Store, sites: Callable[[], DataFrame], checkpoint: str,
     source: str = "live", backfilling: Callable[[], DataFrame | None] = lambda: None,
-    available_now: bool = False,
+    available_now: bool = False, trigger: str = LIVE_TRIGGER,
 ) -> StreamingQuery:
     """Fold a stream of live messages into the store.
 
@@ -98,30 +100,32 @@ def start_live(
         parsed = P.parse_messages(batch.select("value"), options)
         routed = route(parsed, sites(), options, backfilling())
         store.ingest(
-            f"{source}-{batch_id}", routed.withColumn("file_path", F.lit(source)), stage=False
+            f"{source}-{batch_id}", routed.withColumn("file_path", F.lit(source)), stage=False,
+            replay=True,
         )
 
     writer = messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     if available_now:
         return writer.trigger(availableNow=True).start()
-    return writer.trigger(processingTime=LIVE_TRIGGER).start()
+    return writer.trigger(processingTime=trigger).start()
 
 
 def start_history(
     lines: DataFrame, store: Store, sites: DataFrame, checkpoint: str, now: int,
-    source: str = "history",
+    source: str = "history", days: int | None = 30, detail_days: int | None = 7,
 ) -> StreamingQuery:
-    """Load log files that appear in a folder, 30 days back, then stop; rerun to resume.
+    """Load log files that appear in a folder once, under a name of their own, then stop; rerun to resume.
 
-    Files already loaded are known to the checkpoint. Details of the last seven days are kept, failed
-    ones of all 30.
+    Files already loaded are known to the checkpoint by their names, so this is for folders where files
+    neither grow nor change names; ``load_closed`` is for rotated logs. Lines older than ``days`` are rejected
+    (None: none), details are kept for ``detail_days``, failed ones as long as lines.
     """
-    since = now - HISTORY_DAYS * 86400
-    detail_since = now - HISTORY_DETAIL_DAYS * 86400
+    since = 0 if days is None else now - days * DAY
+    detail_since = 0 if detail_days is None else now - detail_days * DAY
 
     def write(batch: DataFrame, batch_id: int) -> None:
         load_lines(
-            batch, store, sites, f"{source}-{batch_id}", since, detail_since, since
+            batch, store, sites, f"{source}-{batch_id}", since, detail_since, since, replay=True
         )
 
     writer = lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
@@ -130,11 +134,48 @@ def start_history(
 
 def load_lines(
     lines: DataFrame, store: Store, sites: DataFrame, batch: str, since: int = 0,
-    detail_since: int = 0, error_since: int = 0,
+    detail_since: int = 0, error_since: int = 0, replay: bool = False,
+    files: DataFrame | None = None,
 ) -> None:
-    """Parse log lines once and fold them into one batch of the store."""
+    """Parse log lines once and fold them into one batch of the store.
+
+    Lines of files that belong to no site are counted as rejected, without a site.
+    """
     judged = P.judge(P.parse_lines(lines), store.options, since)
-    store.ingest(batch, judged, detail_since, error_since, sites=sites)
+    store.ingest(batch, judged, detail_since, error_since, sites=sites, replay=replay, files=files)
+
+
+def load_closed(
+    store: Store, sites: DataFrame, folder: str, batch: str, pattern: str = "*.log[.-]*",
+    since: int = 0, detail_since: int = 0, error_since: int = 0,
+) -> int:
+    """Load the rotated files of a folder that were not loaded before; the number of files loaded.
+
+    A file is known by what it holds (its lines, in any order), so it may change its name or be compressed between
+    runs, and a file still written to is read once it is rotated. What was loaded becomes
+    known with the batch's commit. Files of no site are not remembered: they load once their site is registered.
+    """
+    lines = logs.read_closed(store.spark, folder, pattern)
+    held = logs.contents(lines)
+    owned = registry.with_site(held, sites)
+    first = F.min(F.struct("file_path", "site_id")).alias("f")
+    seen = store.partials(FILES).select("lines", "digest").distinct()
+    fresh, path = stored(
+        held.join(seen, ["lines", "digest"], "left_anti").join(owned.select("file_path", "site_id"), "file_path")
+        .groupBy("lines", "digest").agg(first)
+        .select("lines", "digest", F.col("f.file_path").alias("file_path"), F.col("f.site_id").alias("site_id")),
+        "files",
+    )
+    try:
+        count = fresh.where("site_id IS NOT NULL").count()
+        if count or not fresh.isEmpty():
+            load_lines(
+                lines.join(fresh.select("file_path"), "file_path", "left_semi"), store, sites, batch,
+                since, detail_since, error_since, files=fresh.where("site_id IS NOT NULL"),
+            )
+        return count
+    finally:
+        remove_path(store.spark, path)
 
 
 def windowed_metrics(

@@ -641,7 +641,7 @@ def q23_stream_equals_batch(spark, folder):
         F.col("site_id").alias("id"), F.col("site_id").alias("panel_site_id")
     )
     running = live.start_live(
-        stream_messages(spark, feed, per_trigger=2), store, lambda: sites, checkpoint,
+        stream_messages(spark, feed, files_per_trigger=2), store, lambda: sites, checkpoint,
         available_now=True,
     )
     running.awaitTermination()

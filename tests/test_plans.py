@@ -165,3 +165,17 @@ def test_places_match_brute_force(spark):
 def test_exact_counts(tables):
     row = exact_counts(tables[1].where("site_id = 1"), ["site_id"]).first()
     assert (row.uv, row.ip) == (2, 1)
+
+
+def test_search_and_pages_take_whole_values(spark):
+    long = "/" + "a" * 3000
+    rows = [(1, i, f"{long}{i}", "1.1.1.1", 200, "agent " + "x" * 2000 + str(i)) for i in range(3)]
+    details = spark.createDataFrame(rows, "site_id long, timestamp long, uri string, remote_addr string, status int, user_agent string")
+    for query in (long + "2", "x" * 200 + "2"):
+        found = lookup.search(details, 1, Period(0, 10), query=query)
+        assert [r.timestamp for r in found.collect()] == [2]
+    for number, size in ((0, 50), (1, 0), ("1", 50)):
+        with pytest.raises(ValueError):
+            lookup.page(details, number, size)
+    numbered = details.withColumn("id", F.col("timestamp").cast("string"))
+    assert lookup.page(numbered, 100_001, 5).count() == 0 and lookup.page(numbered, 1, 2).count() == 2

@@ -1,7 +1,9 @@
 """Batches in the store, replays, compaction, expiry, and streams against batch results."""
 
+import gzip
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from hitfold.functions.sketch import sketch_counts
@@ -47,7 +49,7 @@ def test_a_replayed_batch_counts_once_and_compaction_keeps_totals(spark, tmp_pat
     assert sorted(map(tuple, store.merged("dimension_day").collect())) == before
     assert tuple(sketch_counts(store.partials("unique_hll_hour"), ["site_id"]).first()) == uniques
     assert store.partials("metric_minute").count() == store.merged("metric_minute").count()
-    assert store.reclaim(NOW) >= 12 and requests_in(store) == 5
+    assert store.reclaim(NOW, grace=0) >= 12 and requests_in(store) == 5
     assert live.ingest_progress(store).first().events == 5
     assert store.compact() is None
 
@@ -64,13 +66,13 @@ def test_expiry(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"), OPTIONS).create()
     store.ingest("b-0", judged(spark, (NOW, 1), (NOW - 8 * DAY, 1), (NOW - 8 * DAY, 9), (NOW - 40 * DAY, 9), (NOW - 100 * DAY, 1)))
     assert sorted(NOW - r.timestamp for r in store.details(NOW).collect()) == [0, 8 * DAY]
-    assert store.reclaim(NOW) == 3  # two days of details, one day of dimensions
+    assert store.reclaim(NOW, grace=0) == 3  # two days of details, one day of dimensions
     assert store.partials("request_detail").count() == 3
     assert requests_in(store) == 5
     store.compact(NOW)
     assert store.partials("request_detail").count() == 2
     assert requests_in(store) == 5
-    assert store.reclaim(NOW, rollup_days=90) > 0 and requests_in(store) == 4
+    assert store.reclaim(NOW, rollup_days=90, grace=0) > 0 and requests_in(store) == 4
 
 
 def test_merging_and_dropping_sites(spark, tmp_path):
@@ -104,7 +106,7 @@ def test_a_live_stream_equals_the_batch_and_survives_a_restart(spark, tmp_path):
     def run():
         counters = live.Counters()
         spark.streams.addListener(counters)
-        stream = logs.stream_messages(spark, str(feed), per_trigger=2)
+        stream = logs.stream_messages(spark, str(feed), files_per_trigger=2)
         live.start_live(stream, store, lambda: sites(spark), str(tmp_path / "c"), available_now=True).awaitTermination()
         spark.streams.removeListener(counters)
 
@@ -159,6 +161,89 @@ def test_history_loads_resume_and_skip_old_lines(spark, tmp_path):
     assert [r.requests for r in answers["trend"].orderBy("timestamp").collect()] == [1, 1]
 
 
+def write_lines(path, days):
+    path.write_text("".join(log_line(d, f"8.8.8.{d}") for d in days))
+
+
+def test_rotated_files_load_once_whatever_their_names(spark, tmp_path):
+    folder = tmp_path / "my logs"  # a space is escaped in the reader's paths
+    folder.mkdir()
+    store = Store(spark, str(tmp_path / "s"), OPTIONS).create()
+    known = sites(spark).withColumn("log_path", F.concat(F.lit(f"{folder}/"), "name", F.lit(".log")))
+    load = lambda batch: live.load_closed(store, known, str(folder), batch)
+    write_lines(folder / "a.log", (1, 2))
+    assert load("1") == 0 and not requests_in(store)  # still written to
+    write_lines(folder / "a.log", (1, 2, 3))
+    (folder / "a.log").rename(folder / "a.log.1")
+    write_lines(folder / "a.log", (4,))
+    assert load("2") == 1 and requests_in(store) == 3
+    (folder / "a.log.1").rename(folder / "a.log.2")
+    (folder / "a.log").rename(folder / "a.log.1")
+    assert load("3") == 1 and requests_in(store) == 4
+    store.compact()
+    with gzip.open(folder / "a.log.2.gz", "wb") as out:
+        out.write((folder / "a.log.2").read_bytes())
+    (folder / "a.log.2").unlink()
+    assert load("4") == 0 and requests_in(store) == 4
+
+
+def test_lines_of_unknown_files_are_counted(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    for name, days in (("a.log.1", (1, 2)), ("unknown.log.1", (3,))):
+        write_lines(folder / name, days)
+    store = Store(spark, str(tmp_path / "s"), OPTIONS).create()
+    known = sites(spark).withColumn("log_path", F.concat(F.lit(f"{folder}/"), "name", F.lit(".log")))
+    assert live.load_closed(store, known, str(folder), "1") == 1
+    stats = {r.site_id: (r.lines, r.events, r.rejected) for r in live.ingest_progress(store).collect()}
+    assert stats == {1: (2, 2, 0), 0: (1, 0, 1)}
+    more = known.unionByName(known.limit(1).withColumns({"id": F.lit(9).cast("long"), "log_path": F.lit(f"{folder}/unknown.log")}))
+    assert live.load_closed(store, more, str(folder), "2") == 1 and requests_in(store) == 3
+
+
+def test_visible_batches_are_not_written_again(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), OPTIONS).create()
+    rows = judged(spark, (NOW, 1))
+    assert store.ingest("b", rows) and not store.ingest("b", rows) and requests_in(store) == 1
+    store.compact()
+    with pytest.raises(ValueError, match="compacted"):
+        store.ingest("b", rows)
+    assert not store.ingest("b", rows, replay=True) and requests_in(store) == 1
+
+
+def test_a_failed_batch_stays_invisible_and_is_written_anew(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"), OPTIONS).create()
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            store.ingest("b", judged(spark, (NOW, 1)))
+    assert not requests_in(store)
+    assert store.ingest("b", judged(spark, (NOW, 1))) and requests_in(store) == 1
+
+
+def test_rewrites_exclude_each_other(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"), OPTIONS).create()
+    store.ingest("b", judged(spark, (NOW, 1)))
+    inner = []
+    real = Store._commit
+
+    def commit(self, batch, replaces=None):
+        if replaces:
+            with pytest.raises(RuntimeError, match="another rewrite"):
+                store.compact(full=True)
+            inner.append(batch)
+        real(self, batch, replaces)
+
+    monkeypatch.setattr(Store, "_commit", commit)
+    store.compact()
+    assert inner and requests_in(store) == 1
+    stale = store.active_batches()
+    store.compact(full=True)
+    with pytest.raises(RuntimeError, match="replaced"):
+        store._rewrite(stale, lambda table, rows: rows)
+    assert requests_in(store) == 1
+
+
 def test_windowed_stream(spark, tmp_path):
     feed = tmp_path / "feed"
     feed.mkdir()

@@ -99,7 +99,7 @@ net AS (
     r_name AS country, n_name AS region, n_name AS city
   FROM nation JOIN region ON n_regionkey = r_regionkey
   UNION ALL SELECT {BASE} + r_regionkey * 64, {BASE} + r_regionkey * 64 + 63, r_name, 'area', ''
-  FROM region WHERE r_regionkey < 4
+  FROM region
   UNION ALL SELECT {9 * 2**24}, {10 * 2**24 - 1}, max(r_name), '', '' FROM region),
 addr AS (SELECT DISTINCT remote_addr AS address FROM access),
 num AS (SELECT address, CAST(split_part(address,'.',1) AS BIGINT) * 16777216
@@ -457,3 +457,13 @@ SELECT o_orderkey, CASE WHEN p = 0 OR x >= 100 THEN format('{:.0f}', floor(x + 0
   ELSE format('{:.2f}', floor(x * 100 + 0.5::DOUBLE) / 100) END || ' '
   || ['B', 'KB', 'MB', 'GB', 'TB'][p + 1] AS size FROM v""",
 }
+
+ORACLE["q30_rotated_files"] = ORACLE["q01_minute_metrics"]
+ORACLE["q31_unknown_files"] = f"""WITH {ACCESS}
+SELECT CASE WHEN site_id = 5 THEN 0 ELSE site_id END AS site_id, count(*) AS lines,
+  count(*) FILTER (WHERE site_id <> 5) AS events, count(*) FILTER (WHERE site_id = 5) AS rejected
+FROM access GROUP BY 1"""
+ORACLE["q32_long_targets"] = """
+WITH long AS (SELECT '/' || regexp_replace(text, '[^A-Za-z]', '', 'g') AS value
+  FROM documents JOIN events ON event_id = doc_id)
+SELECT md5(value) AS target, length(value) AS length, count(*) AS requests FROM long GROUP BY 1, 2"""

@@ -21,7 +21,7 @@ from hitfold.plans import overview as O
 from hitfold.plans import trend as T
 from hitfold.plans.periods import DAY, Period
 from hitfold.schema import DIMENSION_DAY, METRIC_MINUTE, SPIDER_MINUTE, UNIQUE_HOUR
-from hitfold.session import scratch_path
+from hitfold.session import remove_path, scratch_path
 from hitfold.sources import exports
 from hitfold.sources.logs import stream_messages
 from hitfold.store import Store
@@ -674,6 +674,66 @@ def q26_store_history(spark, folder):
     return text_day(store.merged("dimension_day"))
 
 
+# -- files ---------------------------------------------------------------------------
+
+def _rotate(spark, folder: str, rows: DataFrame, compress: bool) -> None:
+    """What a rotation does: every file of a site moves up one number, and the site's new lines take number 1."""
+    system = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system.mkdirs(path(folder))
+    old = sorted((s.getPath().getName() for s in system.listStatus(path(folder))), key=lambda n: -int(n.split(".")[2]))
+    for name in old:
+        site, _, number, *rest = name.split(".")
+        system.rename(path(f"{folder}/{name}"), path(".".join([f"{folder}/{site}", "log", str(int(number) + 1), *rest])))
+    fresh = scratch_path(spark, "lines")
+    by_site = log_lines(rows).select("value", "site_id").repartition("site_id")
+    by_site.write.partitionBy("site_id").option("compression", "gzip" if compress else "none").text(fresh)
+    for part in system.listStatus(path(fresh)):
+        site = part.getPath().getName()
+        if site.startswith("site_id="):
+            found = [f.getPath() for f in system.listStatus(part.getPath()) if f.getPath().getName().startswith("part-")]
+            system.rename(found[0], path(f"{folder}/site {site[8:]}.log.1{'.gz' if compress else ''}"))
+    remove_path(spark, fresh)
+
+
+def _file_sites(spark, folder, logs_at: str, known) -> DataFrame:
+    ids = access(spark, folder).select(F.col("site_id").alias("id")).distinct().where(known)
+    return ids.withColumn("log_path", F.concat(F.lit(f"{logs_at}/site "), F.col("id").cast("string"), F.lit(".log")))
+
+
+@query
+def q30_rotated_files(spark, folder):
+    """All requests as rotated files, plain and gzip, that change their names between loads: each line counts once."""
+    logs_at = scratch_path(spark, "logs")
+    store = Store(spark, scratch_path(spark, "store"), OPTIONS).create()
+    sites = _file_sites(spark, folder, logs_at, F.lit(True))
+    for step in range(3):
+        _rotate(spark, logs_at, access(spark, folder).where(F.col("id") % 3 == step), step == 1)
+        live.load_closed(store, sites, logs_at, f"load-{step}")
+    live.load_closed(store, sites, logs_at, "again")
+    return store.merged("metric_minute")
+
+
+@query
+def q31_unknown_files(spark, folder):
+    """Lines of a file that belongs to no site are counted as rejected."""
+    logs_at = scratch_path(spark, "logs")
+    store = Store(spark, scratch_path(spark, "store"), OPTIONS).create()
+    _rotate(spark, logs_at, access(spark, folder), False)
+    live.load_closed(store, _file_sites(spark, folder, logs_at, F.col("id") != 5), logs_at, "load")
+    return live.ingest_progress(store)
+
+
+@query
+def q32_long_targets(spark, folder):
+    """Targets as long as whole documents keep apart where they differ only late."""
+    letters = F.regexp_replace("text", "[^A-Za-z]", "")
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("/"), letters).alias("long"))
+    rows = access(spark, folder).join(texts, "id").withColumn("uri", F.col("long")).drop("long")
+    days = U.dimension_day(E.enrich(rows, OPTIONS), ("uri",))
+    return days.groupBy(F.md5("value").alias("target"), F.length("value").cast("bigint").alias("length")).agg(F.sum("requests").alias("requests"))
+
+
 # -- registry ------------------------------------------------------------------------
 
 def _discovered(spark, folder):

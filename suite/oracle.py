@@ -467,3 +467,14 @@ ORACLE["q32_long_targets"] = """
 WITH long AS (SELECT '/' || regexp_replace(text, '[^A-Za-z]', '', 'g') AS value
   FROM documents JOIN events ON event_id = doc_id)
 SELECT md5(value) AS target, length(value) AS length, count(*) AS requests FROM long GROUP BY 1, 2"""
+
+
+def _near(name: str) -> str:
+    """The exact query with its distinct counts replaced by flags."""
+    return f"SELECT * EXCLUDE (uv, ip), TRUE AS uv_near, TRUE AS ip_near FROM ({ORACLE[name]})"
+
+
+ORACLE["q33_stored_overview"] = _near("q04_overview")
+ORACLE["q33_stored_summaries"] = _near("q11_site_summary")
+ORACLE["q33_stored_trend"] = _near("q05_trend_dense")
+ORACLE["q33_dashboard_summary"] = f"SELECT * FROM ({ORACLE['q12_trend_summary']}) WHERE site_id = 1"

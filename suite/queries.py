@@ -16,7 +16,7 @@ from hitfold.operators import enrich as E
 from hitfold.operators import geo, parse, retention
 from hitfold.operators import rollup as U
 from hitfold.operators import sites as S
-from hitfold.plans import lookup, rankings
+from hitfold.plans import lookup, rankings, reports
 from hitfold.plans import overview as O
 from hitfold.plans import trend as T
 from hitfold.plans.periods import DAY, Period
@@ -674,6 +674,50 @@ def q26_store_history(spark, folder):
     return text_day(store.merged("dimension_day"))
 
 
+# -- the read path over stored rollups and sketches ------------------------------------
+
+def _stored(spark, folder) -> dict[str, DataFrame]:
+    """All requests ingested once: the tables that the read API works on."""
+    store = Store(spark, scratch_path(spark, "store"), OPTIONS).create()
+    store.ingest("all", access(spark, folder).withColumns({"verdict": F.lit("accepted"), "file_path": F.lit("log")}))
+    return store.tables()
+
+
+def _near(spark, folder, make, keys: list[str]) -> DataFrame:
+    """``make(metric, uniques)`` over the store; its estimates as whether they are near the exact counts."""
+    tables = _stored(spark, folder)
+    estimated = make(tables["metric_minute"], tables["unique_hll_hour"])
+    exact = make(U.metric_partials(requests(spark, folder)), values_of(spark, folder)).select(
+        *keys, F.col("uv").alias("_uv"), F.col("ip").alias("_ip")
+    )
+    flags = {"uv_near": close_to("uv", "_uv"), "ip_near": close_to("ip", "_ip")}
+    return estimated.join(exact, keys).withColumns(flags).drop("uv", "ip", "_uv", "_ip")
+
+
+@query
+def q33_stored_overview(spark, folder):
+    sites, period = site_ids(spark, folder), whole_period(spark, folder)
+    return _near(spark, folder, lambda m, u: O.overview(m, u, sites, period), ["site_id"])
+
+
+@query
+def q33_stored_summaries(spark, folder):
+    sites, period = site_ids(spark, folder), whole_period(spark, folder)
+    return _near(spark, folder, lambda m, u: O.summaries(m, u, sites, period), ["site_id"])
+
+
+@query
+def q33_stored_trend(spark, folder):
+    sites, period = site_ids(spark, folder), whole_period(spark, folder)
+    return _near(spark, folder, lambda m, u: T.trend(m, u, sites, period), ["site_id", "timestamp"])
+
+
+@query
+def q33_dashboard_summary(spark, folder):
+    """What the dashboard says of one site's trend against the period before."""
+    return reports.dashboard(_stored(spark, folder), 1, later_half(spark, folder))["trend_summary"]
+
+
 # -- files ---------------------------------------------------------------------------
 
 def _rotate(spark, folder: str, rows: DataFrame, compress: bool) -> None:

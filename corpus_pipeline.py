@@ -15,7 +15,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or without one prevailing language."""
+    """Drops documents without a letter, or whose words fit no learned language better than the others."""
     return language.keep_known(docs)
 
 

@@ -6,6 +6,7 @@ Plain files split into many tasks; a gzip or tar file is one task, as its format
 
 from __future__ import annotations
 
+import io
 import tarfile
 from collections.abc import Iterator, Sequence
 from datetime import datetime, timezone
@@ -58,23 +59,16 @@ def list_files(
 
 
 def archive_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Lines of every file in each named archive, streamed: memory holds one batch of lines."""
-    from pyarrow import fs
-
+    """Lines of every file in each archive: of a local path, streamed; of given ``content``, from memory."""
     for batch in batches:
-        for path in batch["path"]:
-            location = path.removeprefix("file:") if path.startswith("file:/") else path
-            if location.startswith("/"):
-                location = "/" + location.lstrip("/")
-                system = fs.LocalFileSystem()
-            else:
-                system, location = fs.FileSystem.from_uri(location)
-            with system.open_input_stream(location, compression=None) as raw:
-                with tarfile.open(fileobj=raw, mode="r|*") as archive:
-                    for member in archive:
-                        content = archive.extractfile(member) if member.isfile() else None
-                        if content is not None:
-                            yield from _line_batches(path, content)
+        held = batch["content"] if "content" in batch else [None] * len(batch)
+        for path, content in zip(batch["path"], held, strict=True):
+            raw = open("/" + path.removeprefix("file:").lstrip("/"), "rb") if content is None else io.BytesIO(content)
+            with raw, tarfile.open(fileobj=raw, mode="r|*") as archive:
+                for member in archive:
+                    lines = archive.extractfile(member) if member.isfile() else None
+                    if lines is not None:
+                        yield from _line_batches(path, lines)
 
 
 def _line_batches(path: str, content) -> Iterator[pd.DataFrame]:
@@ -88,10 +82,22 @@ def _line_batches(path: str, content) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"file_path": path, "value": lines})
 
 
-def read_archives(files: DataFrame) -> DataFrame:
-    """Lines of the tar archives named in ``path``, one archive per task."""
+LOCAL = "^(file:)?/"
+
+
+def read_archives(files: DataFrame, local: str = LOCAL) -> DataFrame:
+    """Lines of the tar archives named in ``path``, one archive per task.
+
+    Paths that match ``local`` must be the same on every worker and are streamed. Archives of other file systems
+    come through Spark's binary reader, which opens whatever Spark can; a task then holds one archive, below 2 GiB.
+    """
     paths = files.where(is_archive(F.col("path"))).select("path")
-    return paths.repartition("path").mapInPandas(archive_lines, LINE_SCHEMA)
+    lines = paths.where(F.col("path").rlike(local)).repartition("path").mapInPandas(archive_lines, LINE_SCHEMA)
+    far = [row.path for row in paths.where(~F.col("path").rlike(local)).toLocalIterator()]  # names only
+    if not far:
+        return lines
+    held = files.sparkSession.read.format("binaryFile").load(far).select("path", "content")
+    return lines.unionByName(held.mapInPandas(archive_lines, LINE_SCHEMA))
 
 
 def read_history(

@@ -52,6 +52,13 @@ def test_old_rotated_files_are_skipped_but_not_the_current_one(spark, tmp_path):
     assert hosts == ["1.1.1.1", "1.1.1.3", "1.1.1.6"]
 
 
+def test_archives_of_other_file_systems_are_read_by_spark(spark, tmp_path):
+    history(tmp_path)
+    files = logs.list_files(spark, str(tmp_path), logs.ARCHIVE_GLOB)
+    near, far = (sorted(r.value for r in logs.read_archives(files, local).collect()) for local in (logs.LOCAL, "^none:"))
+    assert near and near == far
+
+
 def test_only_newlines_end_a_line(spark, tmp_path):
     (tmp_path / "x.log").write_bytes(b"a\rb\nc\xff\n")
     values = [r.value for r in logs.read_lines(spark, str(tmp_path / "x.log")).collect()]

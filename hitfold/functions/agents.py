@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Crawler names in order of precedence, each with the substrings that
-# name it; "a*b" means a followed somewhere by b.
+# name it; the one with ``.*`` is a pattern.
 SPIDERS = (
     ("Baiduspider", ("baiduspider",)),
     ("Googlebot", ("googlebot",)),
     ("Bingbot", ("bingbot", "msnbot")),
-    ("Sogou", ("sogou*spider",)),
+    ("Sogou", ("sogou.*spider",)),
     ("360Spider", ("360spider", "haosouspider")),
     ("Shenma", ("yisouspider", "sm.cn")),
     ("YandexBot", ("yandexbot",)),
@@ -59,9 +59,10 @@ DEVICES = (
 def _holds(text: str, tokens) -> str:
     tests = []
     for token in tokens:
-        first, _, then = token.partition("*")
-        test = f"contains({text}, '{first}')"
-        tests.append(f"({test} AND {text} RLIKE '{first}.*{then}')" if then else test)
+        # substrings are several times cheaper than patterns, so a pattern runs only where its start occurs
+        start, pattern, _ = token.partition(".*")
+        test = f"contains({text}, '{start}')"
+        tests.append(f"({test} AND {text} RLIKE '{token}')" if pattern else test)
     return "(" + " OR ".join(tests) + ")"
 
 

@@ -60,8 +60,12 @@ def agent_columns(column: str) -> str:
     )
 
 
-STATIC = ("css js map jpg jpeg png gif webp svg ico woff woff2 ttf eot mp3 mp4 avi mov "
-          "zip gz rar 7z pdf").split()
+# File suffixes that never count as a page view.
+STATIC = (
+    "css", "js", "map", "jpg", "jpeg", "png", "gif", "webp", "svg", "ico",
+    "woff", "woff2", "ttf", "eot", "mp3", "mp4", "avi", "mov",
+    "zip", "gz", "rar", "7z", "pdf",
+)
 _STATIC = ", ".join(f"'{s}'" for s in STATIC)
 PATH = "'^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?(?://[^/?#]*)?([^?#]*)', 1"
 SUFFIX = "'(?:^|/)[^/]+\\.([^./]+)(?:/\\.?)*$', 1"

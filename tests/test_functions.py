@@ -36,7 +36,7 @@ def test_paths_and_suffixes_match_the_standard_library(spark):
 def python_spider(ua):
     for name, needles in agents.SPIDERS:
         for needle in needles:
-            if re.search(re.escape(needle).replace(r"\*", ".*"), ua, re.I):
+            if re.search(re.escape(needle).replace(r"\.\*", ".*"), ua, re.I):
                 return name
     return agents.OTHER_SPIDER if re.search("bot|spider|crawler|slurp", ua, re.I) else None
 

@@ -396,8 +396,12 @@ WHERE (status < 400 AND timestamp >= hi - 7 * 86400) OR (status >= 400 AND times
  SELECT canonical_id AS site_id, count(DISTINCT visitor) AS uv, count(DISTINCT address) AS ip,
   true AS uv_near, true AS ip_near FROM req JOIN mapping USING (site_id) GROUP BY 1""", SITES),
     "q18_site_merge_exact": q("""
- SELECT DISTINCT canonical_id AS site_id, day, visitor AS visitor_hash
-FROM lv JOIN mapping USING (site_id)""", LEGACY, SITES),
+
+, v AS (SELECT site_id, day, 'uv' AS kind, visitor AS value, m FROM lv
+  UNION ALL SELECT site_id, day, 'ip', address, m FROM la),
+w AS (SELECT canonical_id, v.* FROM v JOIN mapping USING (site_id))
+SELECT canonical_id AS site_id, day, kind, value, arg_min(m, w.site_id) AS first_minute
+FROM w GROUP BY canonical_id, day, kind, value""", LEGACY, SITES),
     "q19_migrate_exact": q("""
 , v AS (SELECT site_id, m - m % 3600 AS hour_ts, 'uv' AS kind, visitor AS value FROM lv
   UNION ALL SELECT site_id, m - m % 3600, 'ip', address FROM la)

@@ -527,13 +527,13 @@ def legacy(spark, folder):
 
 @query
 def q18_site_merge_exact(spark, folder):
-    visitors, _ = legacy(spark, folder)
-    return text_day(
-        S.merge_exact(
-            visitors.select("site_id", "day", "visitor_hash"), _mapping(spark, folder),
-            ["site_id", "day", "visitor_hash"],
-        )
+    """Both exact tables with their measure: the canonical site's row, else that of the lowest duplicate."""
+    visitors, addresses = legacy(spark, folder)
+    keys = ["site_id", "day", "kind", "value"]
+    rows = visitors.select("site_id", "day", F.lit("uv").alias("kind"), F.col("visitor_hash").alias("value"), "first_minute").unionByName(
+        addresses.select("site_id", "day", F.lit("ip").alias("kind"), F.col("ip_hash").alias("value"), "first_minute")
     )
+    return text_day(S.merge_exact(rows, _mapping(spark, folder), keys))
 
 
 @query

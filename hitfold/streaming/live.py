@@ -151,19 +151,18 @@ def load_closed(
 ) -> int:
     """Load the rotated files of a folder that were not loaded before; the number of files loaded.
 
-    A file is known by what it holds (its lines, in any order), so it may change its name or be compressed between
-    runs, and a file still written to is read once it is rotated. What was loaded becomes
-    known with the batch's commit. Files of no site are not remembered: they load once their site is registered.
+    A file is known by its site and what it holds (its lines, in any order), so it may change its name or be compressed between
+    runs, and a file still written to is read once it is rotated. Equal files of two sites are two files. What was loaded becomes
+    known with the batch's commit. Files of no site are each counted and not remembered: they load once their site is registered.
     """
     lines = logs.read_closed(store.spark, folder, pattern)
-    held = logs.contents(lines)
-    owned = registry.with_site(held, sites)
-    first = F.min(F.struct("file_path", "site_id")).alias("f")
-    seen = store.partials(FILES).select("lines", "digest").distinct()
+    owned = registry.with_site(logs.contents(lines), sites)
+    seen = store.partials(FILES).select("site_id", "lines", "digest").distinct()
+    alone = F.when(F.col("site_id").isNull(), F.col("file_path")).alias("_alone")
     fresh, path = stored(
-        held.join(seen, ["lines", "digest"], "left_anti").join(owned.select("file_path", "site_id"), "file_path")
-        .groupBy("lines", "digest").agg(first)
-        .select("lines", "digest", F.col("f.file_path").alias("file_path"), F.col("f.site_id").alias("site_id")),
+        owned.join(seen, ["site_id", "lines", "digest"], "left_anti")
+        .groupBy("site_id", "lines", "digest", alone).agg(F.min("file_path").alias("file_path"))
+        .select("lines", "digest", "file_path", "site_id"),
         "files",
     )
     try:

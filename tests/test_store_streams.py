@@ -201,6 +201,24 @@ def test_lines_of_unknown_files_are_counted(spark, tmp_path):
     assert live.load_closed(store, more, str(folder), "2") == 1 and requests_in(store) == 3
 
 
+def test_equal_files_of_two_sites_are_two_files(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    store = Store(spark, str(tmp_path / "s"), OPTIONS).create()
+    one = sites(spark).limit(1)
+    known = one.withColumns({"id": F.lit(1).cast("long"), "log_path": F.lit(f"{folder}/b.log")}).unionByName(
+        one.withColumns({"id": F.lit(2).cast("long"), "log_path": F.lit(f"{folder}/c.log")})
+    )
+    for name in ("a", "b", "c"):  # a belongs to no site and has the least path
+        write_lines(folder / f"{name}.log.1", (1, 2))
+    assert live.load_closed(store, known, str(folder), "1") == 2 and requests_in(store) == 4
+    stats = {r.site_id: (r.lines, r.events, r.rejected) for r in live.ingest_progress(store).collect()}
+    assert stats == {1: (2, 2, 0), 2: (2, 2, 0), 0: (2, 0, 2)}
+    assert {(r.site_id, r.lines) for r in store.partials("ingested_files").collect()} == {(1, 2), (2, 2)}
+    more = known.unionByName(one.withColumns({"id": F.lit(3).cast("long"), "log_path": F.lit(f"{folder}/a.log")}))
+    assert live.load_closed(store, more, str(folder), "2") == 1 and requests_in(store) == 6
+
+
 def test_visible_batches_are_not_written_again(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"), OPTIONS).create()
     rows = judged(spark, (NOW, 1))

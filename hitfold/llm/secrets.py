@@ -4,94 +4,172 @@ A candidate is a run of at least ``LEAST`` of ``[A-Za-z0-9+/_-]`` that holds a d
 character classes, how many distinct characters it has, how usual its letter pairs are, how much of it words of the dictionary cover, its path (hashed source) and
 the words and signs around it. The forest is Spark's own, trained on labelled findings (doc_id, start, label).
 
-The dictionary and the letter pairs describe ordinary prose; they are part of the classifier and come from a bounded sample of ``SAMPLE`` documents.
+The dictionary and the letter pairs describe ordinary prose and are counted over all documents. A word is in the dictionary if, among the documents of
+any one path, at least ``REPEATED`` and a share of ``USUAL`` hold it, so small sources keep their own words. It is broadcast as a filter of fixed size
+(``common.Membership``), which takes a few other strings for words.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from math import log
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hitfold.llm.common import bucket_of, column_of, documents, sliced, written
+from hitfold.llm.common import _LOWER, Membership, bucket_of, column_of, documents, sliced, span_hashes, text_bytes, written
 
-LEAST, SAMPLE, WORDS, HASHED = 12, 500, 5000, 16
+LEAST, LONGEST, HASHED = 12, 24, 16
+REPEATED, USUAL = 5, 1e-4
 TREES, DEPTH = 40, 8
 _RUN = re.compile(r"[A-Za-z0-9+/_\-]{%d,}" % LEAST)
 _DIGIT = re.compile(r"[0-9]")
-_LETTERS = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Za-z]+")
 _KEY = re.compile(r"(?i)pass|pwd|token|secret|key|auth|cred|bearer")
 
 
-def prose(docs: DataFrame, size: int = SAMPLE) -> tuple[frozenset[str], dict[str, float]]:
-    """Dictionary and log frequency of letter pairs of a sample: the ``size`` documents with the least hash of doc_id."""
-    ids = [r["doc_id"] for r in docs.filter("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(size).collect()]
-
-    def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-        for batch in batches:
-            for text in column_of(batch, "text").to_pylist():
-                counts.update(w for w in _LETTERS.findall((text or "").lower()) if 3 <= len(w) <= 12)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-
-    top = (
-        docs.filter(F.col("doc_id").isin(ids)).select("text").mapInArrow(tally, "word string, n long")
-        .groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(WORDS).collect() if ids else []
-    )
-    pairs: Counter[str] = Counter()
-    for r in top:
-        for a, b in zip(r["word"], r["word"][1:], strict=False):
-            pairs[a + b] += r["n"]
-    total = sum(pairs.values()) + 26 * 26
-    return frozenset(r["word"] for r in top), {p: log((n + 1) / total) for p, n in pairs.items()} | {"": log(1 / total)}
-
-
-def features(text: str, start: int, end: int, path: str | None, known: frozenset[str], pairs: dict[str, float]) -> list[float]:
+class Lexicon:
+    """What ordinary words are like: a membership filter of their hashes and the log frequency of each letter pair."""
+
+    def __init__(self, docs: DataFrame, path: str):
+        rows = written(word_counts(docs, path), "words")
+        found = {r["word"]: r["n"] for r in rows.filter("kind = 1").collect()}  # at most 26 * 26 rows
+        counts = np.zeros(26 * 26)
+        counts[list(found)] = list(found.values())
+        self.pairs = np.log((counts + 1) / (counts.sum() + 26 * 26)).reshape(26, 26)
+        sizes = rows.filter("kind = 2").select("place", F.col("n").alias("docs"))
+        usual = rows.filter("kind = 0").join(sizes, "place").filter(F.col("n") >= F.col("docs") * USUAL)
+        self.known = Membership(usual.select("word").distinct(), "word")
+
+    def measure(self, runs: list[str]) -> tuple[list[float], list[float]]:
+        """Of each run: the share that words cover (the longest first), and the mean log frequency of its letter pairs."""
+        sizes = np.array([len(r) for r in runs], np.int64)
+        low = _LOWER[np.frombuffer("".join(runs).encode("ascii", "replace"), np.uint8)]
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        starts, ends = letter_runs(low, offsets)
+        room = np.zeros(len(low), np.int64)
+        inside = np.arange(int((ends - starts).sum())) - np.repeat(np.cumsum(ends - starts) - (ends - starts), ends - starts)
+        at = np.repeat(starts, ends - starts) + inside
+        room[at] = np.repeat(ends, ends - starts) - at
+        longest = np.zeros(len(low), np.int64)
+        for k in range(3, LONGEST + 1):
+            at = np.flatnonzero(room >= k)
+            if not len(at):
+                break
+            longest[at[self.known.holds(span_hashes(low, at, at + k))]] = k
+        whole = starts[self.known.holds(span_hashes(low, starts, ends)) & (ends - starts >= 3)]
+        longest[whole] = room[whole]
+        jumps, covered = longest.tolist(), []
+        for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            done, i = 0, start
+            while i < end:
+                done, i = done + jumps[i], i + (jumps[i] or 1)
+            covered.append(done / max(end - start, 1))
+        two = np.flatnonzero(room > 1)
+        owner = np.searchsorted(offsets, two, "right") - 1
+        usual = self.pairs[low[two].astype(np.int64) - 97, low[two + 1].astype(np.int64) - 97]
+        means = np.bincount(owner, usual, len(runs)) / np.maximum(np.bincount(owner, minlength=len(runs)), 1)
+        return covered, means.tolist()
+
+
+def letter_runs(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of a-z in lower-cased texts end to end."""
+    letter = (low >= 97) & (low <= 122)
+    edge = np.zeros(len(low) + 1, bool)
+    edge[offsets] = True
+    starts = np.flatnonzero(letter & (~np.concatenate([[False], letter[:-1]]) | edge[:-1]))
+    ends = np.flatnonzero(letter & (~np.concatenate([letter[1:], [False]]) | edge[1:])) + 1
+    return starts, ends
+
+
+def word_counts(docs: DataFrame, path: str) -> DataFrame:
+    """(kind, place, word, n) over all documents: of words (kind 0, by hash, at least ``REPEATED``) and all (kind 2) the documents of each path, of letter
+    pairs (kind 1) the occurrences. Equal rows are added up inside tasks first."""
+
+    def merged(held: list[np.ndarray]) -> np.ndarray:
+        place, word, n = np.concatenate(held, axis=1)
+        order = np.lexsort((word, place))
+        place, word, n = place[order], word[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (word[1:] != word[:-1])])) if len(word) else order
+        return np.stack([place[first], word[first], np.add.reduceat(n, first) if len(first) else n])
+
+    def rows(kind: int, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(counts.shape[1], kind, np.int32)), *map(pa.array, counts)], ["kind", "place", "word", "n"])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, held, size = np.zeros(26 * 26, np.int64), [], 0
+        for batch in sliced(batches):
+            data, offsets = text_bytes(column_of(batch, "text"))
+            low = _LOWER[data]
+            place = column_of(batch, "place").to_numpy()
+            yield rows(2, merged([np.stack([place, np.zeros_like(place), np.ones_like(place)])]))
+            if not len(low):
+                continue
+            starts, ends = letter_runs(low, offsets)
+            inner = np.ones(len(low), bool)
+            inner[ends - 1] = False
+            two = np.flatnonzero(inner & (low >= 97) & (low <= 122))
+            pairs += np.bincount((low[two].astype(np.int64) - 97) * 26 + low[two + 1] - 97, minlength=26 * 26)
+            long = ends - starts >= 3
+            words = span_hashes(low, starts[long], ends[long]).view(np.int64)
+            owner = np.searchsorted(offsets, starts[long], "right") - 1
+            each = merged([np.stack([owner, words, np.ones_like(words)])])  # a word counts once a document
+            held.append(merged([np.stack([place[each[0]], each[1], np.ones_like(each[1])])]))
+            size += held[-1].shape[1]
+            if size > 1 << 20:
+                held = [merged(held)]
+                size = held[0].shape[1]
+                if size > 1 << 19:
+                    yield rows(0, held[0])
+                    held, size = [], 0
+        if held:
+            yield rows(0, merged(held))
+        yield rows(1, np.stack([np.zeros(26 * 26, np.int64), np.arange(26 * 26), pairs]))
+
+    own = docs.select("text", F.xxhash64(F.col(path).cast("string")).alias("place"))
+    total = own.mapInArrow(count, "kind int, place long, word long, n long").groupBy("kind", "place", "word").agg(F.sum("n").alias("n"))
+    return total.filter((F.col("kind") != 0) | (F.col("n") >= REPEATED))
+
+
+def features(text: str, start: int, end: int, path: str | None, covered: float, usual: float, follows: bool) -> list[float]:
     run, n = text[start:end], end - start
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in run]
-    low = run.lower()
-    covered, i = 0, 0
-    while i < n:  # greedy, the longest word first
-        size = next((k for k in range(min(12, n - i), 2, -1) if low[i : i + k] in known), 0)
-        covered, i = covered + size, i + max(size, 1)
-    two = [low[i : i + 2] for i in range(n - 1)]
-    letters = [p for p in two if p.isalpha()]
     before = text[max(0, start - 40) : start]
-    ahead = text[end : end + 24]
     last = before.split()[-2:] if before else []
     words = re.findall(r"[A-Za-z]+", before)[-2:]
-    following = re.findall(r"[A-Za-z]+", ahead)[:1]
     spread = [0.0] * HASHED
     for w in words[-1:]:
         spread[crc32(w.lower().encode()) % HASHED] = 1.0
     return [
         float(n), *(kinds.count(k) / n for k in "duls"), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(n - 1, 1),
-        len(set(run)) / n, float(all(c in "0123456789abcdef" for c in run)), sum(pairs.get(p, pairs[""]) for p in letters) / max(len(letters), 1),
-        covered / n, float(bool(_KEY.search(" ".join(words)))), float(before.rstrip(" \"'")[-1:] in ("=", ":")), float(before[-1:] in ("\"", "'")),
-        float(len(last)), float(bool(following) and following[0].lower() in known), float(crc32((path or "").encode()) % HASHED), *spread,
+        len(set(run)) / n, float(all(c in "0123456789abcdef" for c in run)), usual,
+        covered, float(bool(_KEY.search(" ".join(words)))), float(before.rstrip(" \"'")[-1:] in ("=", ":")), float(before[-1:] in ("\"", "'")),
+        float(len(last)), float(follows), float(crc32((path or "").encode()) % HASHED), *spread,
     ]
 
 
-def candidates(docs: DataFrame, lexicon: tuple[frozenset[str], dict[str, float]], path: str = "source") -> DataFrame:
+def candidates(docs: DataFrame, lexicon: Lexicon, path: str = "source") -> DataFrame:
     """(doc_id, start, length, found, features) of every candidate; start and length in code points."""
-    held = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pairs = held.value
         for batch in sliced(batches):
-            rows = []
+            spots = []
             for doc_id, text, place in zip(*(column_of(batch, c).to_pylist() for c in ("doc_id", "text", "path")), strict=True):
                 for m in _RUN.finditer(text or ""):
                     if _DIGIT.search(m[0]):
-                        rows.append((doc_id, m.start(), m.end() - m.start(), m[0], features(text, m.start(), m.end(), place, known, pairs)))
+                        spots.append((doc_id, text, place, m.start(), m.end()))
+            measured = zip(*lexicon.measure([text[a:b] for _, text, _, a, b in spots]), strict=True) if spots else ()
+            after = [m[0] if (m := _WORD.search(text[b : b + 24])) else "" for _, text, _, _, b in spots]
+            follows = lexicon.measure(after)[0] if spots else ()
+            rows = [
+                (doc_id, a, b - a, text[a:b], features(text, a, b, place, covered, usual, share == 1))
+                for (doc_id, text, place, a, b), (covered, usual), share in zip(spots, measured, follows, strict=True)
+            ]
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "length", "found", "features"])
@@ -115,7 +193,7 @@ def scan(docs: DataFrame, label, path: str = "source") -> DataFrame:
     candidates; repeated rows give theirs each; columns other than doc_id, text and the path aren't read. Without findings of both labels
     nothing can be removed, and every candidate scores 1.
     """
-    found = written(candidates(docs, prose(docs), path), "candidates")
+    found = written(candidates(docs, Lexicon(docs, path), path), "candidates")
     forest = train(found, label)
     if forest is None:
         return found.select("doc_id", "start", "length", "found", F.lit(1.0).alias("score"), F.lit(True).alias("is_secret"))

@@ -188,3 +188,12 @@ def test_secrets_odd(spark, odd, empty):
     text = secrets.redact(df, found).filter("doc_id = 20").first().text
     assert text == "key = '[SECRET]' and [SECRET] é"
     assert secrets.scan(empty, F.lit(None).cast("int")).count() == 0
+
+
+def test_words_of_all_documents_are_known(spark):
+    rare = "zyxwvutsrqponmlk"
+    rows = [(i, f"plain words of text number {i}", "big") for i in range(2000)] + [(5000 + i, f"{rare} wordsofsmallsource", "small") for i in range(5)]
+    lexicon = secrets.Lexicon(spark.createDataFrame(rows, "doc_id long, text string, source string"), "source")
+    covered, usual = lexicon.measure([rare, "wordsofsmallsource", "qjqjqjqjqjqj", f"12{rare.upper()}-plain"])
+    assert covered[:2] == [1, 1] and covered[2] == 0 and covered[3] > 0.8
+    assert usual[0] > usual[2]

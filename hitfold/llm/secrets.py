@@ -1,7 +1,8 @@
 """Secret scans: candidates from every whole text, and a random forest that removes the false positives.
 
-A candidate is a run of at least ``LEAST`` of ``[A-Za-z0-9+/_-]`` that holds a digit. Its features are its length, the mix of and transitions between
-character classes, how many distinct characters it has, how usual its letter pairs are, how much of it words of the dictionary cover, its path (hashed source) and
+Candidates are runs of at least ``LEAST`` of ``[A-Za-z0-9+/_-]`` with a letter or digit, also with dots inside or padding (whole and in parts), values of any length and
+signs that follow key words (after = or :, or in quotes), passwords in URLs, and PEM blocks; they may overlap. Features are the length, the mix of and transitions between
+character classes, how many distinct characters there are, how usual the letter pairs are, how much of it words of the dictionary cover, the path (hashed source) and
 the words and signs around it. The forest is Spark's own, trained on labelled findings (doc_id, start, label).
 
 The dictionary and the letter pairs describe ordinary prose and are counted over all documents. A word is in the dictionary if, among the documents of
@@ -28,7 +29,13 @@ LEAST, LONGEST, HASHED = 12, 24, 16
 REPEATED, USUAL = 5, 1e-4
 TREES, DEPTH = 40, 8
 _RUN = re.compile(r"[A-Za-z0-9+/_\-]{%d,}" % LEAST)
-_DIGIT = re.compile(r"[0-9]")
+_WIDE = re.compile(r"[A-Za-z0-9+/_\-.]{%d,}+={0,2}" % LEAST)
+_NAMED = re.compile(r"(?i)(pass|pwd|token|secret|key|auth|cred|bearer)[\w.\-]*+[\"'\])]*+[ \t]*+(=>|:=|==|[=:])?+[ \t]*+")
+_VALUE = re.compile(r"""\"((?:[^\"\\\n]++|\\.)++)|'((?:[^'\\\n]++|\\.)++)|([^\s\"']\S*+)""")
+_PART = re.compile(r"[^\s;&,\"'<>]*+")
+_URL = re.compile(r"://[^\s/:@]*+:([^\s/]+)@")
+_BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]++)-----")
+_SCHEMES = ("basic", "bearer", "digest", "token")
 _WORD = re.compile(r"[A-Za-z]+")
 _KEY = re.compile(r"(?i)pass|pwd|token|secret|key|auth|cred|bearer")
 
@@ -153,29 +160,72 @@ def features(text: str, start: int, end: int, path: str | None, covered: float,
     ]
 
 
+def spots(text: str) -> list[tuple[int, int, str]]:
+    """Where candidates are, by place: (start, end, form); the form is private or public (PEM blocks and the runs in them), assigned, wide or run."""
+    out: dict[tuple[int, int], str] = {}
+    blocks = list(_BLOCK.finditer(text))
+    last = 0
+    for m, after in zip(blocks, [*(x.start() for x in blocks[1:]), len(text)], strict=False):
+        if last != -1 and last < m.end():
+            last = text.find("-----END ", m.end())
+        closed = text.find("-----", last + 9, after) if last != -1 and last < after else -1
+        end = closed + 5 if closed != -1 else after
+        form = "private" if "PRIVATE" in m[1] else "public"
+        out[m.start(), end] = form
+        for r in _RUN.finditer(text, m.end(), end):
+            if not r[0].startswith("-----"):
+                out.setdefault((r.start(), r.end()), form)
+    for m in _URL.finditer(text):
+        out.setdefault(m.span(1), "assigned")
+    whole = part = 0  # ends of the last value without quotes and of its last part: what is inside isn't taken again
+    for m in _NAMED.finditer(text):
+        at = m.end()
+        v = _VALUE.match(text, at) if at >= whole or text[at : at + 1] in ("\"", "'") else None
+        if v and v[3] and v[3].lower() in _SCHEMES and m[2]:
+            v = _VALUE.match(text, v.end() + 1) or v
+            at = v.start()
+        if v and not v[3]:
+            out.setdefault(v.span(v.lastindex), "assigned")
+        elif at >= part and (m[2] or m[1].lower() == "bearer"):
+            if v:
+                whole = v.end()
+                out.setdefault((at, whole), "assigned")
+            part = _PART.match(text, at).end()  # without quotes the value may end before a sign
+            short = at + len(text[at:part].rstrip(".)]}"))
+            if short > at:
+                out.setdefault((at, short), "assigned")
+    for m in _WIDE.finditer(text):
+        a = m.end() - len(m[0].lstrip("."))
+        b = m.start() + len(m[0].rstrip("."))
+        if b - a >= LEAST and any(map(str.isalnum, m[0])):
+            out.setdefault((a, b), "run" if _RUN.fullmatch(text, a, b) else "wide")
+        for r in _RUN.finditer(text, m.start(), m.end()):
+            if any(map(str.isalnum, r[0])):
+                out.setdefault(r.span(), "run")
+    return sorted((a, b, form) for (a, b), form in out.items())
+
+
 def candidates(docs: DataFrame, lexicon: Lexicon, path: str = "source") -> DataFrame:
-    """(doc_id, start, length, found, features) of every candidate; start and length in code points."""
+    """(doc_id, start, length, found, form, features) of every candidate; start and length in code points."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            spots = []
+            found = []
             for doc_id, text, place in zip(*(column_of(batch, c).to_pylist() for c in ("doc_id", "text", "path")), strict=True):
-                for m in _RUN.finditer(text or ""):
-                    if _DIGIT.search(m[0]):
-                        spots.append((doc_id, text, place, m.start(), m.end()))
-            measured = zip(*lexicon.measure([text[a:b] for _, text, _, a, b in spots]), strict=True) if spots else ()
-            after = [m[0] if (m := _WORD.search(text[b : b + 24])) else "" for _, text, _, _, b in spots]
-            follows = lexicon.measure(after)[0] if spots else ()
+                found += [(doc_id, text, place, *spot) for spot in spots(text or "")]
+            measured = zip(*lexicon.measure([text[a:b] for _, text, _, a, b, _ in found]), strict=True) if found else ()
+            after = [m[0] if (m := _WORD.search(text[b : b + 24])) else "" for _, text, _, _, b, _ in found]
+            follows = lexicon.measure(after)[0] if found else ()
             rows = [
-                (doc_id, a, b - a, text[a:b], features(text, a, b, place, covered, usual, share == 1))
-                for (doc_id, text, place, a, b), (covered, usual), share in zip(spots, measured, follows, strict=True)
+                (doc_id, a, b - a, text[a:b], form, features(text, a, b, place, covered, usual, share == 1))
+                for (doc_id, text, place, a, b, form), (covered, usual), share in zip(found, measured, follows, strict=True)
             ]
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "length", "found", "features"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "length", "found", "form", "features"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(path).cast("string").alias("path"))
-    return own.mapInArrow(scan, "doc_id long, start long, length long, found string, features array<double>")
+    return own.mapInArrow(scan, "doc_id long, start long, length long, found string, form string, features array<double>")
 
 
 def train(found: DataFrame, label: Column) -> RandomForestClassificationModel | None:
@@ -189,7 +239,7 @@ def train(found: DataFrame, label: Column) -> RandomForestClassificationModel |
 def scan(docs: DataFrame, label, path: str = "source") -> DataFrame:
     """Findings of all texts: (doc_id, start, length, found, score, is_secret).
 
-    ``label`` makes a column (0, 1 or null) of the candidates' doc_id, start, length and found: the labelled findings. Null and empty texts have no
+    ``label`` makes a column (0, 1 or null) of the candidates' doc_id, start, length, found, form and features: the labelled findings. Null and empty texts have no
     candidates; repeated rows give theirs each; columns other than doc_id, text and the path aren't read. Without findings of both labels
     nothing can be removed, and every candidate scores 1.
     """
@@ -206,8 +256,9 @@ def redact(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]") -> Data
     """``docs`` with each found secret replaced by ``mark``; other columns are unchanged."""
     per_doc = findings.filter("is_secret").groupBy(F.col("doc_id").alias("__llm_id")).agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("__llm_cuts"))
     step = lambda done, cut: F.struct(
-        F.concat(done["out"], F.substr(F.col("text"), (done["at"] + 1).cast("int"), (cut["start"] - done["at"]).cast("int")), F.lit(mark)).alias("out"),
-        (cut["start"] + cut["length"]).alias("at"),
+        F.when(cut["start"] < done["at"], done["out"])  # findings that overlap get one mark
+        .otherwise(F.concat(done["out"], F.substr(F.col("text"), (done["at"] + 1).cast("int"), (cut["start"] - done["at"]).cast("int")), F.lit(mark))).alias("out"),
+        F.greatest(done["at"], cut["start"] + cut["length"]).alias("at"),
     )
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     folded = F.aggregate("__llm_cuts", start, step)

@@ -229,3 +229,40 @@ def test_overlapping_findings_get_one_mark(spark):
     df = spark.createDataFrame([(1, "0123456789", "a")], "doc_id long, text string, source string")
     found = spark.createDataFrame([(1, 2, 4, True), (1, 2, 2, True), (1, 5, 3, True), (1, 9, 1, True)], "doc_id long, start long, length long, is_secret boolean")
     assert secrets.redact(df, found, "*").first().text == "01*8*"
+
+
+def labels_of(spark, text):
+    rows = [(text[a:b], form, [0.0] * 9 + [float(text[a:b] == "administration")]) for a, b, form in secrets.spots(text)]
+    df = spark.createDataFrame(rows, "found string, form string, features array<double>")
+    return {r.found: r.y for r in df.select("found", secrets.known_label().alias("y")).collect()}
+
+
+def test_labels_follow_context_and_known_forms(spark):
+    hexes = ["ab12" * 10, "ab12" * 16, "ab12cd34" * 4]
+    got = labels_of(spark, f"see {hexes[0]} and {hexes[1]} and {hexes[2]} and {'q9Zx' * 8} of unknown form")
+    assert set(got) == {*hexes, "q9Zx" * 8} and set(got.values()) == {None}
+    got = labels_of(spark, f"password = 'correct!horse' ghp_{'aB3d' * 9} {JWT} {PEM} 4444333322221111 2024-01-02T1530 //www.example.org/path administration key: {hexes[1]} token = changeme")
+    assert got["correct!horse"] == got["ghp_" + "aB3d" * 9] == got[JWT] == got[PEM] == got["MIIEowIBAAKCAQEA7bq"] == 1
+    assert got["4444333322221111"] == got["2024-01-02T1530"] == got["//www.example.org/path"] == got["administration"] == 0
+    assert got[hexes[1]] is None and got["changeme"] is None
+
+
+def test_secrets_of_unnamed_forms_are_found(spark):
+    rng = np.random.default_rng(5)
+    made = lambda signs, n: "".join(rng.choice(list(signs), n))
+    hexes, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows, wanted = [], set()
+    for i in range(400):
+        kind = i % 4
+        word = ["administration", "international", "responsibility", "characteristic"][i // 4 % 4]
+        learned = [f"token = '{made(hexes, 40)}'", f"password: {made(mixed, 20)}", f"ghp_{made(mixed, 36)}", f"card {made('0123456789', 16)}"][kind]
+        rows.append((i, f"the {word} of this text says {learned} and then goes on with more", "a"))
+    for i in range(400, 430):
+        secret = made(hexes, 64) if i % 3 == 0 else made(mixed, 32) if i % 3 == 1 else f"AIza{made(mixed, 28)}"
+        wanted.add(secret)
+        rows.append((i, f"the administration of this text rotated {secret} and then {made('0123456789', 16)} goes on", "a"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = secrets.scan(docs, F.when(F.col("doc_id") < 400, secrets.known_label())).filter("doc_id >= 400").toPandas()
+    verdict = found[found.found.isin(wanted)].is_secret
+    assert len(verdict) == 30 and verdict.mean() > 0.9
+    assert found[~found.found.isin(wanted)].is_secret.mean() < 0.1

@@ -1,10 +1,10 @@
 """Document fingerprints: digests of improbable features in chained Bloom filters, compared by normalised bit overlap.
 
-1. Windows of ``WINDOW`` bytes start where a hash of four bytes says so (about one place in ``EVERY``), so they follow the content.
+1. Windows of ``WINDOW`` bytes start at every byte; a shorter text is one window.
    A window's rarity is how seldom its entropy (of its bytes' low five bits) is among all windows of all documents: one
    pass over the corpus makes this table of ``LEVELS`` numbers.
-2. Among each ``SPREAD`` windows in a row the rarest gets a point, the first by a hash of its bytes among equals; windows with ``POINTS`` are the
-   features. Texts of fewer than ``FEW`` windows have all of them.
+2. Among each ``SPREAD`` windows in a row the rarest gets a point, the first by a hash of its bytes among equals; windows that get ``POINTS``, equal ones
+   together, are the features. Texts of fewer than ``FEW`` windows have all of them.
 3. A feature sets ``BITS_SET`` bits of a filter of ``FILTER_BYTES``; after ``ROOM`` features the next filter of the chain begins.
 4. The likeness of two chains is the mean, over the shorter one's filters, of the best overlap with a filter of the other: shared
    bits beyond those expected by chance, against the most there could be.
@@ -24,45 +24,48 @@ from pyspark.sql import functions as F
 
 from hitfold.llm.common import column_of, documents, mix, partitions, sliced, span_hashes, text_bytes
 
-WINDOW, EVERY, LEVELS = 16, 4, 256
-SPREAD, POINTS, FEW = 16, 6, 64
+WINDOW, LEVELS = 16, 256
+SPREAD, POINTS, FEW = 64, 24, 256  # SPREAD is a power of two
 FILTER_BYTES, BITS_SET, ROOM = 256, 5, 96
 _BITS = FILTER_BYTES * 8
-_LOG = np.concatenate([[0.0], np.arange(1, WINDOW + 1) * np.log2(np.arange(1, WINDOW + 1))]).astype(np.float32)
-_LANE = np.zeros((4, 256), np.uint64)
-for _byte in range(256):
-    _LANE[(_byte & 31) // 8, _byte] = 1 << 8 * (_byte & 7)
+#: c log2 c in fixed point, so that sums are exact, and what the next equal byte adds to it.
+_FIXED = 1 << 20
+_LOG = np.round(np.concatenate([[0.0], np.arange(1, WINDOW + 1) * np.log2(np.arange(1, WINDOW + 1))]) * _FIXED).astype(np.int64)
+_STEP = np.diff(_LOG)
 NO_ID = -(1 << 63)
 
 
 def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and rows of the windows of end-to-end texts; a text with none has itself, up to one window, as its only one."""
-    n = len(data)
-    picked = np.empty(0, np.int64)
-    if n > WINDOW:
-        grams = data[:-3].astype(np.uint32) | data[1:-2].astype(np.uint32) << 8 | data[2:-1].astype(np.uint32) << 16 | data[3:].astype(np.uint32) << 24
-        grams = grams * np.uint32(0x9E3779B1)
-        picked = np.flatnonzero((grams >> np.uint32(20)) % np.uint32(EVERY) == 0)
-    row = np.searchsorted(offsets, picked, "right") - 1
-    inside = picked + WINDOW <= offsets[row + 1]
-    picked, row = picked[inside], row[inside]
+    """Starts, ends and rows of the windows of end-to-end texts; a text shorter than a window is its own only one."""
     sizes = np.diff(offsets)
-    bare = np.flatnonzero((np.bincount(row, minlength=len(sizes)) == 0) & (sizes > 0))
-    if len(bare):
-        order = np.argsort(np.concatenate([picked, offsets[bare]]), kind="stable")
-        picked, row = np.concatenate([picked, offsets[bare]])[order], np.concatenate([row, bare])[order]
-    return picked, np.minimum(picked + WINDOW, offsets[row + 1]), row
+    many = np.where(sizes > 0, np.maximum(sizes - WINDOW + 1, 1), 0)
+    row = np.repeat(np.arange(len(sizes)), many)
+    starts = np.arange(len(row)) + np.repeat(offsets[:-1] - np.cumsum(many) + many, many)
+    return starts, np.minimum(starts + WINDOW, offsets[row + 1]), row
 
 
 def levels(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Entropy of each window, as one of ``LEVELS`` steps."""
-    out = np.zeros(len(starts), np.float32)
-    for group in range(4):  # eight symbols in the eight bytes of one running sum; a window's difference has no carries
-        upto = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_LANE[group][data], out=upto[1:])
-        out += _LOG[(upto[ends] - upto[starts]).view(np.uint8)].reshape(-1, 8).sum(axis=1)
-    sizes = np.maximum(ends - starts, 1)
-    return np.clip((np.log2(sizes) - out / sizes) / 5 * (LEVELS - 1), 0, LEVELS - 1).astype(np.int64)
+    symbol = data & np.uint8(31)
+    out = np.zeros(len(starts), np.int64)
+    n = len(data) - WINDOW + 1
+    if n > 0:  # a window's sum is the one before it, with one byte in and one out
+        before, behind = np.zeros(len(data), np.uint8), np.zeros(len(data), np.uint8)
+        for k in range(1, WINDOW):
+            same = (symbol[k:] == symbol[:-k]).view(np.uint8)
+            before[k:] += same
+            behind[:-k] += same
+        change = _STEP[before[WINDOW:]] - _STEP[behind[: n - 1]]
+        first = int(_LOG[np.bincount(symbol[:WINDOW])].sum())
+        sums = np.concatenate([[first], first + np.cumsum(change)])
+    sizes = ends - starts
+    full = sizes == WINDOW
+    if n > 0:
+        out[full] = sums[starts[full]]
+    for i in np.flatnonzero(~full).tolist():
+        out[i] = _LOG[np.bincount(symbol[starts[i] : ends[i]])].sum()
+    sizes = np.maximum(sizes, 1)
+    return np.clip((np.log2(sizes) - out / (sizes * _FIXED)) / 5 * (LEVELS - 1), 0, LEVELS - 1).astype(np.int64)
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -98,17 +101,24 @@ def digests(texts: list[bytes], table: np.ndarray) -> list[np.ndarray]:
     sizes = np.diff(edges)
     points = np.zeros(len(starts), np.int64)
     if len(starts) >= SPREAD:
-        best = order[: len(order) - SPREAD + 1].copy()
-        at = np.arange(len(best))
-        for k in range(1, SPREAD):
-            other = order[k : k + len(best)]
-            less = other < best
-            best[less] = other[less]
-            at[less] = np.flatnonzero(less) + k
+        best, at, step = order.copy(), np.arange(len(order)), 1
+        while step < SPREAD:  # the least of twice as many in a row each time, the first among equals
+            less = best[step:] < best[:-step]
+            at = np.where(less, at[step:], at[:-step])
+            best = np.minimum(best[:-step], best[step:])
+            step *= 2
         whole = row[: len(best)] == row[SPREAD - 1 :]
         points += np.bincount(at[whole], minlength=len(points))
+    # equal windows of a text share their points, so that one that repeats is a feature
+    some = np.flatnonzero(points)
+    by_hash = some[np.lexsort((hashes[some], row[some]))]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(row[by_hash]) != 0) | (np.diff(hashes[by_hash]) != 0)])) if len(some) else some
+    if len(some):
+        points[by_hash] = np.repeat(np.add.reduceat(points[by_hash], first), np.diff(np.append(first, len(by_hash))))
     chosen = points >= POINTS
     chosen |= (sizes < FEW)[row]
+    none = np.bincount(row[chosen], minlength=len(texts)) == 0
+    chosen |= none[row] & (points > 0)
     places = np.flatnonzero(chosen)
     out = []
     cuts = np.searchsorted(places, edges)

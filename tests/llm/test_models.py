@@ -164,6 +164,31 @@ def test_fingerprints_odd(spark, odd, empty):
     assert sorted(r.fingerprint for r in marked.collect()) == sorted(got.fingerprint)
 
 
+def test_fingerprints_stand_for_whole_texts():
+    table = np.bincount(np.arange(digests.LEVELS) // 2, minlength=digests.LEVELS)
+    rng = np.random.default_rng(3)
+    other = bytes(rng.integers(97, 123, 1000, np.uint8))
+    chains = lambda *texts: digests.digests(list(texts), table)
+    for sign in range(33, 127):
+        run = bytes([sign]) * 3000
+        whole, edited, alone = chains(run, run[:2000] + other, other)
+        assert len(whole) and digests.likeness(whole, edited) > 0.6 and digests.likeness(whole, alone) < 0.3
+    head = b"the same sixteen"
+    for n in (1, 5, 20, 60, 300):  # unequal texts of equal first bytes
+        x, y = chains(head + bytes(rng.integers(97, 123, n, np.uint8)), head + bytes(rng.integers(97, 123, n, np.uint8)))
+        assert digests.likeness(x, y) < 1
+    assert digests.likeness(*chains(b"ab" * 2000, b"abc" * 2000)) < 0.5
+    starts, ends, row = digests.windows(np.zeros(40, np.uint8), np.array([0, 0, 5, 40]))
+    assert ends.max() == 40 and row.tolist() == [1] + [2] * 20 and (ends - starts).tolist() == [5] + [16] * 20
+
+
+def test_entropy_of_every_window():
+    data = np.random.default_rng(1).choice(np.frombuffer(b"aabcdefgh ", np.uint8), 500)
+    starts, ends, _ = digests.windows(data, np.array([0, 7, 500]))
+    entropy = [-sum(n / (b - a) * math.log2(n / (b - a)) for n in Counter((data[a:b] & 31).tolist()).values()) for a, b in zip(starts, ends, strict=True)]
+    assert np.abs(digests.levels(data, starts, ends) - np.array(entropy) / 5 * 255).max() <= 1.001
+
+
 def test_entropy_levels():
     data = np.frombuffer(b"aaaaaaaaaaaaaaaa" + bytes(range(97, 113)), np.uint8)
     got = digests.levels(data, np.array([0, 16]), np.array([16, 32]))

@@ -1,6 +1,7 @@
 """Language ID: a linear-chain conditional random field labels every word, also where a text switches language.
 
-A word is a run of letters (ASCII letters and bytes from 0x80 on). Its features are hashed prefixes and suffixes of one to four
+A word is a run of letters (ASCII letters and bytes from 0x80 on); runs above ``LONGEST_WORD`` bytes, as in scripts without spaces, are cut into pieces of
+whole characters, alike in training and prediction. Its features are hashed prefixes and suffixes of one to four
 bytes, all bigrams and trigrams with word edges, and its entry in a lexicon of words that the sample repeats. Weights and the
 transitions between labels are learned together by maximum likelihood (forward-backward, Adam) on a bounded sample: spans of at
 most ``SPAN`` words of ``SAMPLE`` documents a language, spliced so that labels change inside a sequence.
@@ -34,7 +35,8 @@ _SEED = seeded(31, 16)
 
 
 def letter_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of end-to-end texts; a text's end ends a word."""
+    """Starts and ends of the words of end-to-end texts; a text's end ends a word. Longer runs are cut every ``LONGEST_WORD`` bytes or up to three before, where
+    a character begins."""
     letter = _LETTER[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -42,6 +44,13 @@ def letter_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after = np.concatenate([letter[1:], [False]])
     starts = np.flatnonzero(letter & (~before | edge[:-1]))
     ends = np.flatnonzero(letter & (~after | edge[1:])) + 1
+    pieces = np.maximum(-(-(ends - starts) // LONGEST_WORD), 1)
+    if (pieces > 1).any():
+        step = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        cuts = (np.repeat(starts, pieces) + step * LONGEST_WORD)[step > 0]
+        for _ in range(3):  # back to the first byte of a character
+            cuts = cuts - ((data[cuts] & 0xC0) == 0x80)
+        starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
     return starts, ends
 
 
@@ -187,8 +196,6 @@ def sample(docs: DataFrame, label: str = "lang", size: int = SAMPLE, span: int =
             data, offsets = text_bytes(column_of(batch, "text"))
             data = _LOWER[data]
             starts, ends = letter_runs(data, offsets)
-            short = ends - starts <= LONGEST_WORD
-            starts, ends = starts[short], ends[short]
             cuts = np.searchsorted(starts, offsets)
             rows = []
             for doc_id, a, b in zip(column_of(batch, "doc_id").to_pylist(), cuts.tolist(), cuts[1:].tolist(), strict=False):

@@ -132,6 +132,28 @@ def test_language_odd(spark, odd, empty, model):
     assert kept.columns == odd.columns and not {4, 5, 6, 12} & {r.doc_id for r in kept.select("doc_id").collect()}
 
 
+def test_scripts_without_spaces(spark):
+    rng = np.random.default_rng(2)
+    texts = {
+        "zh": lambda: "".join(map(chr, rng.integers(0x4E00, 0x4E60, 120))) + "。", "th": lambda: "".join(map(chr, rng.integers(0x0E01, 0x0E2F, 120))),
+        "en": lambda: " ".join("".join(map(chr, rng.integers(97, 123, 5))) for _ in range(30)),
+    }
+    rows = [(i, texts[lang](), lang) for i, lang in enumerate(["zh", "th", "en"] * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = language.fit(language.sample(df.filter("doc_id < 90")))
+    assert learned.languages == ["en", "th", "zh"]
+    got = language.predict(df.filter("doc_id >= 90"), learned).toPandas()
+    assert (got.lang == got.lang_pred).all()
+
+
+def test_long_runs_are_cut_between_characters():
+    text = "é中x" * 100 + "😀" * 50
+    data = np.frombuffer(("ab " + text).encode(), np.uint8)
+    starts, ends = language.letter_runs(data, np.array([0, len(data)]))
+    words = [data[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)]
+    assert words[0] == "ab" and "".join(words[1:]) == text and (ends - starts).max() <= language.LONGEST_WORD + 3
+
+
 # --- fingerprints ---
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from hitfold.llm import lines
+from hitfold.llm import lines, merkle
 from hitfold.llm.digests import op5_document_fingerprints
 from hitfold.llm.idfile import op4_token_ids
 from hitfold.llm.katz import op9_lm_scoring
 from hitfold.llm.language import op6_language_id
 from hitfold.llm.lines import op3_line_dedup
 from hitfold.llm.media import op7_media_chunks
+from hitfold.llm.merkle import op13_merkle_manifest
 from hitfold.llm.minhash import op2_near_duplicates
 from hitfold.llm.mixing import op10_mix_sources
 from hitfold.llm.packing import op1_best_fit_packing
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_mix_sources": op10_mix_sources,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLE: dict[str, str] = {**lines.ORACLE}
+ORACLE: dict[str, str] = {**lines.ORACLE, **merkle.ORACLE}

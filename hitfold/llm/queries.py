@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from hitfold.llm import lines, merkle
+from hitfold.llm import lines, merkle, warc
+from hitfold.llm.align import op12_token_alignment
 from hitfold.llm.digests import op5_document_fingerprints
 from hitfold.llm.idfile import op4_token_ids
 from hitfold.llm.katz import op9_lm_scoring
@@ -14,6 +15,7 @@ from hitfold.llm.minhash import op2_near_duplicates
 from hitfold.llm.mixing import op10_mix_sources
 from hitfold.llm.packing import op1_best_fit_packing
 from hitfold.llm.secrets import op8_secret_scan
+from hitfold.llm.warc import op11_warc_segments
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -26,7 +28,9 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_mix_sources": op10_mix_sources,
+    "op11_warc_segments": op11_warc_segments,
+    "op12_token_alignment": op12_token_alignment,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLE: dict[str, str] = {**lines.ORACLE, **merkle.ORACLE}
+ORACLE: dict[str, str] = {**lines.ORACLE, **merkle.ORACLE, **warc.ORACLE}

@@ -10,11 +10,16 @@ import io
 import tarfile
 from collections.abc import Iterator, Sequence
 from datetime import datetime, timezone
+from itertools import groupby
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hitfold.sources.streams import chunks, ordered_lines
+
 # File endings read as tar archives.
 ARCHIVES = (".tar", ".tar.gz", ".tgz")
 ARCHIVE_GLOB = "*.{tar,tar.gz,tgz}"
@@ -59,16 +64,43 @@ def list_files(
 
 
 def archive_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Lines of every file in each archive: of a local path, streamed; of given ``content``, from memory."""
+    """Lines of every file in each archive, streamed from a path that the worker can open."""
     for batch in batches:
-        held = batch["content"] if "content" in batch else [None] * len(batch)
-        for path, content in zip(batch["path"], held, strict=True):
-            raw = open("/" + path.removeprefix("file:").lstrip("/"), "rb") if content is None else io.BytesIO(content)
-            with raw, tarfile.open(fileobj=raw, mode="r|*") as archive:
-                for member in archive:
-                    lines = archive.extractfile(member) if member.isfile() else None
-                    if lines is not None:
-                        yield from _line_batches(path, lines)
+        for name, path in zip(batch["file_path"], batch["path"], strict=True):
+            with open("/" + path.removeprefix("file:").lstrip("/"), "rb") as raw:
+                yield from _members(name, raw)
+
+
+def _members(name: str, raw) -> Iterator[pd.DataFrame]:
+    with tarfile.open(fileobj=raw, mode="r|*") as archive:
+        for member in archive:
+            lines = archive.extractfile(member) if member.isfile() else None
+            if lines is not None:
+                yield from _line_batches(name, lines)
+
+
+class _Pieces(io.RawIOBase):
+    """A file that is read forward from pieces as they come."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held = pieces, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, target) -> int:
+        if not self.held:
+            self.held = next(self.pieces, b"")
+        n = min(len(target), len(self.held))
+        target[:n], self.held = self.held[:n], self.held[n:]
+        return n
+
+
+def streamed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of every file in archives whose bytes come from Spark's readers, see ``streams``."""
+    for name, pieces in groupby(chunks(batches), key=lambda piece: piece[0]):
+        for lines in _members(name, io.BufferedReader(_Pieces(data for _, data in pieces))):
+            yield pa.RecordBatch.from_pandas(lines, preserve_index=False)
 
 
 def _line_batches(path: str, content) -> Iterator[pd.DataFrame]:
@@ -86,18 +118,18 @@ LOCAL = "^(file:)?/"
 
 
 def read_archives(files: DataFrame, local: str = LOCAL) -> DataFrame:
-    """Lines of the tar archives named in ``path``, one archive per task.
+    """Lines of the tar archives named in ``path`` (as ``file_path``, where there is one), one archive per task.
 
-    Paths that match ``local`` must be the same on every worker and are streamed. Archives of other file systems
-    come through Spark's binary reader, which opens whatever Spark can; a task then holds one archive, below 2 GiB.
+    Paths that match ``local`` must be the same on every worker, which opens them. Archives of other file systems are opened by Spark's
+    text reader and come to their task as a stream, so that their size does not matter either.
     """
-    paths = files.where(is_archive(F.col("path"))).select("path")
+    name = F.col("file_path" if "file_path" in files.columns else "path").alias("file_path")
+    paths = files.where(is_archive(F.col("path"))).select("path", name)
     lines = paths.where(F.col("path").rlike(local)).repartition("path").mapInPandas(archive_lines, LINE_SCHEMA)
     far = [row.path for row in paths.where(~F.col("path").rlike(local)).toLocalIterator()]  # names only
     if not far:
         return lines
-    held = files.sparkSession.read.format("binaryFile").load(far).select("path", "content")
-    return lines.unionByName(held.mapInPandas(archive_lines, LINE_SCHEMA))
+    return lines.unionByName(ordered_lines(files.sparkSession, far).mapInArrow(streamed_lines, LINE_SCHEMA))
 
 
 def read_history(
@@ -109,16 +141,22 @@ def read_history(
     not matter, as every rollup merges in any order.
     """
     folder, _, name = log_path.rpartition("/")
-    files = list_files(spark, folder, f"{name}*")
-    current = F.col("path").endswith("/" + name)
+    path = F.col("_metadata.file_path")
+    wanted = ~is_archive(path)
+    current = F.col("_metadata.file_name") == quote(name)
     if since:
-        recent = F.unix_seconds("modificationTime") >= int(since)
-        files = files.where(current | recent)
-    plain = files.where(~is_archive(F.col("path"))).select("path")
-    lines = read_lines(spark, [row.path for row in plain.toLocalIterator()])
+        wanted = wanted & (current | (F.col("_metadata.file_modification_time") >= F.timestamp_seconds(F.lit(int(since)))))
+    lines = _with_path(_glob(spark, folder, f"{name}*").where(wanted))
+    files = list_files(spark, folder, f"{name}*", since)
     return lines.unionByName(read_archives(files))
 
 
+def _glob(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """Text of the files of a folder. A filter on ``_metadata`` leaves files out before they are opened."""
+    reader = spark.read.option("lineSep", "\n").option("pathGlobFilter", pattern).option("ignoreMissingFiles", "true")
+    return reader.text(folder)
+
+
 # A rotated file's name goes on after the log's: ``x.log.1``, ``x.log-20260901.gz``.
 CLOSED = r"\.log[.-][^/]+$"
 
@@ -127,11 +165,20 @@ def read_closed(
     spark: SparkSession, folder: str, pattern: str = "*.log[.-]*", since: float | None = None
 ) -> DataFrame:
     """Lines of the rotated files of a folder, plain, gzip or in archives; files still written to are left out."""
-    files = list_files(spark, folder, pattern, since)
-    names = files.where(~is_archive(F.col("path")) & F.col("path").rlike(CLOSED)).select("path")
-    found = [row.path for row in names.toLocalIterator()]  # names only
-    lines = read_archives(files)
-    return read_lines(spark, found).unionByName(lines) if found else lines
+    path = F.col("_metadata.file_path")
+    wanted = ~is_archive(path) & path.rlike(CLOSED)
+    if since:
+        wanted = wanted & (F.col("_metadata.file_modification_time") >= F.timestamp_seconds(F.lit(int(since))))
+    lines = _with_path(_glob(spark, folder, pattern).where(wanted))
+    return lines.unionByName(read_archives(list_files(spark, folder, pattern, since)))
+
+
+def read_named(spark: SparkSession, folder: str, pattern: str, names: list[str]) -> DataFrame:
+    """Lines of some files of a folder, by their locations as Spark writes them; files that are gone meanwhile are left out."""
+    path = F.col("_metadata.file_path")
+    lines = _with_path(_glob(spark, folder, pattern).where(~is_archive(path) & path.isin(names)))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return lines.unionByName(read_archives(files.where(path.isin(names)).select(path.alias("file_path"), "path")))
 
 
 def contents(lines: DataFrame) -> DataFrame:

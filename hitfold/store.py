@@ -1,8 +1,9 @@
-"""Rollup tables as Parquet partials: append batches, read merged, compact, expire.
+"""Rollup tables as Parquet partials: append batches, read merged, fold, expire.
 
-Every batch writes its own folder and then one commit row; readers take the
-committed batches only. A batch that is written again replaces its folder, so a replay after a failure
-counts once. Measures merge in any order, so no row is ever updated in place.
+Every batch writes its own folders and then one commit (``hitfold.commits``); readers take the
+folders of committed batches only, by their names. A batch that is written again replaces its folder, so a replay after a failure
+counts once. Measures merge in any order, so no row is ever updated in place; where sites are merged or dropped, the files that hold
+them are hidden and their rows written anew, all other files stay.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hitfold.commits import CommitLog, State
 from hitfold.functions import clock
 from hitfold.operators import enrich as E
 from hitfold.operators import parse as P
@@ -34,6 +36,8 @@ from hitfold.sources import registry
 DETAIL = "request_detail"
 STATS = "ingest_stats"
 FILES = "ingested_files"
+SEEN = "seen_files"
+PENDING = "pending_files"
 COMMITS = "commits"
 # Columns in storage order; ``batch`` and ``day`` are folders.
 SCHEMAS = {
@@ -51,8 +55,11 @@ SCHEMAS = {
     STATS: "site_id BIGINT, file_path STRING, lines BIGINT, events BIGINT, rejected BIGINT, "
     "batch STRING, day DATE",
     FILES: "site_id BIGINT, lines BIGINT, digest STRING, file_path STRING, batch STRING, day DATE",
+    # files as they lay in a folder when they were last read; site 0 stands for none
+    SEEN: "site_id BIGINT, file_path STRING, length BIGINT, modified BIGINT, batch STRING, day DATE",
+    # files of no site (0), under the name of their log
+    PENDING: "site_id BIGINT, log STRING, lines BIGINT, digest STRING, batch STRING, day DATE",
 }
-COMMIT_SCHEMA = "batch STRING, replaces ARRAY<STRING>"
 _CLUSTERING = {
     METRIC_MINUTE.name: ("site_id", "minute_ts"),
     SPIDER_MINUTE.name: ("site_id", "minute_ts"),
@@ -61,7 +68,11 @@ _CLUSTERING = {
     DETAIL: ("site_id", "timestamp"),
     STATS: ("site_id",),
     FILES: ("digest",),
+    SEEN: ("file_path",),
+    PENDING: ("log",),
 }
+#: Folders a rewrite spreads the sites of a day over, so that a later merge of sites touches few files.
+SITE_BUCKETS = 16
 LOCK = "_rewriting"
 
 
@@ -97,61 +108,80 @@ class Store:
     def path(self, table: str) -> str:
         return f"{self.root.rstrip('/')}/{table}"
 
+    def __post_init__(self):
+        self._tables: dict[str, list[str]] = {}
+
+    @property
+    def log(self) -> CommitLog:
+        return CommitLog(self.spark, self.path(COMMITS))
+
     def create(self) -> "Store":
         """Make empty tables where there are none."""
-        for table in (*SCHEMAS, COMMITS):
+        for table in SCHEMAS:
             target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(target)
+        self.log.create()
         return self
 
     # -- batches -------------------------------------------------------------------
 
-    def commits(self) -> DataFrame:
-        return self.spark.read.schema(COMMIT_SCHEMA + ", id STRING").parquet(self.path(COMMITS))
-
     def active_batches(self) -> list[str]:
-        """Committed batches that no compaction has replaced: one short row per batch."""
-        rows = self.commits().select("batch", "replaces").collect()
-        replaced = {name for row in rows for name in row.replaces}
-        return sorted({row.batch for row in rows} - replaced)
+        """Committed batches that no rewrite has replaced."""
+        return sorted(self.log.state().active)
 
     def _write(self, table: str, batch: str, rows: DataFrame) -> None:
         columns = [part.split()[0] for part in SCHEMAS[table].split(", ")]
         columns.remove("batch")
+        dealt = rows.select(*columns)
+        if batch.startswith("base-"):
+            dealt = dealt.withColumn("_bucket", F.pmod("site_id", F.lit(SITE_BUCKETS))).hint("rebalance", "day", "_bucket").drop("_bucket")
+        else:
+            dealt = dealt.hint("rebalance", "day")
         (
-            rows.select(*columns)
-            .hint("rebalance", "day")
-            .sortWithinPartitions("day", *_CLUSTERING[table])
+            dealt.sortWithinPartitions("day", *_CLUSTERING[table])
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "static")
             .partitionBy("day")
             .parquet(f"{self.path(table)}/batch={batch}")
         )
 
-    def _commit(self, batch: str, replaces: list[str] | None = None) -> None:
-        row = self.spark.createDataFrame([(batch, replaces or [])], COMMIT_SCHEMA)
-        row.coalesce(1).write.mode("overwrite").option(
-            "partitionOverwriteMode", "static"
-        ).parquet(f"{self.path(COMMITS)}/id={batch}")
+    def _commit(
+        self, batch: str, replaces: list[str] | None = None, hidden: dict | None = None, stream: bool = False
+    ) -> None:
+        """Show a batch in place of others, or of the ``hidden`` files (by batch and table) of others."""
+
+        def check(state: State) -> None:
+            if {*(replaces or ()), *(hidden or ())} - set(state.active):
+                raise RuntimeError("another rewrite has replaced some of these batches")
+
+        change = {"add": {batch: self._tables.pop(batch, sorted(SCHEMAS))}, "remove": replaces or [], "hide": hidden or {}}
+        if stream:
+            source, _, number = batch.rpartition("-")
+            if number.isdecimal():
+                change["streams"] = {source: int(number)}
+        self.log.commit(change, check)
 
     def append(self, batch: str, tables: dict[str, DataFrame], replay: bool = False) -> bool:
-        """Write one batch; it becomes visible, whole, with its commit row.
+        """Write one batch; it becomes visible, whole, with its commit.
 
         A batch that is visible is never written again; False is returned. A name that a
-        compaction has folded is refused, unless ``replay`` says that the caller repeats its batches by name.
+        compaction has folded is refused, unless ``replay`` says that the caller repeats its batches by name, as streams do:
+        names that end in numbers that only grow.
         """
         if self._known(batch, replay):
             return False
         self._write_all(batch, tables)
-        self._commit(batch)
+        self._commit(batch, [], None, replay)
         return True
 
     def _known(self, batch: str, replay: bool) -> bool:
-        if self.commits().where(F.col("batch") == batch).isEmpty():
-            return False
-        if not replay and batch not in self.active_batches():
+        state = self.log.state()
+        if batch in state.active:
+            return True
+        folded = state.folded(batch) if replay else batch in state.named
+        if folded and not replay:
             raise ValueError(f"batch {batch!r} was stored before and has been compacted")
-        return True
+        return folded
 
     @contextmanager
     def _alone(self) -> Iterator[None]:
@@ -174,6 +204,7 @@ class Store:
 
     def _write_all(self, batch: str, tables: dict[str, DataFrame]) -> None:
         """The tables are independent jobs, so they share the cluster side by side."""
+        self._tables[batch] = sorted(tables)
         write = inheritable_thread_target(self.spark)(self._write)
         with ThreadPoolExecutor(len(tables)) as pool:
             jobs = [pool.submit(write, table, batch, rows) for table, rows in tables.items()]
@@ -194,47 +225,64 @@ class Store:
         """
         if self._known(batch, replay):
             return False
-        given = F.col("id") if "id" in judged.columns else F.monotonically_increasing_id()
-        enriched = E.enrich(judged, self.options).withColumn(
-            "id", F.concat(F.lit(f"{batch}:"), F.lpad(given.cast("string"), 20, "0"))
-        )
+        enriched = self.enriched(batch, judged)
         held, path = stored(enriched, "events") if stage else (enriched.persist(), None)
         try:
             rows = held
             if sites is not None:
                 verdict = F.when(F.col("site_id").isNull(), F.lit(P.REJECTED)).otherwise(F.col("verdict"))
                 rows = registry.with_site(held, sites).withColumn("verdict", verdict)
-            stats = P.accounting(rows, ["site_id", "file_path"]).select(
-                F.coalesce("site_id", F.lit(0)).alias("site_id"), "file_path", "lines",
-                "events", "rejected", F.current_date().alias("day"),
-            )
-            events = P.accepted(rows)
-            cube = R.traffic_cube(events).persist()
-            tables = fold(events, cube, self.options, detail_since, error_since)
-            if files is not None:
-                tables[FILES] = files.select("site_id", "lines", "digest", "file_path", F.current_date().alias("day"))
-            stored_now = self.append(batch, {**tables, STATS: stats}, replay)
-            cube.unpersist()
-            return stored_now
+            more = {} if files is None else {FILES: files.select("site_id", "lines", "digest", "file_path", F.current_date().alias("day"))}
+            return self.ingest_enriched(batch, rows, detail_since, error_since, replay, more)
         finally:
             if path is None:
                 held.unpersist()
             else:
                 remove_path(self.spark, path)
 
+    def enriched(self, batch: str, judged: DataFrame) -> DataFrame:
+        """Events as the rollups read them, each with an id of the batch."""
+        given = F.col("id") if "id" in judged.columns else F.monotonically_increasing_id()
+        return E.enrich(judged, self.options).withColumn("id", F.concat(F.lit(f"{batch}:"), F.lpad(given.cast("string"), 20, "0")))
+
+    def ingest_enriched(
+        self, batch: str, rows: DataFrame, detail_since: int = 0, error_since: int = 0, replay: bool = False,
+        more: dict[str, DataFrame] | None = None,
+    ) -> bool:
+        """Fold stored or cached rows with a site and a verdict, and ``more`` tables, into one batch."""
+        stats = P.accounting(rows, ["site_id", "file_path"]).select(
+            F.coalesce("site_id", F.lit(0)).alias("site_id"), "file_path", "lines",
+            "events", "rejected", F.current_date().alias("day"),
+        )
+        events = P.accepted(rows)
+        cube = R.traffic_cube(events).persist()
+        try:
+            tables = fold(events, cube, self.options, detail_since, error_since)
+            return self.append(batch, {**tables, **(more or {}), STATS: stats}, replay)
+        finally:
+            cube.unpersist()
+
     # -- reading -------------------------------------------------------------------
 
-    def partials(self, table: str, batches: list[str] | None = None) -> DataFrame:
-        """Rows of the committed batches; the batch filter prunes folders."""
-        names = self.active_batches() if batches is None else batches
-        rows = self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
+    def partials(self, table: str, batches: list[str] | None = None, state: State | None = None) -> DataFrame:
+        """Rows of the committed batches; only their folders are listed and only the files that are shown are read."""
+        state = state or self.log.state()
+        shown = state.active if batches is None else {b: state.active[b] for b in batches if b in state.active}
+        names = sorted(b for b, held in shown.items() if table in held["tables"])
+        if not names:
+            return self.spark.createDataFrame([], SCHEMAS[table])
+        root = self.path(table)
+        rows = self.spark.read.schema(SCHEMAS[table]).option("basePath", root).parquet(*[f"{root}/batch={b}" for b in names])
+        hidden = sorted({f for b in names for f in shown[b].get("hidden", {}).get(table, ())})
+        if hidden:
+            rows = rows.where(~F.col("_metadata.file_name").isin(hidden))
         return rows.where(F.col("batch").isin(names))
 
     def tables(self, now: int | None = None) -> dict[str, DataFrame]:
         """Every table for the read API, which merges partials by itself; with ``now``, details
         within their retention only."""
-        batches = self.active_batches()
-        found = {name: self.partials(name, batches) for name in SCHEMAS}
+        state = self.log.state()
+        found = {name: self.partials(name, state=state) for name in SCHEMAS}
         return found if now is None else found | {DETAIL: self.details(now)}
 
     def merged(self, table: str) -> DataFrame:
@@ -249,18 +297,47 @@ class Store:
 
     # -- maintenance ---------------------------------------------------------------
 
-    def _rewrite(self, batches: list[str], change) -> str | None:
+    def _rewrite(self, batches: list[str], change, level: int = 1) -> str | None:
         """Write some batches as one, through ``change(table, rows)``, and swap them."""
         if not batches:
             return None
-        base = f"base-{uuid.uuid4().hex}"
+        base = f"base-{level}-{uuid.uuid4().hex}"
         with self._alone():
-            if set(batches) - set(self.active_batches()):
+            state = self.log.state()
+            if set(batches) - set(state.active):
                 raise RuntimeError("another rewrite has replaced some of these batches")
-            self._write_all(base, {t: change(t, self.partials(t, batches)) for t in SCHEMAS})
+            tables = sorted({t for b in batches for t in state.active[b]["tables"]})
+            self._write_all(base, {t: change(t, self.partials(t, batches, state)) for t in tables})
             self._commit(base, batches)
         return base
 
+    def _rewrite_sites(self, site_ids: DataFrame, change) -> str | None:
+        """Write the files that hold some sites anew, through ``change(table, rows)``, and hide them.
+
+        Which files those are is read from the site column alone, whose ranges Parquet knows; only names of files reach the driver.
+        """
+        base = f"base-1-{uuid.uuid4().hex}"
+        wanted = site_ids.select("site_id").distinct()
+        with self._alone():
+            state = self.log.state()
+            hidden: dict[str, dict[str, list[str]]] = {}
+            tables = {}
+            for table in SCHEMAS:
+                rows = self.partials(table, state=state)
+                if not rows.inputFiles():
+                    continue
+                held = rows.select("site_id", "batch", F.col("_metadata.file_name").alias("_file"))
+                found = held.join(wanted, "site_id", "left_semi").select("batch", "_file").distinct().collect()
+                for row in found:
+                    hidden.setdefault(row.batch, {}).setdefault(table, []).append(row._file)
+                if found:
+                    tables[table] = change(table, rows.where(F.col("_metadata.file_name").isin([r._file for r in found])))
+            if not tables:
+                return None
+            self._write_all(base, tables)
+            self._commit(base, [], hidden)
+        return base
+
     def _fold_partials(self, table: str, rows: DataFrame, now: int | None) -> DataFrame:
         if table == STATS:
             return rows.groupBy("site_id", "file_path", "day").agg(
@@ -268,6 +345,11 @@ class Store:
             )
         if table == FILES:
             return rows.groupBy("site_id", "lines", "digest").agg(*[F.min(c).alias(c) for c in ("file_path", "day")])
+        if table == SEEN:  # a path keeps what it held last
+            last = F.max_by(F.struct("site_id", "length", "modified", "day"), F.struct("day", "batch")).alias("_last")
+            return rows.groupBy("file_path").agg(last).select("file_path", "_last.*")
+        if table == PENDING:
+            return rows.groupBy("site_id", "log", "lines", "digest").agg(F.min("day").alias("day"))
         if table == DETAIL:
             limits = self.options.cutoffs(now or 0)
             return rows if now is None else retention.retained_details(rows, **limits)
@@ -290,14 +372,35 @@ class Store:
         """Fold the batches since the last compaction into one, one row per key.
 
         Work follows the new data, not the size of the store; ``full`` folds everything.
-        Readers switch with a single commit row. With ``now``, expired rows are left out.
+        Readers switch with a single commit. With ``now``, expired rows are left out.
         """
         active = self.active_batches()
         batches = active if full else [b for b in active if not b.startswith("base-")]
         return self._rewrite(batches, lambda table, rows: self._fold_partials(table, rows, now))
 
+    def fold(self, limit: int = 32, now: int | None = None) -> int:
+        """Fold where ``limit`` batches have gathered: new ones into one, ``limit`` such ones into one of the next level, and so on.
+
+        Every row is rewritten once a level, and readers meet fewer than ``limit`` batches a level, however many were
+        stored. Returns the rewrites made; none where another rewrite is at work.
+        """
+        made = 0
+        while True:
+            levels: dict[int, list[str]] = {}
+            for batch in self.active_batches():
+                level = batch.split("-")[1] if batch.startswith("base-") else "0"
+                levels.setdefault(int(level) if level.isdecimal() else 1, []).append(batch)
+            full = [level for level, names in levels.items() if len(names) >= limit]
+            if not full:
+                return made
+            try:
+                self._rewrite(levels[min(full)], lambda table, rows: self._fold_partials(table, rows, now), min(full) + 1)
+            except RuntimeError:
+                return made
+            made += 1
+
     def merge_sites(self, mapping: DataFrame) -> str | None:
-        """Fold duplicate sites (site_id, canonical_id) in every table."""
+        """Fold duplicate sites (site_id, canonical_id) in every table; files that hold none of them stay as they are."""
 
         def change(table: str, rows: DataFrame) -> DataFrame:
             if table not in ROLLUPS:
@@ -308,13 +411,12 @@ class Store:
                 "day", clock.local_day(time_key)
             )
 
-        return self._rewrite(self.active_batches(), change)
+        both = mapping.select(F.explode(F.array("site_id", "canonical_id")).alias("site_id"))
+        return self._rewrite_sites(both, change)
 
     def drop_sites(self, site_ids: DataFrame) -> str | None:
         """Delete all rows of the given sites, so that their logs can be read again."""
-        return self._rewrite(
-            self.active_batches(), lambda table, rows: rows.join(site_ids, "site_id", "left_anti")
-        )
+        return self._rewrite_sites(site_ids, lambda table, rows: rows.join(site_ids, "site_id", "left_anti"))
 
     def reclaim(self, now: int, rollup_days: int | None = None, grace: int = 3600) -> int:
         """Delete folders that are unreachable: replaced batches, rewrites that failed, and days past retention.
@@ -335,26 +437,21 @@ class Store:
             oldest = str(date(1970, 1, 1) + timedelta(days=now // 86400 - rollup_days))
             for spec in (METRIC_MINUTE, SPIDER_MINUTE, UNIQUE_HOUR):
                 first_day[spec.name] = oldest
-        active = set(self.active_batches())
-        commits = self.commits().select("batch", "replaces").collect()
-        committed = {r.batch for r in commits}
-        settled = time.time() - grace
-        made = dict(self._folders(self.path(COMMITS), "id=", times=True))
-        replaced_at = {name: made.get(r.batch, 0) for r in commits for name in r.replaces}
-        removed = 0
+        state, settled, removed = self.log.state(), time.time() - grace, 0
         for table in SCHEMAS:
             for batch, written in self._folders(self.path(table), "batch=", times=True):
                 folder = f"{self.path(table)}/batch={batch}"
-                failed = batch.startswith("base-") and batch not in committed and written < settled
-                if failed or batch in committed and batch not in active and replaced_at.get(batch, 0) < settled:
+                failed = batch.startswith("base-") and batch not in state.active and batch not in state.gone and written < settled
+                if failed or batch not in state.active and state.gone.get(batch, settled) < settled:
                     removed += remove_path(self.spark, folder)
                 elif table in first_day:
                     for day in self._folders(folder, "day="):
                         if day < first_day[table]:
                             removed += remove_path(self.spark, f"{folder}/day={day}")
-        for batch in self._folders(self.path(COMMITS), "id="):
-            if batch not in active and not batch.startswith("base-") and replaced_at.get(batch, 0) < settled:
-                remove_path(self.spark, f"{self.path(COMMITS)}/id={batch}")
+        old = [batch for batch, at in state.gone.items() if at < settled]
+        if old:
+            self.log.commit({"forget": old})
+        self.log.trim(settled)
         return removed
 
     def _folders(self, path: str, prefix: str, times: bool = False) -> list:

@@ -18,9 +18,11 @@ from hitfold.functions.columns import flag
 from hitfold.operators import parse as P
 from hitfold.operators.enrich import enrich
 from hitfold.options import DAY, Options
-from hitfold.session import remove_path, stored
-from hitfold.sources import logs, registry
-from hitfold.store import FILES, STATS, Store
+from hitfold.sources import logs
+from hitfold.store import Store
+from hitfold.streaming.closed import load_closed, progress
+
+__all__ = ["ingest_progress", "load_closed", "start_history", "start_live"]
 
 OBSERVED = "ingest"
 LIVE_TRIGGER = "1 second"
@@ -145,38 +147,6 @@ def load_lines(
     store.ingest(batch, judged, detail_since, error_since, sites=sites, replay=replay, files=files)
 
 
-def load_closed(
-    store: Store, sites: DataFrame, folder: str, batch: str, pattern: str = "*.log[.-]*",
-    since: int = 0, detail_since: int = 0, error_since: int = 0,
-) -> int:
-    """Load the rotated files of a folder that were not loaded before; the number of files loaded.
-
-    A file is known by its site and what it holds (its lines, in any order), so it may change its name or be compressed between
-    runs, and a file still written to is read once it is rotated. Equal files of two sites are two files. What was loaded becomes
-    known with the batch's commit. Files of no site are each counted and not remembered: they load once their site is registered.
-    """
-    lines = logs.read_closed(store.spark, folder, pattern)
-    owned = registry.with_site(logs.contents(lines), sites)
-    seen = store.partials(FILES).select("site_id", "lines", "digest").distinct()
-    alone = F.when(F.col("site_id").isNull(), F.col("file_path")).alias("_alone")
-    fresh, path = stored(
-        owned.join(seen, ["site_id", "lines", "digest"], "left_anti")
-        .groupBy("site_id", "lines", "digest", alone).agg(F.min("file_path").alias("file_path"))
-        .select("lines", "digest", "file_path", "site_id"),
-        "files",
-    )
-    try:
-        count = fresh.where("site_id IS NOT NULL").count()
-        if count or not fresh.isEmpty():
-            load_lines(
-                lines.join(fresh.select("file_path"), "file_path", "left_semi"), store, sites, batch,
-                since, detail_since, error_since, files=fresh.where("site_id IS NOT NULL"),
-            )
-        return count
-    finally:
-        remove_path(store.spark, path)
-
-
 def windowed_metrics(
     events: DataFrame, options: Options, lateness: str = "1 hour"
 ) -> DataFrame:
@@ -205,6 +175,4 @@ def windowed_metrics(
 
 def ingest_progress(store: Store) -> DataFrame:
     """Counters per site over all batches."""
-    return store.partials(STATS).groupBy("site_id").agg(
-        *[F.sum(c).alias(c) for c in ("lines", "events", "rejected")]
-    )
+    return progress(store)

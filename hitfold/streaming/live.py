@@ -114,12 +114,12 @@ def start_live(
 
 def start_history(
     lines: DataFrame, store: Store, sites: DataFrame, checkpoint: str, now: int,
-    source: str = "history", days: int | None = 30, detail_days: int | None = 7,
+    source: str = "history", days: int | None = 30, detail_days: int | None = 7, trigger: str | None = None,
 ) -> StreamingQuery:
-    """Load log files that appear in a folder once, under a name of their own, then stop; rerun to resume.
+    """Load streamed log lines, then stop; rerun to resume. With a ``trigger`` (an interval) it goes on.
 
-    Files already loaded are known to the checkpoint by their names, so this is for folders where files
-    neither grow nor change names; ``load_closed`` is for rotated logs. Lines older than ``days`` are rejected
+    ``follow.follow_lines`` streams logs that are being written and rotated. ``logs.stream_lines`` streams files under names of their own, for folders where files
+    neither grow nor change names; ``load_closed`` is for rotated logs in batches. Lines older than ``days`` are rejected
     (None: none), details are kept for ``detail_days``, failed ones as long as lines.
     """
     since = 0 if days is None else now - days * DAY
@@ -131,7 +131,7 @@ def start_history(
         )
 
     writer = lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
-    return writer.trigger(availableNow=True).start()
+    return writer.trigger(**({"availableNow": True} if trigger is None else {"processingTime": trigger})).start()
 
 
 def load_lines(

@@ -54,6 +54,24 @@ def access(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def visits(spark: SparkSession, folder: str) -> DataFrame:
+    """One request per row of ``pages``: its address was fetched once, by a client and at a time of its number."""
+    agents = ", ".join(f"'{agent}'" for agent in AGENTS)
+    return table(spark, folder, "pages").selectExpr(
+        "page_id AS id",
+        "page_id % 5 + 1 AS site_id",
+        "1788220800 + page_id * 7919 % 1728000 AS timestamp",
+        "concat('203.0.113.', page_id * 31 % 250) AS remote_addr",
+        "CASE WHEN page_id % 17 = 0 THEN 'HEAD' ELSE 'GET' END AS method",
+        "regexp_replace(url, '^[a-z]+://[^/]*', '') AS uri",
+        "'HTTP/1.1' AS protocol",
+        "CASE WHEN page_id % 13 = 0 THEN 404 WHEN page_id % 29 = 0 THEN 500 ELSE 200 END AS status",
+        "page_id * 97 % 5000 AS body_bytes",
+        "'-' AS referer",
+        f"element_at(array({agents}), int(page_id % 8 + 1)) AS user_agent",
+    )
+
+
 def requests(spark: SparkSession, folder: str) -> DataFrame:
     return enrich(access(spark, folder), OPTIONS)
 

@@ -486,3 +486,37 @@ ORACLE["q33_stored_overview"] = _near("q04_overview")
 ORACLE["q33_stored_summaries"] = _near("q11_site_summary")
 ORACLE["q33_stored_trend"] = _near("q05_trend_dense")
 ORACLE["q33_dashboard_summary"] = f"SELECT * FROM ({ORACLE['q12_trend_summary']}) WHERE site_id = 1"
+
+
+# the arms of the agents, as in ACCESS
+_AGENT_ARMS = ACCESS[ACCESS.index("CASE user_id % 8") + 16 : ACCESS.index("\n  FROM events")]
+VISITS = f"""
+access AS (
+  SELECT page_id AS id, page_id % 5 + 1 AS site_id, 1788220800 + page_id * 7919 % 1728000 AS timestamp,
+    '203.0.113.' || CAST(page_id * 31 % 250 AS VARCHAR) AS remote_addr,
+    CASE WHEN page_id % 17 = 0 THEN 'HEAD' ELSE 'GET' END AS method,
+    regexp_replace(url, '^[a-z]+://[^/]*', '') AS uri, 'HTTP/1.1' AS protocol,
+    CASE WHEN page_id % 13 = 0 THEN 404 WHEN page_id % 29 = 0 THEN 500 ELSE 200 END AS status,
+    page_id * 97 % 5000 AS body_bytes, '-' AS referer,
+    CASE page_id % 8{_AGENT_ARMS}
+  FROM pages)"""
+
+
+def of_visits(name: str) -> str:
+    """A query's SQL with the requests of ``pages`` instead of those of ``events``."""
+    return ORACLE[name].replace(ACCESS, VISITS)
+
+
+ORACLE["q34_rotation_inside_load"] = ORACLE["q35_followed_logs"] = of_visits("q01_minute_metrics")
+ORACLE["q34_repeated_progress"] = f"""WITH {VISITS}
+SELECT CASE WHEN site_id = 5 THEN 0 ELSE site_id END AS site_id, count(*) AS lines, count(*) FILTER (WHERE site_id <> 5) AS events,
+  count(*) FILTER (WHERE site_id = 5) AS rejected, false AS registered FROM access GROUP BY 1
+UNION ALL SELECT site_id, count(*), count(*), CAST(0 AS BIGINT), true FROM access GROUP BY 1"""
+ORACLE["q36_sites_merged_in_store"] = f"""
+WITH metric AS ({of_visits("q01_minute_metrics")}),
+moved AS (SELECT CASE WHEN site_id IN (4, 5) THEN 1 ELSE site_id END AS to_site, * FROM metric WHERE site_id <> 2)
+SELECT to_site AS site_id, minute_ts, max(requests) AS requests, max(pv) AS pv, max(body_bytes) AS body_bytes, max(errors) AS errors,
+  max(bot_requests) AS bot_requests FROM moved GROUP BY 1, 2"""
+ORACLE["q36_details_after_merge"] = f"""WITH {VISITS}
+SELECT CASE WHEN site_id IN (4, 5) THEN 1 ELSE site_id END AS site_id, status, count(*) AS requests, CAST(sum(body_bytes) AS BIGINT) AS body_bytes
+FROM access GROUP BY 1, 2"""

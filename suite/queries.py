@@ -826,3 +826,6 @@ def q29_byte_sizes(spark, folder):
     return table(spark, folder, "orders").select(
         "o_orderkey", R.byte_size(F.floor(F.col("o_totalprice") * F.col("o_custkey"))).alias("size")
     )
+
+
+from suite import files  # noqa: E402, F401  (its queries register themselves)

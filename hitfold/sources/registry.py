@@ -59,7 +59,7 @@ def with_site(rows: DataFrame, sites: DataFrame) -> DataFrame:
 
     Distinct files are matched by equality on every prefix of their path, which stands for
     ``startswith`` without pairing each file with each site. A log path with a scheme is compared with
-    the whole location, one without with the path alone; names are compared decoded. Files of no site keep
+    the whole location, one without (or with ``file:``, which is written in several ways) with the path alone; names are compared decoded. Files of no site keep
     their rows, with a null ``site_id``. Pass staged rows, whose paths are one small column, rather than raw text.
     """
     # the reader writes a file's location as a URI, in which + is a plain sign
@@ -72,7 +72,7 @@ def with_site(rows: DataFrame, sites: DataFrame) -> DataFrame:
     )
     owners = (
         forms.select("file_path", F.explode(prefixes).alias("log_path"))
-        .join(sites.select("log_path", F.col("id").alias("site_id")), "log_path")
+        .join(sites.select(F.regexp_replace("log_path", "^file:/+", "/").alias("log_path"), F.col("id").alias("site_id")), "log_path")
         .groupBy("file_path")
         .agg(F.max_by("site_id", F.struct(F.length("log_path"), -F.col("site_id"))).alias("site_id"))
     )

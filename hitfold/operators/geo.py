@@ -65,10 +65,9 @@ def network_keys(networks: DataFrame) -> DataFrame:
     )
 
 
-def lengths_in_use(keys: DataFrame) -> list[tuple[int, int]]:
-    """Distinct (family, prefix length): at most 33 + 129 rows."""
-    rows = keys.select("family", "length").distinct().collect()
-    return sorted((r.family, r.length) for r in rows)
+def lengths_in_use(keys: DataFrame) -> Column:
+    """Distinct (family, prefix length), at most 33 + 129, as one array in a subquery of the plan that asks."""
+    return keys.agg(F.array_sort(F.collect_set(F.struct("family", "length")))).scalar()
 
 
 def locate(
@@ -93,26 +92,21 @@ def with_location(
     in_use = lengths_in_use(keys)
     own = rows.columns
     classed = rows.withColumn("_a", F.trim(column)).select(
-        *own, F.expr(ip.address_class("_a")).alias("class"), _digits("_a").alias("digits")
+        *own, F.expr(ip.address_class("_a")).alias("class"), _digits("_a").alias("digits"), in_use.alias("_use")
     )
 
-    def probes_of(family: int) -> Column:
-        cuts = [
-            F.struct(
-                F.lit(family).alias("family"),
-                F.lit(length).alias("length"),
-                _prefix(F.col("digits"), F.lit(length)).alias("prefix"),
-            )
-            for f, length in in_use
-            if f == family
-        ]
-        none = F.array().cast("array<struct<family:int,length:int,prefix:string>>")
-        return F.array(*cuts) if cuts else none
-
     # only public addresses are looked up, the others have a fixed label
+    family = F.when(F.length("digits") == 8, F.lit(4)).otherwise(F.lit(6))
+    own_lengths = F.filter("_use", lambda use: use["family"] == family)
     cuts = F.when(
         F.col("class") == "public",
-        F.when(F.length("digits") == 8, probes_of(4)).otherwise(probes_of(6)),
+        F.transform(
+            own_lengths,
+            lambda use: F.struct(
+                use["family"].alias("family"), use["length"].alias("length"),
+                _prefix(F.col("digits"), use["length"]).alias("prefix"),
+            ),
+        ),
     )
     spread = F.xxhash64(column)
     v6_salt = F.when(F.col("p.family") == 6, F.pmod(spread, F.lit(V6_SALTS))).otherwise(F.lit(0))

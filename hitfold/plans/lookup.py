@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitfold.functions import clock
@@ -11,9 +11,6 @@ from hitfold.operators.geo import with_location
 from hitfold.options import whole_number
 from hitfold.plans.periods import Period, of_sites, within
 
-# rows a sorted limit may hold per task before the page is cut out by time first
-SHALLOW_ROWS = 10_000
-
 
 def _needle(text: str) -> tuple[str, str]:
     """LIKE pattern and an escape character that the text does not hold: every
@@ -58,42 +55,52 @@ def count(found: DataFrame) -> DataFrame:
 
 
 def page(
-    found: DataFrame, number: int = 1, size: int = 50, networks: DataFrame | None = None
+    found: DataFrame, number: int = 1, size: int = 50, networks: DataFrame | None = None,
+    after: tuple[int, str] | None = None,
 ) -> DataFrame:
     """One page, newest first, ties by id.
 
-    A deep page is first narrowed to the minutes that hold it, so that no task sorts
-    or keeps the rows of the pages before it; this counts rows while it plans.
+    ``after`` is the (timestamp, id) of a row: the pages are counted from the row behind it, so the next page costs what the first does, however deep it lies.
+    A page by number is narrowed to the seconds that hold it, so that no task sorts or keeps the rows before
+    them; the counts are subqueries of the same plan, and no job runs before the page is asked for.
     """
     whole_number("page number", number, 1)
     whole_number("page size", size, 1)
-    offset = (number - 1) * size
-    if offset + size > SHALLOW_ROWS:
-        found, offset = _narrow(found, offset, size)
-    rows = found.orderBy(F.desc("timestamp"), "id").offset(offset).limit(size)
+    if after is not None:
+        time, last = F.col("timestamp"), F.lit(after[1])
+        found = found.where((time < after[0]) | (time == after[0]) & (F.col("id") > last))
+    rows = narrowed(found, (number - 1) * size, size) if number > 1 else found
+    rows = rows.orderBy(F.desc("timestamp"), "id").limit(size)
     return with_location(rows, "remote_addr", networks).orderBy(F.desc("timestamp"), "id")
 
 
-def _narrow(found: DataFrame, offset: int, size: int) -> tuple[DataFrame, int]:
-    """Rows of the seconds that hold rows ``offset`` to ``offset + size``, and the offset
-    inside them. Counts are folded per hour, then per second inside the hours that matter, so the
-    windows stay small (hours of the range, seconds of few hours)."""
+def seek(rows: DataFrame) -> DataFrame:
+    """(timestamp, id) of the last row of a page: what ``after`` takes for the next one."""
+    return rows.orderBy("timestamp", F.desc("id")).select("timestamp", "id").limit(1)
+
+
+def _holding(found: DataFrame, width: int, offset: Column, size: int) -> dict[str, Column]:
+    """The buckets of ``width`` seconds that hold rows ``offset`` to ``offset + size``: low, end and the rows before, as subqueries."""
+    starts = found.groupBy(clock.bucket("timestamp", width).alias("b")).agg(F.count("*").alias("n"))
+    newest = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0)
+    counted = starts.withColumn("upto", F.sum("n").over(newest)).withColumn("before", F.col("upto") - F.col("n"))
+    hit = counted.where((F.col("upto") > offset) & (F.col("before") < offset + size)).agg(
+        F.struct(F.min("b").alias("low"), (F.max("b") + width).alias("end"), F.coalesce(F.min("before"), F.lit(0)).alias("before")).alias("hit")
+    )
+    value = hit.scalar()
+    return {name: value[name] for name in ("low", "end", "before")}
+
+
+def narrowed(found: DataFrame, offset: int, size: int) -> DataFrame:
+    """Rows ``offset`` to ``offset + size`` in page order.
+
+    Rows are counted per hour, then per second inside the hours that matter, so the windows stay small (hours of the
+    range, seconds of few hours); numbers are given only within the seconds that hold the page.
+    """
+    start = F.lit(offset).cast("bigint")
     for width in (3600, 1):
-        starts = found.groupBy(clock.bucket("timestamp", width).alias("b")).agg(
-            F.count("*").alias("n")
-        )
-        newest = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0)
-        hit = (
-            starts.withColumn("upto", F.sum("n").over(newest))
-            .where((F.col("upto") > offset) & (F.col("upto") - F.col("n") < offset + size))
-            .agg(
-                F.min("b").alias("low"), F.max("b").alias("high"),
-                F.min(F.col("upto") - F.col("n")).alias("before"),
-            )
-            .first()
-        )
-        if hit.low is None:
-            return found.where(F.lit(False)), 0
-        found = within(found, "timestamp", hit.low, hit.high + width)
-        offset -= hit.before
-    return found, offset
+        hit = _holding(found, width, start, size)
+        found = found.where((F.col("timestamp") >= hit["low"]) & (F.col("timestamp") < hit["end"]))
+        start = start - hit["before"]
+    place = F.row_number().over(Window.orderBy(F.desc("timestamp"), "id")).alias("_place")
+    return found.select("*", place).where((F.col("_place") > start) & (F.col("_place") <= start + size)).drop("_place")

@@ -249,9 +249,7 @@ def q10_deep_page(spark, folder):
     found = lookup.search(
         _details(spark, folder), site_ids(spark, folder), whole_period(spark, folder)
     )
-    found, offset = lookup._narrow(found, 4321, 200)
-    rows = found.orderBy(F.desc("timestamp"), "id").offset(offset).limit(200)
-    return rows.select(*DETAIL_COLUMNS)
+    return lookup.narrowed(found, 4321, 200).select(*DETAIL_COLUMNS)
 
 
 @query

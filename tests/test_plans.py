@@ -133,14 +133,38 @@ def test_search_filters(details):
     assert n(query="it's") == 0
 
 
+def jobs_of(spark, build):
+    """What ``build`` returns, and the jobs that ran meanwhile."""
+    spark.sparkContext.setJobGroup("planning", "")
+    try:
+        return build(), len(spark.sparkContext.statusTracker().getJobIdsForGroup("planning"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 @pytest.mark.parametrize("page,size", [(1, 10), (3, 200), (15, 200), (16, 200), (300, 10)])
-def test_deep_pages_equal_plain_ones(details, page, size, monkeypatch):
+def test_deep_pages_equal_plain_ones(spark, details, page, size):
     found = lookup.search(details, 1, Period(0, 10**6))
-    plain = [r.id for r in lookup.page(found, page, size).collect()]
-    monkeypatch.setattr(lookup, "SHALLOW_ROWS", 0)
-    deep = [r.id for r in lookup.page(found, page, size).collect()]
+    deep, jobs = jobs_of(spark, lambda: lookup.page(found, page, size))
     everything = [r.id for r in details.orderBy(F.desc("timestamp"), "id").collect()]
-    assert plain == deep == everything[(page - 1) * size : page * size]
+    assert [r.id for r in deep.collect()] == everything[(page - 1) * size : page * size] and not jobs
+
+
+def test_pages_by_seek_tokens_follow_each_other(details):
+    found, after, seen = lookup.search(details, 1, Period(0, 10**6), errors_only=True), None, []
+    for _ in range(4):
+        items = lookup.page(found, 1, 333, after=after)
+        seen += [r.id for r in items.collect()]
+        after = tuple(lookup.seek(items).first())
+    assert seen == [r.id for r in found.orderBy(F.desc("timestamp"), "id").limit(4 * 333).collect()]
+    assert [r.id for r in lookup.page(found, 2, 10, after=after).collect()] == [r.id for r in found.orderBy(F.desc("timestamp"), "id").offset(4 * 333 + 10).limit(10).collect()]
+
+
+def test_places_are_planned_without_a_job(spark):
+    networks = spark.createDataFrame([("8.0.0.0/8", "A", "", "")], "network string, country string, region string, city string")
+    rows = spark.createDataFrame([("8.1.1.1",), ("9.1.1.1",)], "address string")
+    located, jobs = jobs_of(spark, lambda: geo.with_location(rows, "address", networks))
+    assert not jobs and {r.address: r.country for r in located.collect()} == {"8.1.1.1": "A", "9.1.1.1": ""}
 
 
 def test_places_match_brute_force(spark):

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -18,7 +18,7 @@ from datetime import date, datetime, timedelta
 from zoneinfo import ZoneInfo
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from hitfold.commits import CommitLog, State
@@ -214,7 +214,7 @@ class Store:
     def ingest(
         self, batch: str, judged: DataFrame, detail_since: int = 0, error_since: int = 0,
         stage: bool = True, sites: DataFrame | None = None, replay: bool = False,
-        files: DataFrame | None = None,
+        files: DataFrame | None = None, counted: Callable[[list], None] | None = None,
     ) -> bool:
         """Fold judged events (with ``site_id``, ``file_path`` and ``verdict``) into one batch.
 
@@ -233,7 +233,7 @@ class Store:
                 verdict = F.when(F.col("site_id").isNull(), F.lit(P.REJECTED)).otherwise(F.col("verdict"))
                 rows = registry.with_site(held, sites).withColumn("verdict", verdict)
             more = {} if files is None else {FILES: files.select("site_id", "lines", "digest", "file_path", F.current_date().alias("day"))}
-            return self.ingest_enriched(batch, rows, detail_since, error_since, replay, more)
+            return self.ingest_enriched(batch, rows, detail_since, error_since, replay, more, counted)
         finally:
             if path is None:
                 held.unpersist()
@@ -247,18 +247,30 @@ class Store:
 
     def ingest_enriched(
         self, batch: str, rows: DataFrame, detail_since: int = 0, error_since: int = 0, replay: bool = False,
-        more: dict[str, DataFrame] | None = None,
+        more: dict[str, DataFrame] | None = None, counted: Callable[[list], None] | None = None,
     ) -> bool:
-        """Fold stored or cached rows with a site and a verdict, and ``more`` tables, into one batch."""
+        """Fold stored or cached rows with a site and a verdict, and ``more`` tables, into one batch.
+
+        ``counted`` is given the rows of the batch's statistics (site_id, lines, events, rejected) once the batch is visible. They are
+        observed while they are written, so they are those of the table and cost no job.
+        """
         stats = P.accounting(rows, ["site_id", "file_path"]).select(
             F.coalesce("site_id", F.lit(0)).alias("site_id"), "file_path", "lines",
             "events", "rejected", F.current_date().alias("day"),
         )
+        seen = None
+        if counted is not None:
+            seen = Observation(f"statistics-{uuid.uuid4().hex}")
+            one = F.struct("site_id", "lines", "events", "rejected")
+            stats = stats.observe(seen, F.collect_list(one).alias("sites"))  # as many as the batch has sites and files
         events = P.accepted(rows)
         cube = R.traffic_cube(events).persist()
         try:
             tables = fold(events, cube, self.options, detail_since, error_since)
-            return self.append(batch, {**tables, **(more or {}), STATS: stats}, replay)
+            stored_now = self.append(batch, {**tables, **(more or {}), STATS: stats}, replay)
+            if stored_now and seen is not None:
+                counted(seen.get["sites"])
+            return stored_now
         finally:
             cube.unpersist()
 

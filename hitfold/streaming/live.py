@@ -65,10 +65,22 @@ def observed(parsed: DataFrame) -> DataFrame:
 
 
 class Counters(StreamingQueryListener):
-    """Adds up the observed counters of a running query."""
+    """Counters of running queries: per site (0 for none) those of the batches that became visible, and what ``observed`` sees.
+
+    Pass it to ``start_live``, which adds the statistics of every batch as they are written; a batch that is replayed counts
+    once. As a listener it adds up the metrics that ``observed`` attaches to a stream.
+    """
 
     def __init__(self):
         self.lines = self.parsed = self.rejected = 0
+        self.sites: dict[int, dict[str, int]] = {}
+
+    def add(self, rows: list) -> None:
+        for row in rows:
+            held = self.sites.setdefault(row.site_id, dict.fromkeys(("lines", "events", "rejected", "deferred"), 0))
+            for name in ("lines", "events", "rejected"):
+                held[name] += row[name]
+            held["deferred"] += row.lines - row.events - row.rejected
 
     def onQueryStarted(self, event):
         pass
@@ -90,11 +102,13 @@ class Counters(StreamingQueryListener):
 def start_live(
     messages: DataFrame, store: Store, sites: Callable[[], DataFrame], checkpoint: str,
     source: str = "live", backfilling: Callable[[], DataFrame | None] = lambda: None,
-    available_now: bool = False, trigger: str = LIVE_TRIGGER,
+    available_now: bool = False, trigger: str = LIVE_TRIGGER, counters: Counters | None = None,
+    fold_every: int | None = 32,
 ) -> StreamingQuery:
     """Fold a stream of live messages into the store.
 
-    ``sites`` and ``backfilling`` are asked once per micro-batch, so both may change while it runs.
+    ``sites`` and ``backfilling`` are asked once per micro-batch, so both may change while it runs. ``counters`` follow what becomes
+    visible. Every ``fold_every`` micro-batches the store is folded, so that the batches a reader meets stay few however long it runs.
     """
     options = store.options
 
@@ -103,8 +117,10 @@ def start_live(
         routed = route(parsed, sites(), options, backfilling())
         store.ingest(
             f"{source}-{batch_id}", routed.withColumn("file_path", F.lit(source)), stage=False,
-            replay=True,
+            replay=True, counted=None if counters is None else counters.add,
         )
+        if fold_every and batch_id % fold_every == fold_every - 1:
+            store.fold(fold_every)
 
     writer = messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     if available_now:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hitfold.operators import parse
 from hitfold.session import remove_path, scratch_path
+from hitfold.sources import logs, registry
 from hitfold.sources.follow import follow_lines
 from hitfold.store import Store
 from hitfold.streaming import live
 from suite.access import OPTIONS, visits
-from suite.queries import log_lines, query
+from suite.queries import log_lines, messages, query, text_day
 
 SITES = 5
 
@@ -135,3 +137,103 @@ def q36_details_after_merge(spark, folder):
     store.ingest("all", rows)
     store.merge_sites(spark.createDataFrame([(4, 1), (5, 1)], "site_id bigint, canonical_id bigint"))
     return store.partials("request_detail").groupBy("site_id", "status").agg(F.count("*").alias("requests"), F.sum("body_bytes").alias("body_bytes"))
+
+
+def _live(spark, folder, counters: live.Counters | None = None, known: tuple[int, ...] = (1, 2, 3, 4, 5), busy: tuple[int, ...] = ()) -> Store:
+    """All requests as live messages in several micro-batches, of times in no order; every second one folds the store."""
+    feed = scratch_path(spark, "feed")
+    messages(visits(spark, folder)).select("value").repartition(6).write.text(feed)
+    store = Store(spark, scratch_path(spark, "store"), OPTIONS.with_changes(trusted_proxies=())).create()
+    sites = spark.createDataFrame([(i, i) for i in known], "id bigint, panel_site_id bigint")
+    waiting = spark.createDataFrame([(i,) for i in busy], "site_id bigint") if busy else None
+    live.start_live(
+        logs.stream_messages(spark, feed, files_per_trigger=2), store, lambda: sites, scratch_path(spark, "checkpoint"), backfilling=lambda: waiting,
+        available_now=True, counters=counters, fold_every=2,
+    ).awaitTermination()
+    return store
+
+
+@query
+def q37_live_counters(spark, folder):
+    """Counters that a running stream keeps, beside the statistics in the store: site 5 is unknown, site 4 is being loaded from files."""
+    counters = live.Counters()
+    store = _live(spark, folder, counters, (1, 2, 3, 4), (4,))
+    rows = [(site, held["lines"], held["events"], held["rejected"], held["deferred"]) for site, held in counters.sites.items()]
+    kept = spark.createDataFrame(rows, "site_id bigint, live_lines bigint, live_events bigint, live_rejected bigint, live_deferred bigint")
+    return live.ingest_progress(store).join(kept, "site_id", "full")
+
+
+@query
+def q37_stream_days(spark, folder):
+    """Daily dimensions of the stream, folded while it runs."""
+    return text_day(_live(spark, folder).merged("dimension_day"))
+
+
+@query
+def q37_stream_crawlers(spark, folder):
+    """Crawlers per minute of the stream."""
+    return _live(spark, folder).merged("spider_minute")
+
+
+@query
+def q37_stream_details(spark, folder):
+    """Request details of the stream; late ones are as good as others."""
+    return _live(spark, folder).partials("request_detail").select("site_id", "timestamp", "remote_addr", "method", "uri", "status", "body_bytes", "browser", "system", "device")
+
+
+@query
+def q38_start_at_end(spark, folder):
+    """A stream that starts at the end of its logs sees only lines that come later."""
+    logs_at, store, checkpoint = scratch_path(spark, "logs"), new_store(spark), scratch_path(spark, "checkpoint")
+    late = F.col("id") % 2
+    numbered = visits(spark, folder).withColumn("id", F.col("id") + late * 10_000_000_000)
+    for part in (numbered.where(late == 0), numbered):
+        write_logs(spark, logs_at, part)
+        lines = follow_lines(spark, logs_at, start="latest")
+        live.start_history(lines, store, log_sites(spark, logs_at), checkpoint, 0, "follow", days=None).awaitTermination()
+    return store.merged("metric_minute")
+
+
+@query
+def q38_history_files(spark, folder):
+    """The current file of a log, its rotated and its compressed files, as requests."""
+    logs_at = scratch_path(spark, "logs")
+    rows = visits(spark, folder)
+    for part, suffix, codec in ((0, "", "none"), (1, ".1", "none"), (2, ".2", "gzip")):
+        write_logs(spark, logs_at, rows.where(F.col("id") % 3 == part), suffix, codec)
+    found = parse.parse_lines(logs.read_history(spark, f"{logs_at}/site 3.log"))
+    return found.groupBy("remote_addr", "status").agg(F.count("*").alias("requests"), F.sum("body_bytes").alias("body_bytes"))
+
+
+@query
+def q38_escaped_lines(spark, folder):
+    """Lines whose request has one, two or three parts and whose quoted fields hold escaped characters."""
+    rows = visits(spark, folder).select("id", "timestamp", "method", "uri")
+    form = F.when(F.col("id") % 3 == 0, F.col("uri")).when(F.col("id") % 3 == 1, F.concat_ws(" ", "method", "uri")).otherwise(F.concat_ws(" ", "method", "uri", F.lit("HTTP/2.0")))
+    stamp = F.date_format(F.timestamp_seconds("timestamp"), "dd/MMM/yyyy:HH:mm:ss")
+    quoted = F.concat(F.lit(r"a\x22"), F.col("id").cast("string"), F.lit(r"\x5Cn \"b"))
+    line = F.concat(F.lit("1.2.3.4 - - ["), stamp, F.lit(' +0000] "'), form, F.lit('" 200 - "'), quoted, F.lit('" "'), quoted, F.lit('"'))
+    lines = rows.select("id", line.alias("value"))
+    return parse.parse_lines(lines).select("id", "timestamp", "method", "uri", "protocol", "body_bytes", "referer", "user_agent")
+
+
+@query
+def q38_registered_sites(spark, folder):
+    """Hosts of all pages as rows of a panel's registry; rows without a name or a positive id are left out."""
+    hosts = spark.read.parquet(f"{folder}/pages.parquet").select(
+        (F.col("page_id") - 1).alias("id"), F.when(F.col("page_id") % 7 > 0, F.concat(F.lit(" "), F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1))).alias("name"),
+        F.lit("/www").alias("path"), F.when(F.col("page_id") % 2 == 0, F.lit("apache")).alias("web_server"),
+        F.when(F.col("page_id") % 5 == 0, F.lit("/own/access.log")).alias("log_path"),
+    )
+    return registry.registered(hosts, "/logs/")
+
+
+@query
+def q38_orphan_logs(spark, folder):
+    """Logs of hosts that no registry row names, numbered in order of their names."""
+    host = F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", host.alias("host"))
+    ending = F.when(F.col("page_id") % 3 == 0, F.lit(".error.log")).when(F.col("page_id") % 3 == 1, F.lit(".log")).otherwise(F.lit(".txt"))
+    files = pages.select(F.concat(F.lit("file:///logs/"), "host", ending).alias("path")).distinct()
+    known = pages.where("page_id % 4 = 0").select(F.concat(F.lit("/logs/"), "host", F.lit(".log")).alias("log_path")).distinct()
+    return registry.orphans(files, known)

@@ -520,3 +520,30 @@ SELECT to_site AS site_id, minute_ts, max(requests) AS requests, max(pv) AS pv,
 ORACLE["q36_details_after_merge"] = f"""WITH {VISITS}
 SELECT CASE WHEN site_id IN (4, 5) THEN 1 ELSE site_id END AS site_id, status, count(*) AS requests, CAST(sum(body_bytes) AS BIGINT) AS body_bytes
 FROM access GROUP BY 1, 2"""
+ORACLE["q37_live_counters"] = f"""WITH {VISITS},
+v AS (SELECT CASE WHEN site_id = 5 THEN 0 ELSE site_id END AS site_id, site_id < 4 AS taken FROM access)
+SELECT site_id, count(*) AS lines, count(*) FILTER (WHERE taken) AS events, count(*) FILTER (WHERE site_id = 0) AS rejected,
+  count(*) AS live_lines, count(*) FILTER (WHERE taken) AS live_events, count(*) FILTER (WHERE site_id = 0) AS live_rejected,
+  count(*) FILTER (WHERE site_id = 4) AS live_deferred FROM v GROUP BY 1"""
+ORACLE["q37_stream_days"] = of_visits("q03_dimension_day")
+ORACLE["q37_stream_crawlers"] = of_visits("q02_spider_minute")
+ORACLE["q37_stream_details"] = q(
+    " SELECT site_id, timestamp, remote_addr, method, path AS uri, status, body_bytes, browser, system, device FROM req").replace(ACCESS, VISITS)
+ORACLE["q38_start_at_end"] = ORACLE["q34_rotation_inside_load"].replace("FROM pages)", "FROM pages WHERE page_id % 2 = 1)")
+ORACLE["q38_history_files"] = f"""WITH {VISITS}
+SELECT remote_addr, status, count(*) AS requests, CAST(sum(body_bytes) AS BIGINT) AS body_bytes FROM access WHERE site_id = 3 GROUP BY 1, 2"""
+ORACLE["q38_escaped_lines"] = f"""WITH {VISITS}
+SELECT id, timestamp, CASE WHEN id % 3 = 0 THEN '' ELSE method END AS method, uri, CASE WHEN id % 3 = 2 THEN 'HTTP/2.0' ELSE '' END AS protocol,
+  CAST(0 AS BIGINT) AS body_bytes, 'a"' || id || chr(92) || 'n "b' AS referer, 'a"' || id || chr(92) || 'n "b' AS user_agent FROM access"""
+_HOST = "regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)"
+ORACLE["q38_registered_sites"] = f"""
+SELECT page_id - 1 AS panel_site_id, {_HOST} AS name, '/www' AS document_root,
+  CASE WHEN page_id % 5 = 0 THEN '/own/access.log' WHEN page_id % 2 = 0 THEN '/logs/' || {_HOST} || '-access_log' ELSE '/logs/' || {_HOST} || '.log' END AS log_path,
+  CASE WHEN page_id % 2 = 0 THEN 'apache' ELSE 'nginx' END AS web_server
+FROM pages WHERE page_id > 1 AND page_id % 7 > 0"""
+ORACLE["q38_orphan_logs"] = f"""
+WITH files AS (SELECT DISTINCT '/logs/' || {_HOST} || '.log' AS log_path FROM pages WHERE page_id % 3 = 1),
+known AS (SELECT DISTINCT '/logs/' || {_HOST} || '.log' AS log_path FROM pages WHERE page_id % 4 = 0),
+loose AS (SELECT log_path FROM files WHERE log_path NOT IN (SELECT log_path FROM known))
+SELECT -row_number() OVER (ORDER BY log_path) AS panel_site_id, replace(replace(log_path, '/logs/', ''), '.log', '') AS name,
+  '' AS document_root, log_path, 'nginx' AS web_server FROM loose"""

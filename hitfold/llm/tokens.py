@@ -34,15 +34,16 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         spec = json.loads(self.tokenizer.to_str())
+        #: Their strings in a text are ids of their own, as the library has it; such texts are encoded whole.
+        self.special = [t["content"] for t in spec["added_tokens"]]
         self.words = spec["model"]["end_of_word_suffix"] is not None
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.merge = self.tokenizer.model.tokenize
         self.letters = byte_letters()
         self.space = self.letters[32]
-        owner = self
+        owner, code, merge, space = self, self.code, self.merge, "" if self.words else self.space
 
         class Known(dict):
             older: dict = {}
@@ -50,7 +51,10 @@ class Encoder:
             def __missing__(self, key):
                 value = self.older.get(key)
                 if value is None:
-                    value = owner._ids(key)
+                    if space and key.isascii() and key.isalpha():  # most new words; as ``_piece`` does
+                        value = array(code, [t.id for t in merge(space + key)]).tobytes()
+                    else:
+                        value = owner._ids(key)
                 if len(self) >= CACHE:
                     self.older = dict(self)
                     self.clear()
@@ -92,20 +96,24 @@ class Encoder:
             return self._piece(key[1:], False) if len(key) > 1 else b""
         return self._piece(key, True)
 
+    def _fragments(self, text: str) -> list[str] | None:
+        """The fragments of a text that may be cut at its white space, else None."""
+        if _ODD.search(text) or any(x in text for x in self.special):
+            return None
+        if self.words:
+            return text.split()
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n":
+            return None
+        keys = text.replace("\n", " \n").split(" ")
+        keys[0] = "\0" + keys[0]
+        return keys
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a text; null and empty have none."""
         if not text:
             return b""
-        if self.words:
-            if _ODD.search(text):
-                return self._whole(text)
-            keys = text.split()
-        else:
-            if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n" or _ODD.search(text):
-                return self._whole(text)
-            keys = text.replace("\n", " \n").split(" ")
-            keys[0] = "\0" + keys[0]
-        return b"".join(map(self.known.__getitem__, keys))
+        keys = self._fragments(text)
+        return self._whole(text) if keys is None else b"".join(map(self.known.__getitem__, keys))
 
 
 @cache

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from hitfold.llm.common import bucket_of, column_of, documents, expand, expand_sorted, mix, partitions, seeded, sliced, squeeze, squeeze_sorted, text_bytes, words, written
 
-BLOCK_BYTES, SHARD_KEYS = 12 << 20, 1 << 20
+BLOCK_BYTES, SHARD_KEYS = 6 << 20, 1 << 20
 CUT = 5
 NO_ID = -(1 << 63)
 START, END = (int(x) for x in seeded(41, 2))
@@ -126,8 +126,8 @@ class Block:
 
 
 def shards_for(keys: int) -> int:
-    """A power of two that gives shards of about ``SHARD_KEYS``."""
-    return 1 << max(int(keys // SHARD_KEYS), 1).bit_length() - 1
+    """A power of two that gives shards of at most about ``SHARD_KEYS``."""
+    return 1 << max(-(-int(keys) // SHARD_KEYS) - 1, 0).bit_length()
 
 
 def cut(block: int, kind: int, keys: np.ndarray, loads: list[np.ndarray], shards: int) -> list[tuple]:
@@ -145,10 +145,11 @@ QUESTION = "kind int, block long, shard int, keys binary, load binary"
 
 
 def grouped_rows(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple[tuple, list[dict]]]:
-    """Rows of a stream sorted by ``names``, group by group."""
+    """Rows of a stream sorted by ``names``, group by group; of a batch, one row at a time becomes Python objects."""
     held, key = [], None
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):
+            row = {n: column[i].as_py() for n, column in zip(batch.schema.names, batch.columns, strict=True)}
             own = tuple(row[n] for n in names)
             if own != key and held:
                 yield key, held
@@ -261,6 +262,7 @@ def score(docs: DataFrame, train) -> DataFrame:
             block = Block(next(r for r in rows if r["kind"] == -1))
             del rows
             block.find_pairs()
+            del block.keys, block.pair_counts, block.learned  # questions only
             count, pairs = parts[0] >> 2, parts[1] >> 2
             p = np.where(count > 0, discounted(count, d1) / max(n, 1), new)
             # sums after each history over the pairs that this block stands for

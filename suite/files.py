@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hitfold.functions import ip
 from hitfold.operators import parse
+from hitfold.operators import rollup as U
+from hitfold.operators import sites as S
+from hitfold.operators.enrich import enrich
+from hitfold.plans import reports
+from hitfold.plans.periods import PERIODS, Period, period_range, within
 from hitfold.session import remove_path, scratch_path
 from hitfold.sources import logs, registry
 from hitfold.sources.follow import follow_lines
 from hitfold.store import Store
 from hitfold.streaming import live
-from suite.access import OPTIONS, visits
-from suite.queries import log_lines, messages, query, text_day
+from suite.access import OPTIONS, registry as nations, visits
+from suite.queries import _discovered, log_lines, messages, query, text_day
 
 SITES = 5
 
@@ -237,3 +243,65 @@ def q38_orphan_logs(spark, folder):
     files = pages.select(F.concat(F.lit("file:///logs/"), "host", ending).alias("path")).distinct()
     known = pages.where("page_id % 4 = 0").select(F.concat(F.lit("/logs/"), "host", F.lit(".log")).alias("log_path")).distinct()
     return registry.orphans(files, known)
+
+
+def v6_texts(spark, folder: str) -> DataFrame:
+    """An address in some textual form of IPv6 for every page."""
+    digits = "lower(hex(page_id % 65535 + 1))"
+    return spark.read.parquet(f"{folder}/pages.parquet").selectExpr("page_id AS id", f"""
+        CASE page_id % 7
+          WHEN 0 THEN concat('2001:0DB8:0:0:0:0:0:', upper(lpad({digits}, 4, '0')))
+          WHEN 1 THEN concat('2600:1f18::', {digits})
+          WHEN 2 THEN concat('::ffff:203.0.113.', page_id % 250)
+          WHEN 3 THEN concat('fe80:0::', {digits}, '%eth0')
+          WHEN 4 THEN concat(' [2A00:1450:4001::0:', {digits}, ':0:0] ')
+          WHEN 5 THEN concat('ff02::', {digits})
+          ELSE concat('2600::', {digits}, '::1') END AS given""")
+
+
+@query
+def q39_v6_addresses(spark, folder):
+    """Every page's address as a header names it: canonical text, class, and whether it lies in two networks."""
+    rows = v6_texts(spark, folder).select("id", F.expr(ip.header_address("given")).alias("address"))
+    return rows.select(
+        "id", "address", F.expr(ip.address_class("address")).alias("class"),
+        F.expr(ip.in_networks("address", ("2001:db8::/32", "10.0.0.0/8", "fe80::/10"))).alias("inside"),
+    )
+
+
+@query
+def q39_v6_messages(spark, folder):
+    """Clients of live messages that came through a trusted proxy with an IPv6 address of its own."""
+    body = F.struct(
+        F.lit("2026-09-01T10:00:00+00:00").alias("time"), F.lit("2001:DB8::1").alias("ip"),
+        F.concat(F.trim("given"), F.lit(", 10.0.0.7")).alias("x_forwarded_for"), F.lit("GET").alias("method"), F.lit("/").alias("uri"), F.lit(200).alias("status"),
+    )
+    feed = v6_texts(spark, folder).select("id", F.concat(F.lit("wa_1_access: "), F.to_json(body)).alias("value"))
+    options = OPTIONS.with_changes(trusted_proxies=("10.0.0.0/8", "2001:db8::/32"))
+    return parse.parse_messages(feed, options).select("id", "remote_addr")
+
+
+@query
+def q39_named_periods(spark, folder):
+    """Requests within each named period at a noon in Shanghai."""
+    rows, out = visits(spark, folder), None
+    for name in PERIODS:
+        period = period_range(name, 1789444800, "Asia/Shanghai")
+        part = within(rows, "timestamp", period.start, period.end).groupBy("site_id").agg(F.count("*").alias("requests")).withColumn("period", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def q39_report_top(spark, folder):
+    """The ten most requested paths in the report of site 1."""
+    rows = enrich(visits(spark, folder), OPTIONS)
+    tables = {"dimension_day": U.dimension_partials(rows, ("uri", "ip")), "metric_minute": U.metric_partials(rows), "unique_hll_hour": U.unique_hll_hour(rows, OPTIONS)}
+    return reports.report(tables, 1, Period(1788220800, 1789948800))["top_uri"].select("name", "requests")
+
+
+@query
+def q39_switched_off(spark, folder):
+    """A site that its user switched off stays off when the panel's sites are registered again."""
+    sites = S.set_enabled(nations(spark, folder), 1, False)
+    return S.active(S.register(sites, _discovered(spark, folder))["sites"]).select("id", "name")

@@ -547,3 +547,19 @@ known AS (SELECT DISTINCT '/logs/' || {_HOST} || '.log' AS log_path FROM pages W
 loose AS (SELECT log_path FROM files WHERE log_path NOT IN (SELECT log_path FROM known))
 SELECT -row_number() OVER (ORDER BY log_path) AS panel_site_id, replace(replace(log_path, '/logs/', ''), '.log', '') AS name,
   '' AS document_root, log_path, 'nginx' AS web_server FROM loose"""
+_V6 = """forms AS (SELECT page_id AS id, page_id % 7 AS form, page_id % 65535 + 1 AS n, page_id % 250 AS quad FROM pages),
+told AS (SELECT id, form, CASE form WHEN 0 THEN '2001:db8::' || format('{:x}', n) WHEN 1 THEN '2600:1f18::' || format('{:x}', n)
+  WHEN 2 THEN '::ffff:203.0.113.' || quad WHEN 3 THEN 'fe80::' || format('{:x}', n) || '%eth0'
+  WHEN 4 THEN '2a00:1450:4001::' || format('{:x}', n) || ':0:0' WHEN 5 THEN 'ff02::' || format('{:x}', n) END AS address FROM forms)"""
+ORACLE["q39_v6_addresses"] = f"""WITH {_V6}
+SELECT id, address, CASE form WHEN 0 THEN 'private' WHEN 1 THEN 'public' WHEN 2 THEN 'private' WHEN 3 THEN 'private' WHEN 4 THEN 'public'
+  WHEN 5 THEN 'reserved' ELSE 'invalid' END AS class, form IN (0, 3) AS inside FROM told"""
+# a forwarded address inside the trusted network is a proxy itself, a malformed one is passed over: both leave the outermost address of the chain
+ORACLE["q39_v6_messages"] = f"""WITH {_V6} SELECT id, coalesce(address, '10.0.0.7') AS remote_addr FROM told"""
+ORACLE["q39_named_periods"] = f"""WITH {VISITS},
+named(period, low, high) AS (VALUES ('today', 1789401600, 1789444801), ('yesterday', 1789315200, 1789401601),
+  ('7d', 1788883200, 1789444801), ('30d', 1786896000, 1789444801))
+SELECT site_id, count(*) AS requests, period FROM access JOIN named ON timestamp >= low AND timestamp < high GROUP BY site_id, period"""
+ORACLE["q39_report_top"] = q(
+    " SELECT path AS name, count(*) AS requests FROM req WHERE site_id = 1 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10").replace(ACCESS, VISITS)
+ORACLE["q39_switched_off"] = f"SELECT id, name FROM ({ORACLE['q28_register_sites']}) WHERE id <> 1"

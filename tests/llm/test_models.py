@@ -313,3 +313,46 @@ def test_secrets_of_unnamed_forms_are_found(spark):
     verdict = found[found.found.isin(wanted)].is_secret
     assert len(verdict) == 30 and verdict.mean() > 0.9
     assert found[~found.found.isin(wanted)].is_secret.mean() < 0.1
+
+
+# --- fit of texts ---
+
+
+def test_texts_of_no_learned_language_go_and_switching_ones_stay(spark):
+    import random
+
+    from hitfold.llm import fluency
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rnd = random.Random(5)
+    junk = [" ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 9))) for _ in range(30)) for _ in range(20)]
+    foreign = ["\u044d\u0442\u043e \u043f\u0440\u043e\u0441\u0442\u043e\u0439 \u0442\u0435\u043a\u0441\u0442", "\u3053\u308c\u306f\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\u3067\u3059"]
+    clean = [r.text for r in docs.filter("lang IS NOT NULL AND length(text) > 400").orderBy("doc_id").limit(8).collect()]
+    switched = [" ".join(a.split()[:25] + b.split()[:25]) for a, b in zip(clean, clean[1:], strict=False)]
+    odd_ones = [None, "", "123 !!!"]
+    more = [(100_000 + i, text, None, None, None) for i, text in enumerate([*junk, *foreign, *odd_ones, *switched])]
+    table = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    kept = {r.doc_id for r in fluency.keep_fluent(table).collect()}
+    bad = len(junk) + len(foreign) + len(odd_ones)
+    assert not kept & set(range(100_000, 100_000 + bad))
+    assert set(range(100_000 + bad, 100_000 + len(more))) <= kept
+    assert {r.doc_id for r in docs.filter(F.col("text").rlike(r"\p{L}")).collect()} <= kept
+
+
+def test_bits_of_words_by_hand():
+    from hitfold.llm import fluency
+
+    pairs = fluency.letter_pairs([("x", b"ab ab ac"), ("y", b"")], ["x", "y"])
+    low = np.frombuffer(b"ab-zb", np.uint8)
+    cost, sizes = fluency.bits(low, np.array([0, 3]), np.array([2, 5]), np.array([0, 0]), pairs)
+    by_hand = lambda w: sum(pairs[0, x, y] for x, y in zip([0, *w], [*w, 0], strict=True))
+    assert cost == pytest.approx([by_hand(b"ab"), by_hand(b"zb")]) and sizes.tolist() == [3, 3] and cost[1] > cost[0] + 5
+    assert np.exp2(-pairs[0].astype(float)).sum(axis=1)[[0, 97, 98]] == pytest.approx([1, 1, 1], abs=1e-2)
+
+
+def test_fit_of_odd_rows(odd, empty):
+    from hitfold.llm import fluency
+
+    kept = fluency.keep_fluent(odd)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} <= {1, 2, 3, 7, 8, 9, 10, 11, None}
+    assert fluency.keep_fluent(empty).count() == 0

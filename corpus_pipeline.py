@@ -8,34 +8,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitfold.llm import language, lines, minhash, mixing, packing
+from hitfold.llm import fluency, lines, minhash, mixing, packing
 from hitfold.llm.common import documents, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, or whose words fit no learned language better than the others."""
-    return language.keep_known(docs)
+    """Drops documents without a letter, or whose words fit no learned language; those that switch between learned ones stay.
+
+    Null and empty texts go. Equal texts fare alike.
+    """
+    return fluency.keep_fluent(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated lines out of the texts; ``n_chars`` follows."""
+    """Takes repeated lines out of the texts; ``n_chars`` follows. A null text stays null, a text may become empty; of a line that ties the largest doc_id keeps it."""
     return lines.drop_lines(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies (five words, 0.8)."""
+    """Keeps one document of each group of near copies (five words, 0.8), that with the smallest doc_id. Null and empty texts are like no other and stay."""
     return minhash.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and drops documents so that the sources meet their targets."""
+    """Repeats and drops documents so that the sources meet their targets; a null source is a source, texts without words weigh nothing."""
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the tokens of what is left into sequences of at most 4096."""
+    """Packs the tokens of what is left into sequences of at most 4096; a null or empty text is its end id alone, longer texts are cut."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))

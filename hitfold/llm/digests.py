@@ -258,7 +258,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
             yield out([*pairs, (*waiting, after)])
 
     return (
-        rows.repartition(n, "range").sortWithinPartitions("range", F.col("copy").desc(), F.col("id").desc(), "text")
+        rows.repartitionById(n, F.col("range")).sortWithinPartitions("range", F.col("copy").desc(), F.col("id").desc(), "text")
         .mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     )
 

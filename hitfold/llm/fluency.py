@@ -3,7 +3,7 @@
 The conditional random field of ``language`` tells languages from each other and has to choose one of them for any letters. Here each word, under the label that the field gives
 it, is also judged by how likely its letters follow each other in that language: the mean log2 probability of a byte after the byte before it (word
 edges count, unseen pairs fall back on the byte's own frequency), learned from the field's own bounded sample. A text fits if its bytes need at most ``BACKGROUND`` bits each, what
-they would need as 128 equally likely ones: prose needs 2 to 4, random letters about 10, other alphabets more than 20. Words are judged one by one, so texts that switch between learned languages fit as well as others.
+bytes at random need: prose needs 2 to 4, short texts with a key or a number in them up to 7, random letters about 10, other alphabets more than 20. Words are judged one by one, so texts that switch between learned languages fit as well as others.
 
 Null, empty and letterless texts do not fit; without a learned language nothing does. Whole texts are judged, of any length; repeated rows alike. Columns pass through unchanged, whatever their names;
 an empty table gives no rows.
@@ -22,7 +22,7 @@ from hitfold.llm.common import _LOWER, bucket_of, column_of, sliced, text_bytes
 from hitfold.llm.language import Model, _labelled, fit, sample
 
 #: Bits a byte beyond which a text fits no language.
-BACKGROUND = 7.0
+BACKGROUND = 8.0
 #: Weight of a byte's own frequency against the pairs seen after the byte before.
 PRIOR = 2.0
 

@@ -25,6 +25,8 @@ ARCHIVES = (".tar", ".tar.gz", ".tgz")
 ARCHIVE_GLOB = "*.{tar,tar.gz,tgz}"
 _BATCH_LINES = 20_000
 LINE_SCHEMA = "file_path STRING, value STRING"
+# Endings of files that are read by one task each.
+PACKED = (".gz", ".tgz", ".tar")
 
 
 def iso(ts: int | float) -> str:
@@ -181,6 +183,11 @@ def read_named(spark: SparkSession, folder: str, pattern: str, names: list[str])
     return lines.unionByName(read_archives(files.where(path.isin(names)).select(path.alias("file_path"), "path")))
 
 
+def dealt(lines: DataFrame) -> DataFrame:
+    """Lines of packed files, each unpacked by one task, over all tasks, so that what follows takes no longer than for plain files."""
+    return lines.withColumn("_n", F.monotonically_increasing_id()).repartition("_n").drop("_n")
+
+
 def contents(lines: DataFrame) -> DataFrame:
     """What each file holds, whatever its name and compression: (file_path, lines, digest)."""
     digest = F.sum(F.xxhash64("value").cast("decimal(38,0)")).cast("string")

@@ -1,7 +1,8 @@
 """Rotated log files, each loaded once, whatever rotates meanwhile.
 
-A load has three steps. *Listing* drops files that lie as they lay when they were last read (path, length, time of change, site). *Staging* reads what is left
-once: lines are parsed into the shared folder with a hash each. *Committing* lists the files again and keeps those that did not change since the
+A load has three steps. *Listing* drops files that lie as they lay when they were last read (path, length, time of change, site). *Staging* parses what is left
+into the shared folder with a hash a line; files that may only have been moved or compressed (of a length that the site had before, or packed) are hashed before, and
+those that the store holds are not parsed again. *Committing* lists the files again and keeps those that did not change since the
 first listing, so what was staged is what they hold; it tells by the staged hashes which of them are new and folds their staged rows into one batch. A file that was
 renamed or rotated away in between is left to the next load, which finds it under its new name.
 
@@ -71,15 +72,29 @@ class Load:
         return not self.listed.isEmpty()
 
     def stage(self) -> None:
-        """Read the listed files once. Lines of files without a site are only hashed."""
+        """Parse the listed files. Lines of files without a site, and of files that the store holds under other names, are only hashed."""
         spark = self.store.spark
-        rows = self.listed.select("file_path", "site_id").collect()  # at most FILES_A_BATCH
-        named = lambda none: [r.file_path for r in rows if (r.site_id == NO_SITE) == none]
-        read = lambda names: logs.read_named(spark, self.folder, self.pattern, names).withColumn("_hash", F.xxhash64("value"))
-        owned, loose = read(named(False)).join(self.listed.select("file_path", "site_id"), "file_path"), read(named(True))
-        judged = P.judge(P.parse_lines(owned), self.store.options, self.since)
+        read = lambda names: logs.read_named(spark, self.folder, self.pattern, names)
+        hashed = lambda lines: lines.withColumn("_hash", F.xxhash64("value"))
+        packed = lambda name: name.lower().endswith(logs.PACKED)
+        site = self.listed.select("file_path", "site_id")
+        before = self.store.partials(SEEN).select("site_id", "length").distinct().withColumn("_before", F.lit(True))
+        rows = (
+            self.listed.join(before, ["site_id", "length"], "left")
+            .select("file_path", (F.col("site_id") == NO_SITE).alias("loose"), F.col("_before").isNotNull().alias("likely")).collect()
+        )  # at most FILES_A_BATCH
+        first = [r.file_path for r in rows if r.loose or r.likely or packed(r.file_path)]
+        counted, other = stored(self._contents(hashed(read(first))), "files")
+        known = self.store.partials(FILES).select("site_id", "lines", "digest")
+        held = {r.file_path for r in counted.join(site, "file_path").join(known, ["site_id", "lines", "digest"], "left_semi").select("file_path").collect()}
+        todo = [r.file_path for r in rows if not r.loose and r.file_path not in held]
+        lines = read([name for name in todo if not packed(name)])
+        if wrapped := [name for name in todo if packed(name)]:
+            lines = lines.unionByName(logs.dealt(read(wrapped)))
+        judged = P.judge(P.parse_lines(hashed(lines).join(F.broadcast(site), "file_path")), self.store.options, self.since)
         self.staged, path = stored(self.store.enriched(self.batch, judged), "events")
-        self.counted, other = stored(self._contents(loose), "files")
+        only = [r.file_path for r in rows if r.loose] + sorted(held)
+        self.counted = counted.where(F.col("file_path").isin(only))
         self._scratch = [self.paths, path, other]
 
     @staticmethod
@@ -93,13 +108,17 @@ class Load:
         now = listing(store, self.folder, self.pattern).select("file_path", "length", "modified")
         still, path = stored(self.listed.join(now, ["file_path", "length", "modified"], "left_semi"), "still")
         try:
-            held = self._contents(self.staged).unionByName(self.counted)
+            parsed = lambda rows, is_it: rows.withColumn("parsed", F.lit(is_it))
+            held = parsed(self._contents(self.staged), True).unionByName(parsed(self.counted, False))
             told = still.select("file_path", "site_id", "length", "modified").join(held, "file_path", "left")
-            told, more = stored(told.withColumns({"lines": F.coalesce("lines", F.lit(0)), "digest": F.coalesce("digest", F.lit("0"))}), "told")
-            self._scratch.append(more)
+            told = told.withColumns({"lines": F.coalesce("lines", F.lit(0)), "digest": F.coalesce("digest", F.lit("0"))})
             known = store.partials(FILES).select("site_id", "lines", "digest")
+            # a file that was only hashed and left the store meanwhile (its site was dropped) is left to the next load
+            left = told.where((F.col("site_id") != NO_SITE) & ~F.col("parsed")).join(known, ["site_id", "lines", "digest"], "left_anti")
+            told, more = stored(told.join(left.select("file_path"), "file_path", "left_anti"), "told")
+            self._scratch.append(more)
             fresh = (
-                told.where((F.col("site_id") != NO_SITE) & (F.col("lines") > 0)).join(known, ["site_id", "lines", "digest"], "left_anti")
+                told.where((F.col("site_id") != NO_SITE) & F.col("parsed")).join(known, ["site_id", "lines", "digest"], "left_anti")
                 .groupBy("site_id", "lines", "digest").agg(F.min("file_path").alias("file_path"))
             )
             fresh, last = stored(fresh, "fresh")

@@ -109,6 +109,7 @@ def start_live(
 
     ``sites`` and ``backfilling`` are asked once per micro-batch, so both may change while it runs. ``counters`` follow what becomes
     visible. Every ``fold_every`` micro-batches the store is folded, so that the batches a reader meets stay few however long it runs.
+    With ``available_now`` a backlog of any size is read, whose micro-batches are staged in the shared folder rather than cached.
     """
     options = store.options
 
@@ -116,7 +117,7 @@ def start_live(
         parsed = P.parse_messages(batch.select("value"), options)
         routed = route(parsed, sites(), options, backfilling())
         store.ingest(
-            f"{source}-{batch_id}", routed.withColumn("file_path", F.lit(source)), stage=False,
+            f"{source}-{batch_id}", routed.withColumn("file_path", F.lit(source)), stage=available_now,
             replay=True, counted=None if counters is None else counters.add,
         )
         if fold_every and batch_id % fold_every == fold_every - 1:

@@ -62,6 +62,11 @@ def with_site(rows: DataFrame, sites: DataFrame) -> DataFrame:
     the whole location, one without (or with ``file:``, which is written in several ways) with the path alone; names are compared decoded. Files of no site keep
     their rows, with a null ``site_id``. Pass staged rows, whose paths are one small column, rather than raw text.
     """
+    return rows.join(owners(rows, sites), "file_path", "left")
+
+
+def owners(rows: DataFrame, sites: DataFrame) -> DataFrame:
+    """(file_path, site_id) of the files that ``with_site`` finds a site for."""
     # the reader writes a file's location as a URI, in which + is a plain sign
     decoded = F.coalesce(F.try_url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B"))), "file_path")
     files = rows.select("file_path").where("file_path IS NOT NULL").distinct().withColumn("_whole", decoded)
@@ -70,10 +75,9 @@ def with_site(rows: DataFrame, sites: DataFrame) -> DataFrame:
     prefixes = F.transform(
         F.sequence(F.lit(1), F.length("_form")), lambda n: F.col("_form").substr(F.lit(1), n)
     )
-    owners = (
+    return (
         forms.select("file_path", F.explode(prefixes).alias("log_path"))
         .join(sites.select(F.regexp_replace("log_path", "^file:/+", "/").alias("log_path"), F.col("id").alias("site_id")), "log_path")
         .groupBy("file_path")
         .agg(F.max_by("site_id", F.struct(F.length("log_path"), -F.col("site_id"))).alias("site_id"))
     )
-    return rows.join(owners, "file_path", "left")

@@ -15,6 +15,7 @@ from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
+from functools import reduce
 from zoneinfo import ZoneInfo
 
 from pyspark import inheritable_thread_target
@@ -341,17 +342,20 @@ class Store:
         with self._alone():
             state = self.log.state()
             hidden: dict[str, dict[str, list[str]]] = {}
-            tables = {}
-            for table in SCHEMAS:
-                rows = self.partials(table, state=state)
-                if not rows.inputFiles():
-                    continue
-                held = rows.select("site_id", "batch", F.col("_metadata.file_name").alias("_file"))
-                found = held.join(wanted, "site_id", "left_semi").select("batch", "_file").distinct().collect()
-                for row in found:
-                    hidden.setdefault(row.batch, {}).setdefault(table, []).append(row._file)
-                if found:
-                    tables[table] = change(table, rows.where(F.col("_metadata.file_name").isin([r._file for r in found])))
+            shown = {table: rows for table in SCHEMAS if (rows := self.partials(table, state=state)).inputFiles()}
+            if not shown:
+                return None
+            held = [
+                rows.select("site_id", F.lit(table).alias("_table"), "batch", F.col("_metadata.file_name").alias("_file"))
+                for table, rows in shown.items()
+            ]  # one job looks through all tables
+            found = reduce(DataFrame.unionByName, held).join(wanted, "site_id", "left_semi").select("_table", "batch", "_file").distinct().collect()
+            for row in found:
+                hidden.setdefault(row.batch, {}).setdefault(row._table, []).append(row._file)
+            tables = {
+                table: change(table, rows.where(F.col("_metadata.file_name").isin([r._file for r in found if r._table == table])))
+                for table, rows in shown.items() if any(r._table == table for r in found)
+            }
             if not tables:
                 return None
             self._write_all(base, tables)

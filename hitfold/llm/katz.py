@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitfold.llm.common import bucket_of, column_of, documents, expand, expand_sorted, mix, partitions, seeded, sliced, squeeze, squeeze_sorted, text_bytes, words, written
+from hitfold.session import remove_path, stored
 
 BLOCK_BYTES, SHARD_KEYS = 6 << 20, 1 << 20
 CUT = 5
@@ -137,7 +138,7 @@ def cut(block: int, kind: int, keys: np.ndarray, loads: list[np.ndarray], shards
     for shard, (a, b) in enumerate(zip(edges, [*edges[1:], len(keys)], strict=True)):
         if b > a:
             load = np.concatenate([x[a:b] for x in loads])
-            rows.append((kind, block, shard, squeeze_sorted(keys[a:b]), load.tobytes() if load.dtype.kind == "f" else squeeze(load.astype("<i8"))))
+            rows.append((kind, block, shard, squeeze_sorted(keys[a:b]), squeeze(load if load.dtype.kind == "f" else load.astype("<i8"))))
     return rows
 
 
@@ -163,7 +164,7 @@ def grouped_rows(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tup
 def answers(questions: DataFrame, cut_: int = CUT) -> DataFrame:
     """(kind, block, shard, answer, stats): sums of the loads of equal keys, aligned with each question's keys.
 
-    Counts answer with ``4 * sum + 2 * shared + first``: shared keys are in other blocks too, first marks one block per key that is in training. Pairs of sums answer with both. ``stats`` rows
+    Counts answer with ``4 * sum + 2 * shared + first``: shared keys are in other blocks too, first marks one block per key that is in training. Histories (discounted mass, lower mass, count) answer with the logarithm of their backoff weight. ``stats`` rows
     (block -1) hold, for counts, the numbers of keys seen 1 to ``cut_`` + 1 times, of keys and of occurrences.
     """
 
@@ -176,9 +177,12 @@ def answers(questions: DataFrame, cut_: int = CUT) -> DataFrame:
             unique, inverse = np.unique(flat, return_inverse=True)
             stats = None
             if kind == 2:
-                pair = [np.frombuffer(r["load"], "<f8").reshape(2, -1) for r in rows]
-                sums = [np.bincount(inverse, np.concatenate([p[i] for p in pair]), len(unique))[inverse] for i in (0, 1)]
-                out = [squeeze(np.concatenate([s[a:b] for s in sums])) for a, b in zip(edges, edges[1:], strict=False)]
+                asked = [expand(r["load"], "<f8").reshape(3, -1) for r in rows]
+                mass, lower = (np.bincount(inverse, np.concatenate([p[i] for p in asked]), len(unique)) for i in (0, 1))
+                count = np.zeros(len(unique))
+                count[inverse] = np.concatenate([p[2] for p in asked])  # every block knows the whole count
+                logs = np.where(count > 0, np.log10(weight(mass, lower, np.maximum(count, 1))), 0.0)[inverse]
+                out = [squeeze(logs[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
             else:
                 load = np.concatenate([expand(r["load"], "<i8") for r in rows])
                 total = np.bincount(inverse, load, len(unique)).astype(np.int64)
@@ -226,8 +230,8 @@ def ask_counts(cut_blocks: DataFrame, word_shards: int, pair_shards: int) -> Dat
 
 # --- scoring -------------------------------------------------------------------------------------
 
-PARTIAL = "docs binary, sums binary, hist binary, uses binary, upto binary"
-_PARTIAL = pa.schema([*_QUESTION, *((n, pa.binary()) for n in ("docs", "sums", "hist", "uses", "upto"))])
+PARTIAL = "docs binary, sums binary, uses binary, upto binary"
+_PARTIAL = pa.schema([*_QUESTION, *((n, pa.binary()) for n in ("docs", "sums", "uses", "upto"))])
 
 
 def score(docs: DataFrame, train) -> DataFrame:
@@ -238,10 +242,10 @@ def score(docs: DataFrame, train) -> DataFrame:
     gives no rows. Scores are log10 of the probability of the whole text.
     """
     spark = docs.sparkSession
-    own = written(blocks(docs.withColumn("train", F.coalesce(train, F.lit(False)))), "lm-blocks")
+    own, blocks_at = stored(blocks(docs.withColumn("train", F.coalesce(train, F.lit(False)))), "lm-blocks")
     n_tokens = own.agg(F.sum("n_tokens")).first()[0] or 0
     shards = shards_for(n_tokens // 8), shards_for(n_tokens)
-    told = written(answers(ask_counts(own, *shards)), "lm-counts")
+    told, counts_at = stored(answers(ask_counts(own, *shards)), "lm-counts")
     found = {
         (r["kind"], r["pos"]): r["n"]
         for r in told.filter("block = -1 AND stats IS NOT NULL").select("kind", F.posexplode("stats").alias("pos", "v")).groupBy("kind", "pos").agg(F.sum("v").alias("n")).collect()
@@ -275,7 +279,6 @@ def score(docs: DataFrame, train) -> DataFrame:
             alpha = np.ones(size)
             known = here & (count > 0)
             alpha[known] = weight(after[0][known], after[1][known], count[known])
-            asked = np.flatnonzero(~here)
             token, history, word = block.pair, block.left[block.pair], block.right[block.pair]
             owner = block.owner[block.at]
             seen = pairs[token] > 0
@@ -285,12 +288,16 @@ def score(docs: DataFrame, train) -> DataFrame:
             docs_ = len(block.docs)
             sums = [np.bincount(owner, x, docs_).astype(float) for x in (np.ones(len(owner)), (count[word] > 0).astype(float), base, logs)]
             later = ~seen & ~here[history]
+            # asked of the shards: histories whose weight is used here, or to which this block gives a part
+            asked = ~here & (after[0] > 0)
+            asked[history[later]] = True
+            asked = np.flatnonzero(asked)
             uses = np.searchsorted(asked, history[later]).astype("<i4")
             upto = np.searchsorted(owner[later], np.arange(docs_ + 1))
-            tail = [squeeze(block.docs), np.concatenate(sums).tobytes(), squeeze(count[asked]), squeeze(uses), squeeze(upto.astype("<i8"))]
+            tail = [squeeze(block.docs), np.concatenate(sums).tobytes(), squeeze(uses), squeeze(upto.astype("<i8"))]
             out = [(-1, number, -1, None, None, *tail)]
             if len(asked):
-                out += [(*q, *[None] * 5) for q in cut(number, 2, block.vocab[asked], [after[0][asked], after[1][asked]], hist_shards)]
+                out += [(*q, *[None] * 4) for q in cut(number, 2, block.vocab[asked], [after[0][asked], after[1][asked], count[asked].astype(float)], hist_shards)]
             yield batch_of(out, _PARTIAL)
 
     names = [f.split()[0] for f in BLOCK.split(", ")]
@@ -302,17 +309,16 @@ def score(docs: DataFrame, train) -> DataFrame:
         .mapInArrow(halfway, f"{QUESTION}, {PARTIAL}"),
         "lm-partial",
     )
+    for done in (blocks_at, counts_at):  # all that is read from now on is in ``half``
+        remove_path(spark, done)
     after = written(answers(half.filter("kind = 2").select("kind", "block", "shard", "keys", "load")), "lm-histories")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in grouped_rows(batches, "block"):
             own_row = next(r for r in rows if r["kind"] == -1)
-            pair = [expand(r["answer"], "<f8").reshape(2, -1) for r in rows if r["kind"] == 2]
-            keys, count = expand(own_row["docs"], "<i8"), expand(own_row["hist"], "<i8")
+            keys = expand(own_row["docs"], "<i8")
             sums = np.frombuffer(own_row["sums"], "<f8").reshape(4, -1)
-            total = np.concatenate(pair, axis=1) if pair else np.zeros((2, 0))
-            logs = np.log10(weight(total[0], total[1], np.maximum(count, 1)))
-            logs[count == 0] = 0.0
+            logs = np.concatenate([expand(r["answer"], "<f8") for r in rows if r["kind"] == 2] or [np.empty(0)])
             run = np.concatenate([[0.0], np.cumsum(logs[expand(own_row["uses"], "<i4")])])
             upto = expand(own_row["upto"], "<i8")
             yield pa.RecordBatch.from_arrays(

@@ -63,6 +63,23 @@ def test_katz_scores(docs, texts, monkeypatch, block):
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
 
 
+def test_katz_asks_one_number_of_a_history_and_drops_what_is_read(spark, docs, monkeypatch):
+    monkeypatch.setattr(katz, "BLOCK_BYTES", 2_000)
+    kept, dropped = {}, []
+    real = katz.stored
+    monkeypatch.setattr(katz, "stored", lambda df, label: kept.setdefault(label, real(df, label)))
+    remove = katz.remove_path
+    monkeypatch.setattr(katz, "remove_path", lambda spark, path: dropped.append(path) or remove(spark, path))
+    held = {}
+    write = katz.written
+    monkeypatch.setattr(katz, "written", lambda df, label: held.setdefault(label, write(df, label)))
+    katz.score(docs, F.col("doc_id") % 7 != 2)
+    assert dropped == [kept["lm-blocks"][1], kept["lm-counts"][1]]
+    asked = {(r.block, r.shard): r.keys for r in held["lm-partial"].filter("kind = 2").collect()}
+    told = {(r.block, r.shard): r.answer for r in held["lm-histories"].filter("block >= 0").collect()}
+    assert asked and {k: len(katz.expand(v, "<f8")) for k, v in told.items()} == {k: len(katz.expand_sorted(v)) for k, v in asked.items()}
+
+
 def test_katz_beats_the_base_on_held_out_texts(spark):
     got = katz.op9_lm_scoring(spark, SF).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1] + 0.2 * abs(got[1])
